@@ -38,17 +38,15 @@ def ks_columns(reference, current, target=LABEL, max_columns=MAX_COLUMNS):
     tested = [c for c in numeric if c in current.columns]
     counts = _side_counts(reference, current, tested, "double")
     running = prefix_sums(
-        counts, ["value"], {"cum_ref": "n_ref", "cum_cur": "n_cur"}, ["column_index", "column"])
-    # One row per tested column on the broadcast side.
-    sizes = running.groupBy("column_index", "column").agg(
-        F.sum("n_ref").alias("size_ref"), F.sum("n_cur").alias("size_cur"))
+        counts, ["value"], {"cum_ref": "n_ref", "cum_cur": "n_cur"}, ["column_index", "column"],
+        {"size_ref": "cum_ref", "size_cur": "cum_cur"}, few_groups=True)
     gap = F.abs(
         F.try_divide(F.col("cum_ref"), F.col("size_ref").cast("double"))
         - F.try_divide(F.col("cum_cur"), F.col("size_cur").cast("double")))
     n, m = F.col("size_ref").cast("double"), F.col("size_cur").cast("double")
     tested_columns = (
-        running.join(F.broadcast(sizes), ["column_index", "column"])
-        .groupBy("column_index", "column", "size_ref", "size_cur").agg(F.max(gap).alias("statistic"))
+        running.groupBy("column_index", "column", "size_ref", "size_cur")
+        .agg(F.max(gap).alias("statistic"))
         .withColumn("_z", F.sqrt(F.try_divide(n * m, n + m)) * F.col("statistic"))
         .withColumn("p_value", kolmogorov_p(F.col("_z")))
     )

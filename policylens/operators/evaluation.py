@@ -22,10 +22,11 @@ MIN_AUC = 0.70
 
 
 def score_curve(df, label=LABEL, score=SCORE, by=()):
-    """One row per distinct score, highest first: rows and positives there and down to there."""
+    """One row per distinct score: rows and positives there, from the top down to there, and in all."""
     distinct = df.groupBy(*by, score).agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("long")).alias("pos"))
-    return prefix_sums(distinct, [(score, "desc")], {"cum_n": "n", "cum_pos": "pos"}, by)
+    return prefix_sums(distinct, [(score, "desc")], {"cum_n": "n", "cum_pos": "pos"}, by,
+                       {"all_n": "cum_n", "all_pos": "cum_pos"})
 
 
 def curve_metrics(curve, by=()):
@@ -45,8 +46,8 @@ def curve_metrics(curve, by=()):
 
 def roc_points(curve, score=SCORE):
     """(threshold, fpr, tpr) per distinct score, from (0, 0) at no threshold on."""
-    totals = curve.agg(F.sum("pos").alias("p"), F.sum(F.col("n") - F.col("pos")).alias("q")).first()
-    positives, negatives = (F.lit(totals[c]).cast("double") for c in ("p", "q"))
+    positives = F.col("all_pos").cast("double")
+    negatives = (F.col("all_n") - F.col("all_pos")).cast("double")
     points = curve.select(
         F.col(score).alias("threshold"),
         F.try_divide(F.col("cum_n") - F.col("cum_pos"), negatives).alias("fpr"),
@@ -76,7 +77,7 @@ def captured_at(df, fractions, label=LABEL, score=SCORE, ids=(POLICY_ID,)):
     totals = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("long")).alias("pos")).first()
     n, positives = totals["n"], totals["pos"] or 0
     sizes = [int(n * f) for f in fractions]
-    cuts = keys_at_ranks(df, order_by, sizes)
+    cuts = keys_at_ranks(df, order_by, sizes, n)
     wanted = []
     for i, size in enumerate(sizes):
         if size == 0:
@@ -122,12 +123,11 @@ def gains_curve(df, label=LABEL, score=SCORE, ids=(POLICY_ID,)):
     """One row per customer from the highest score down: share contacted and share of positives found."""
     order_by = _ranked_order(score, ids)
     marked = df.select(score, *ids, F.col(label).cast("long").alias("_hit"), F.lit(1).alias("_one"))
-    curve = prefix_sums(marked, order_by, {"rn": "_one", "found": "_hit"})
-    totals = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("long")).alias("pos")).first()
+    curve = prefix_sums(marked, order_by, {"rn": "_one", "found": "_hit"}, totals={"n": "rn", "pos": "found"})
     return curve.select(
         *ids, "rn",
-        (F.col("rn") / F.lit(totals["n"]).cast("double")).alias("share_contacted"),
-        F.try_divide(F.col("found"), F.lit(totals["pos"]).cast("double")).alias("share_captured"),
+        (F.col("rn") / F.col("n").cast("double")).alias("share_contacted"),
+        F.try_divide(F.col("found"), F.col("pos").cast("double")).alias("share_captured"),
     )
 
 

@@ -188,16 +188,18 @@ def inference_features(df, state, keep=(POLICY_ID,)):
 
 
 def feature_catalog(df, state):
-    """Derived columns in order with their descriptions, empty where there is none."""
-    spark = df.sparkSession
-    derived = [c for c in add_features(df, state).columns if c not in df.columns]
-    names = spark.createDataFrame(list(enumerate(derived)), "position int, feature string")
-    described = spark.createDataFrame(
-        list(FEATURE_DESCRIPTIONS.items()), "feature string, description string")
-    return (
-        names.join(described, "feature", "left")
-        .select("position", "feature", F.coalesce("description", F.lit("")).alias("description"))
-    )
+    """Derived columns in order with description (empty where there is none), rows present and mean."""
+    featured = add_features(df, state)
+    derived = [c for c in featured.columns if c not in df.columns]
+    facts = featured.agg(
+        *[F.count(c).alias(f"_n_{c}") for c in derived],
+        *[F.avg(F.col(c).cast("double")).alias(f"_m_{c}") for c in derived])
+    return facts.select(F.inline(F.array(*[
+        F.struct(
+            F.lit(i).alias("position"), F.lit(c).alias("feature"),
+            F.lit(FEATURE_DESCRIPTIONS.get(c, "")).alias("description"),
+            F.col(f"_n_{c}").alias("n_present"), F.col(f"_m_{c}").alias("mean"))
+        for i, c in enumerate(derived)])))
 
 
 class _MarketParams(Params):

@@ -42,7 +42,8 @@ def describe(df, columns=None):
     moments = cells.groupBy("column_index", "column").agg(
         F.count("value").alias("count"), F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
-    quartiles = grouped_quantiles(cells, ["column"], "value", [0.25, 0.5, 0.75])
+    quartiles = grouped_quantiles(
+        cells, ["column"], "value", [0.25, 0.5, 0.75], few_groups=True)
     return moments.join(quartiles, "column").select(
         "column_index", "column", "count", "mean", "std", "min",
         F.col("q0").alias("p25"), F.col("q1").alias("p50"), F.col("q2").alias("p75"), "max")
@@ -92,32 +93,38 @@ def histogram_by_class(df, columns=None, label=LABEL, n_bins=HISTOGRAM_BINS):
     )
 
 
-def _pearson(a, b):
-    """Pairwise-complete correlation, null where either side is constant."""
-    spread = F.sqrt(F.regr_sxx(a, b)) * F.sqrt(F.regr_syy(a, b))
-    return F.try_divide(F.regr_sxy(a, b), spread)
+def _correlations(df, pairs):
+    """(pair, x, y, correlation) for (x, y) column pairs, null where either side is constant.
+
+    Each pair uses the rows that have both values. Pairs are laid out as rows: a row of `df` yields
+    one cell per pair, and the cells are summed up per pair before anything is shuffled. That is a
+    third of the time of one aggregate with a few functions per pair.
+    """
+    cells = F.array(*[
+        F.struct(F.lit(i).alias("pair"), F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"))
+        for i, (a, b) in enumerate(pairs)])
+    spread = F.sqrt(F.regr_sxx("a", "b")) * F.sqrt(F.regr_syy("a", "b"))
+    sums = df.select(F.inline(cells)).groupBy("pair").agg(
+        F.try_divide(F.regr_sxy("a", "b"), spread).alias("correlation"))
+    first, second = (F.array(*[F.lit(pair[side]) for pair in pairs]) for side in (0, 1))
+    return sums.select(
+        "pair", F.get(first, "pair").alias("x"), F.get(second, "pair").alias("y"), "correlation")
 
 
 def correlation_matrix(df, columns=None, label=LABEL):
-    """Strict lower triangle (row_feature, column_feature, correlation), from one aggregate."""
+    """Strict lower triangle of the Pearson matrix: (row_feature, column_feature, correlation)."""
     columns = columns or numeric_columns(df, exclude=[label])
-    pairs = [(b, a) for a, b in combinations(columns, 2)]
-    wide = df.agg(*[
-        _pearson(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"_{i}")
-        for i, (a, b) in enumerate(pairs)])
-    return wide.select(F.inline(F.array(*[
-        F.struct(F.lit(a).alias("row_feature"), F.lit(b).alias("column_feature"),
-                 F.col(f"_{i}").alias("correlation"))
-        for i, (a, b) in enumerate(pairs)])))
+    return _correlations(df, [(b, a) for a, b in combinations(columns, 2)]).select(
+        F.col("x").alias("row_feature"), F.col("y").alias("column_feature"), "correlation")
 
 
 def correlation_with_label(df, columns, label=LABEL):
     """Correlation of each column with the label, highest first, undefined ones last."""
-    wide = df.agg(*[
-        _pearson(F.col(c).cast("double"), F.col(label).cast("double")).alias(f"_{c}") for c in columns])
-    return wide.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("feature"), F.col(f"_{c}").alias("correlation")) for c in columns
-    ]))).orderBy(F.desc_nulls_last("correlation"), "feature")
+    return (
+        _correlations(df, [(c, label) for c in columns])
+        .select(F.col("x").alias("feature"), "correlation")
+        .orderBy(F.desc_nulls_last("correlation"), "feature")
+    )
 
 
 def rate_by(df, category, label=LABEL):

@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from policylens.sources.staging import broadcast_if_small, stage
+from policylens.sources.staging import settle_small, stage
 
 FAN_OUT = 64
 SAMPLE_PER_CUT = 32
@@ -36,14 +36,23 @@ def sort_columns(order):
     ]
 
 
-def at_or_before(order, key):
-    """Whether a row stands at or before `key` in the order; never null."""
+def _reached(order, key):
+    """Whether a row stands at or before `key`; null counts as no. A shorter key stands for the last
+    row that begins with it."""
     reached = None
     for (name, ascending), value in reversed(list(zip(order, key))):
-        earlier = F.col(name) < F.lit(value) if ascending else F.col(name) > F.lit(value)
-        same = F.col(name) == F.lit(value)
-        reached = earlier | (same if reached is None else same & reached)
-    return F.coalesce(reached, F.lit(False))
+        column, bound = F.col(name), F.lit(value)
+        if reached is None:
+            reached = column <= bound if ascending else column >= bound
+        else:
+            earlier = column < bound if ascending else column > bound
+            reached = earlier | ((column == bound) & reached)
+    return reached
+
+
+def at_or_before(order, key):
+    """Whether a row stands at or before `key` in the order; never null."""
+    return F.coalesce(_reached(order, key), F.lit(False))
 
 
 def same_key(order, key):
@@ -79,19 +88,25 @@ def global_rank(df, order_by, rank_col="rn"):
     earlier = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(
         "_slice", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_start"))
+    # One row per slice on the broadcast side.
     return (
-        laid.join(broadcast_if_small(starts), "_slice")
+        laid.join(F.broadcast(starts), "_slice")
         .select(*df.columns, (F.col("_start") + F.col("_place") + 1).alias(rank_col))
     )
 
 
-def prefix_sums(df, order_by, sums, by=()):
+def prefix_sums(df, order_by, sums, by=(), totals=None, few_groups=False):
     """Inclusive running sums along an order, per group when `by` is given.
 
-    `sums` maps output names to columns of `df`. A group is cut into as many slices as its size asks
-    for, since the group is the first part of the range key and not a partitioning key of its own.
+    `sums` maps output names to columns of `df`; `totals` maps further output names to those of the
+    running sums and adds their value at the end of the group. A group is cut into as many slices as
+    its size asks for, since it is the first part of the range key and no partitioning key of its own.
+
+    The slice totals have at most one row per slice and one more per group. Without groups, or when
+    the caller vouches by `few_groups` that they are as few as columns or models, that is small for
+    certain; otherwise their number is checked.
     """
-    order, by = parse_order(order_by), list(by)
+    order, by, totals = parse_order(order_by), list(by), totals or {}
     range_key = [F.col(c).asc_nulls_last() for c in by] + sort_columns(order)
     within = (
         Window.partitionBy("_slice", *by).orderBy(*sort_columns(order))
@@ -102,31 +117,33 @@ def prefix_sums(df, order_by, sums, by=()):
         .select("*", *[F.sum(c).over(within).alias(name) for name, c in sums.items()]),
         "running",
     )
-    totals = laid.groupBy("_slice", *by).agg(*[F.sum(c).alias(f"_{n}") for n, c in sums.items()])
-    earlier = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(
+    whole = Window.partitionBy(*by)
+    earlier = whole.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    slices = laid.groupBy("_slice", *by).agg(*[F.sum(c).alias(f"_{n}") for n, c in sums.items()])
+    starts = slices.select(
         F.col("_slice").alias("_s"), *[F.col(c).alias(f"_by_{c}") for c in by],
-        *[F.sum(f"_{n}").over(earlier).alias(f"_{n}") for n in sums],
+        *[F.coalesce(F.sum(f"_{n}").over(earlier), F.lit(0)).alias(f"_{n}") for n in sums],
+        *[F.sum(f"_{n}").over(whole).alias(f"_total_{name}") for name, n in totals.items()],
     )
     matched = F.col("_slice") == F.col("_s")
     for c in by:
         matched = matched & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
-    return laid.join(broadcast_if_small(starts), matched).select(
+    starts = F.broadcast(starts) if few_groups or not by else settle_small(starts)
+    return laid.join(starts, matched).select(
         *df.columns,
-        *[(F.col(n) + F.coalesce(F.col(f"_{n}"), F.lit(0))).alias(n) for n in sums],
+        *[(F.col(n) + F.col(f"_{n}")).alias(n) for n in sums],
+        *[F.col(f"_total_{name}").alias(name) for name in totals],
     )
 
 
-def grouped_quantiles(df, by, value, probabilities):
+def grouped_quantiles(df, by, value, probabilities, few_groups=False):
     """Exact quantiles by group with linear interpolation, missing values left out.
 
     Works on distinct values with their counts, so a group never has to fit in one task. A group of
     missing values only gets null quantiles.
     """
     counts = df.groupBy(*by, value).agg(F.count(value).alias("_n"))
-    running = prefix_sums(counts, [value], {"_upto": "_n"}, by)
-    sizes = running.groupBy(*by).agg(F.max("_upto").alias("_size"))
-    sized = running.join(broadcast_if_small(sizes), by)
+    sized = prefix_sums(counts, [value], {"_upto": "_n"}, by, {"_size": "_upto"}, few_groups)
     picks = []
     for i, p in enumerate(probabilities):
         position = F.lit(float(p)) * (F.col("_size") - 1)
@@ -189,7 +206,7 @@ def _cut_index(order, cuts):
         if first == last:
             return F.lit(first)
         middle = (first + last) // 2
-        return F.when(at_or_before(order, cuts[middle]), tree(first, middle)).otherwise(
+        return F.when(_reached(order, cuts[middle]), tree(first, middle)).otherwise(
             tree(middle + 1, last))
 
     return tree(0, len(cuts))
@@ -211,18 +228,34 @@ def _sample_cuts(keyed, order, brackets):
         .orderBy("_bracket", *sort_columns(order))
         .collect()
     )
-    cuts = []
-    for i, bracket in enumerate(brackets):
-        drawn = [row for row in sample if row["_bracket"] == i]
-        step = max(1, sum(row["_n"] for row in drawn) // FAN_OUT)
-        chosen, passed, due = [], 0, step
-        for row in drawn:
-            passed += row["_n"]
-            key = tuple(row[name] for name in names)
-            if passed >= due and key != bracket.high:
-                chosen.append(key)
-                due = passed + step
-        cuts.append(chosen)
+    return [
+        _choose_cuts(
+            [(tuple(row[name] for name in names), row["_n"]) for row in sample if row["_bracket"] == i],
+            bracket)
+        for i, bracket in enumerate(brackets)]
+
+
+def _choose_cuts(drawn, bracket):
+    """Evenly spaced cuts on as few key columns as tell the drawn keys apart."""
+    if not drawn:
+        return []
+    first, last = drawn[0][0], drawn[-1][0]
+    length = next((i + 1 for i in range(len(first)) if first[i] != last[i]), len(first))
+    weights = {}
+    for key, n in drawn:
+        weights[key[:length]] = weights.get(key[:length], 0) + n
+    step = max(1, sum(weights.values()) // FAN_OUT)
+    cuts, passed, due, previous = [], 0, step, None
+    for prefix, n in weights.items():
+        passed += n
+        if passed >= due:
+            # A prefix heavier than one step is cut off from what stands before it, too.
+            if n > step and previous is not None and previous not in cuts[-1:]:
+                cuts.append(previous)
+            if prefix != bracket.high:
+                cuts.append(prefix)
+            due = passed + step
+        previous = prefix
     return cuts
 
 
@@ -254,16 +287,18 @@ def _narrow(keyed, order, brackets):
     return narrowed
 
 
-def keys_at_ranks(df, order_by, ranks, settle_rows=SETTLE_ROWS):
+def keys_at_ranks(df, order_by, ranks, total=None, settle_rows=SETTLE_ROWS):
     """The `Position` at each 1-based rank of the order; ranks outside the table are left out.
 
+    `total` is the row count of `df`, if the caller knows it.
+
     Each pass divides the stretches that hold a wanted rank by the fan-out; it reads the key columns
     and shuffles counts only. Stretches of at most `settle_rows` rows are ranked exactly.
     """
     order = parse_order(order_by)
     names = [name for name, _ in order]
     keyed = df.select(*names)
-    total = keyed.count()
+    total = keyed.count() if total is None else total
     wanted = sorted({int(r) for r in ranks if 1 <= r <= total})
     if not wanted:
         return {}
@@ -318,8 +353,9 @@ def _border(positions, rank, order):
 def split_ordered(df, order_by=("policy_id",), train_share=0.80, part_col="part"):
     """Mark the first floor(share * n) rows of the order as train and the rest as test."""
     order = parse_order(order_by)
-    border = int(df.count() * train_share)
-    positions = keys_at_ranks(df, order_by, [border])
+    total = df.count()
+    border = int(total * train_share)
+    positions = keys_at_ranks(df, order_by, [border], total)
     return df.withColumn(
         part_col, F.when(_border(positions, border, order), "train").otherwise("test"))
 
@@ -335,7 +371,7 @@ def time_folds(df, order_by=("policy_id",), k=5):
     if size == 0:
         raise ValueError(f"{total} rows cannot be cut into {k + 1} blocks")
     borders = [total - (k - i) * size for i in range(k)]
-    positions = keys_at_ranks(df, order_by, borders)
+    positions = keys_at_ranks(df, order_by, borders, total)
     block = F.lit(0)
     for border in borders:
         block = block + (~_border(positions, border, order)).cast("int")

@@ -5,7 +5,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from policylens.schema import RAW_TARGET, raw_schema
-from policylens.sources.staging import broadcast_if_small
+from policylens.sources.staging import settle_small, stage
 
 
 def read_contracts(spark, path, with_target=True):
@@ -22,20 +22,21 @@ def read_targets(spark, path):
     return spark.read.schema(schema).option("sep", "\t").option("mode", "FAILFAST").csv(path)
 
 
-def with_row_number(scan, name="row_no"):
-    """0-based line number over a plain file scan, files in path order.
-
-    Lines inside one file block are numbered by the scan itself; only the line count of each block
-    is gathered, so there is neither a sort nor a shuffle of rows.
-    """
-    located = scan.select(
-        "*",
-        F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_seen"),
-    )
+def _locate(scan):
+    """The scanned lines, stored once with their file, block and place, and the blocks' line counts."""
+    located = stage(
+        scan.select(
+            "*",
+            F.col("_metadata.file_path").alias("_file"),
+            F.col("_metadata.file_block_start").alias("_block"),
+            F.monotonically_increasing_id().alias("_seen")),
+        "lines")
     blocks = located.groupBy("_file", "_block").agg(
         F.count(F.lit(1)).alias("_lines"), F.min("_seen").alias("_first"))
+    return located, stage(blocks, "blocks")
+
+
+def _number(located, blocks, name):
     earlier_in_file = (
         Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
     earlier_files = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
@@ -49,15 +50,26 @@ def with_row_number(scan, name="row_no"):
                 (F.col("_file_start") + F.col("_block_start")).alias("_start"))
     )
     return (
-        located.join(broadcast_if_small(starts), ["_file", "_block"])
+        located.join(settle_small(starts), ["_file", "_block"])
         .withColumn(name, F.col("_start") + F.col("_seen") - F.col("_first"))
         .drop("_file", "_block", "_seen", "_first", "_start")
     )
 
 
+def with_row_number(scan, name="row_no"):
+    """0-based line number over a plain file scan, files in path order.
+
+    The lines are parsed and stored once, numbered within each file block by the scan itself; only
+    the line count of each block is gathered, so rows are neither sorted nor shuffled.
+    """
+    return _number(*_locate(scan), name)
+
+
 def attach_by_position(contracts, targets, row_name="row_no"):
     """Put line i of `targets` beside line i of `contracts`; both are file scans of equal length."""
-    rows, labels = contracts.count(), targets.count()
+    sides = [_locate(contracts), _locate(targets)]
+    rows, labels = (blocks.agg(F.sum("_lines")).first()[0] or 0 for _, blocks in sides)
     if rows != labels:
         raise ValueError(f"{rows} contract lines but {labels} target lines")
-    return with_row_number(contracts, row_name).join(with_row_number(targets, row_name), row_name)
+    numbered = [_number(*side, row_name) for side in sides]
+    return numbered[0].join(numbered[1], row_name)

@@ -6,6 +6,7 @@ import uuid
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 200_000
+LOCAL_ROWS = 20_000
 
 
 def shared_folder(spark):
@@ -41,3 +42,12 @@ def broadcast_if_small(df, max_rows=BROADCAST_ROWS):
     Beyond that the join is left to Spark: a shuffle join, with skewed keys split at run time.
     """
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def settle_small(df, max_rows=LOCAL_ROWS):
+    """The same, for a table of totals that is computed only once: up to `max_rows` rows are brought
+    in as literals and broadcast, so no later stage derives them again."""
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        return broadcast_if_small(df)
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))

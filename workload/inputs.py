@@ -1,7 +1,7 @@
 """The given tables as raw contracts, policy records and scored records.
 
-Policies, medians and scores are stored once per session and folder, as the ingest and scoring jobs
-would leave them, and the queries read the stored tables.
+Raw contracts, policies, medians and scores are stored once per session and folder, as delivery,
+ingest and scoring would leave them, and the queries read the stored tables.
 """
 
 import os
@@ -40,7 +40,7 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def raw_contracts(spark, sf_dir):
+def build_raw_contracts(spark, sf_dir):
     """One row per customer: classes and counts over the customer's orders and lines.
 
     Lines are counted per order before they meet the orders, and per customer after that.
@@ -53,8 +53,9 @@ def raw_contracts(spark, sf_dir):
         column: (F.col("l_quantity") >= 30) & (F.col("p_type") == part_type)
         for column, part_type in PRODUCT_OF_PART.items()
     }
-    counts["AWAPART"] = returned & (F.round(F.col("l_discount") * 100) == 10)
-    counts["APERSAUT"] = returned & (F.round(F.col("l_tax") * 100) == 8)
+    # Whole percent by bounds: rounding a double goes through decimals and would be most of the scan.
+    counts["AWAPART"] = returned & (F.col("l_discount") * 100 >= 9.5) & (F.col("l_discount") * 100 < 10.5)
+    counts["APERSAUT"] = returned & (F.col("l_tax") * 100 >= 7.5) & (F.col("l_tax") * 100 < 8.5)
     per_order = (
         lines.join(parts, F.col("l_partkey") == F.col("p_partkey"))
         .groupBy("l_orderkey").agg(*[F.count_if(c).alias(name) for name, c in counts.items()]))
@@ -85,6 +86,10 @@ def raw_contracts(spark, sf_dir):
     )
 
 
+def raw_contracts(spark, sf_dir):
+    return stored(spark, sf_dir, "raw_contracts", build_raw_contracts)
+
+
 def contract_lines(raw, columns=RAW_COLUMNS):
     """All file columns in file order, the ones the tables do not give as 0."""
     return raw.orderBy("client_no").select(*[
@@ -189,7 +194,7 @@ def line_scores(spark, sf_dir, fine=False):
     """Every order line as a scored record: few distinct scores, or nearly one per line."""
     p = F.col("l_extendedprice") / 105000.0 if fine else F.col("l_discount") * 5.0 + F.col("l_tax")
     return table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_linenumber", F.round(p, 6).alias("churn_probability"),
+        "l_orderkey", "l_linenumber", (F.floor(p * 1e6 + 0.5) / 1e6).alias("churn_probability"),
         (F.col("l_returnflag") == "R").cast("int").alias(LABEL))
 
 

@@ -1,5 +1,6 @@
 """The registered queries in DuckDB SQL over the given tables, written independently of the Spark code."""
 
+from policylens.operators.features import FEATURE_DESCRIPTIONS
 from policylens.schema import RAW_COLUMNS
 
 RAW = """
@@ -428,6 +429,11 @@ FROM dirty""")
 state AS (SELECT lob, median(annual_premium) AS market_median FROM policies WHERE client_no % 10 < 7 GROUP BY lob),
 features AS (""" + FEATURES_OF + ")", f"SELECT policy_id, {_select(MATRIX, REAL)} FROM features WHERE client_no % 10 >= 7")
 
+    described = {c: FEATURE_DESCRIPTIONS.get(c, "").replace("'", "''") for c in DERIVED}
+    out["feature_catalog"] = _query(FEATURES, " UNION ALL ".join(
+        f"SELECT CAST({i} AS INTEGER) AS position, '{c}' AS feature, '{described[c]}' AS description, "
+        f"count({c}) AS n_present, round(avg({c}), 6) AS mean FROM features" for i, c in enumerate(DERIVED)))
+
     # Order and splits.
     out["global_rank"] = _query(SCORES, f"SELECT policy_id, row_number() OVER (ORDER BY {BY_ID}) AS rn FROM scores")
     out["rank_lines"] = _query(FINE_LINES, """
@@ -601,14 +607,30 @@ SELECT lob, baseline_auc, current_auc, round(auc_drop, 6) AS auc_drop, auc_drop
 ordered AS (SELECT *, row_number() OVER (ORDER BY policy_id) <= floor(count(*) OVER () * CAST(0.8 AS DOUBLE)) AS is_train FROM scores),
 held_out AS (SELECT * FROM ordered WHERE NOT is_train),""" + _curve("held_out") + "," + _topk("held_out", "0.10")
         + "," + _contributions("held_out") + """,
-leading AS (SELECT feature, avg(abs(contribution)) AS value FROM contributions GROUP BY feature)""", """
+lead_features AS (SELECT feature, avg(abs(contribution)) AS value FROM contributions GROUP BY feature)""", """
 SELECT 'data' AS section, CAST(0 AS INTEGER) AS position, 'n_train' AS name, CAST(count(*) AS DOUBLE) AS value FROM ordered WHERE is_train
 UNION ALL SELECT 'data', 1, 'n_test', CAST(count(*) AS DOUBLE) FROM held_out
 UNION ALL SELECT 'data', 2, 'positive_rate', round(avg(churn_label), 6) FROM ordered
 UNION ALL SELECT 'performance', 0, 'auc_roc', round(auc, 6) FROM curve_metrics
 UNION ALL SELECT 'performance', 1, 'precision_at_10', "precision" FROM metrics
 UNION ALL SELECT 'performance', 2, 'recall', recall FROM metrics
-UNION ALL SELECT 'features', CAST(row_number() OVER (ORDER BY value DESC, feature) - 1 AS INTEGER), feature, round(value, 6) FROM leading""")
+UNION ALL SELECT 'features', CAST(row_number() OVER (ORDER BY value DESC, feature) - 1 AS INTEGER), feature, round(value, 6) FROM lead_features""")
+
+    cards = {"scorecard": "churn_probability", "tenure_card": TENURE_CARD}
+    out["run_log"] = _query(SCORES + """,
+both_models AS (""" + " UNION ALL ".join(
+        f"SELECT '{name}' AS model, {p} AS churn_probability, churn_label FROM scores"
+        for name, p in cards.items()) + ")," + _curve("both_models", "model"), """
+SELECT model AS run_name, 'param' AS kind, 'model_type' AS name, model AS value FROM curve_metrics
+UNION ALL SELECT model, 'metric', 'auc_roc', CAST(round(auc, 6) AS VARCHAR) FROM curve_metrics
+UNION ALL SELECT model, 'metric', 'avg_precision', CAST(round(avg_precision, 6) AS VARCHAR) FROM curve_metrics""")
+    out["calibrate_platt"] = _query(POLICIES + """,
+ordered AS (SELECT churn_label, row_number() OVER (ORDER BY policy_id) AS rn, count(*) OVER () AS n FROM policies),
+classes AS (
+  SELECT CAST(sum(churn_label) AS DOUBLE) AS p, CAST(sum(1 - churn_label) AS DOUBLE) AS q
+  FROM ordered WHERE rn <= floor(n * CAST(0.8 AS DOUBLE))),
+targets AS (SELECT round((p * (p + 1) / (p + 2) + q / (q + 2)) / (p + q), 5) AS mean_target FROM classes)""", """
+SELECT mean_target AS mean_calibrated, mean_target FROM targets""")
 
     # Attribution.
     explained = POLICIES + "," + _contributions("policies")

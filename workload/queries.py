@@ -39,7 +39,7 @@ def src_contract_tsv(spark, sf_dir):
 
 
 def attach_by_position(spark, sf_dir):
-    raw = stage(inputs.raw_contracts(spark, sf_dir), "raw")
+    raw = inputs.raw_contracts(spark, sf_dir)
     body = inputs.write_lines(inputs.contract_lines(raw, RAW_COLUMNS[:-1]), new_path(spark, "body"))
     target = inputs.write_lines(inputs.contract_lines(raw, [RAW_TARGET]), new_path(spark, "target"))
     joined = contracts.attach_by_position(
@@ -49,7 +49,7 @@ def attach_by_position(spark, sf_dir):
 
 def ingest_files(spark, sf_dir):
     """The whole ingest job from files: every fifth customer goes to the test file."""
-    raw = stage(inputs.raw_contracts(spark, sf_dir), "raw")
+    raw = inputs.raw_contracts(spark, sf_dir)
     held_out = F.col("client_no") % 5 == 4
     train = inputs.write_lines(inputs.contract_lines(raw.where(~held_out)), new_path(spark, "train"))
     test_raw = raw.where(held_out)
@@ -204,7 +204,8 @@ def inference_features(spark, sf_dir):
 
 
 def feature_catalog(spark, sf_dir):
-    return features.feature_catalog(inputs.requests(spark, sf_dir), inputs.market_state(spark, sf_dir))
+    return _r_floats(features.feature_catalog(
+        inputs.requests(spark, sf_dir), inputs.market_state(spark, sf_dir)))
 
 
 # ---- order and splits ----
@@ -521,7 +522,7 @@ def _scored_test(model, test, column="probability"):
 
 def train_baseline(spark, sf_dir):
     train, test, names = _model_parts(spark, sf_dir)
-    return _scored_test(modeling.train_baseline(train, names, max_iter=200), test)
+    return _scored_test(modeling.train_baseline(train, names), test)
 
 
 def train_gbt(spark, sf_dir):
