@@ -4,6 +4,8 @@ import math
 
 from pyspark.sql import functions as F
 
+from policylens.functions.rounding import round_half_even
+
 
 class HashedNoise:
     """Uniform and normal draws from a 64-bit hash of (key, seed, stream name)."""
@@ -29,7 +31,7 @@ class HashedNoise:
         """Normal(2, 5) by Box-Muller, 1 decimal."""
         radius = F.sqrt(-2.0 * F.log(self._unit(key, "change-radius")))
         angle = 2.0 * math.pi * self._unit(key, "change-angle")
-        return F.bround(2.0 + 5.0 * radius * F.cos(angle), 1)
+        return round_half_even(2.0 + 5.0 * radius * F.cos(angle), 1)
 
 
 class ModularNoise:

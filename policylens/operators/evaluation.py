@@ -8,6 +8,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
+from policylens.functions.rounding import round_half_even
 from policylens.operators.ranking import (
     at_or_before, keys_at_ranks, parse_order, prefix_sums, same_key,
 )
@@ -110,9 +111,9 @@ def topk_metrics(df, fractions, label=LABEL, score=SCORE, ids=(POLICY_ID,)):
     recall = ratio(F.col("captured"), F.col("positives"))
     lift = ratio(precision, ratio(F.col("positives"), F.col("n")))
     return captured_at(df, fractions, label, score, ids).select(
-        F.bround(precision, 4).alias("precision"),
-        F.bround(recall, 4).alias("recall"),
-        F.bround(lift, 2).alias("lift"),
+        round_half_even(precision, 4).alias("precision"),
+        round_half_even(recall, 4).alias("recall"),
+        round_half_even(lift, 2).alias("lift"),
         "top_k",
         F.col("captured").alias("churners_captured"),
         F.col("positives").alias("total_churners"),
@@ -168,7 +169,7 @@ def evaluation_report(df, label=LABEL, score=SCORE, ids=(POLICY_ID,), fractions=
     names = {"auc": "auc_roc", "avg_precision": "avg_precision", "brier": "brier_score"}
     overall = overall.select(F.inline(F.array(*[
         F.struct(F.lit("overall").alias("section"), F.lit(metric).alias("metric"),
-                 F.bround(F.col(c), 4).alias("value"))
+                 round_half_even(F.col(c), 4).alias("value"))
         for c, metric in names.items()])))
     block = F.format_string("business_metrics_%dpct", F.round(F.col("top_k") * 100).cast("int"))
     metrics = ["precision", "recall", "lift", "top_k", "churners_captured", "total_churners"]

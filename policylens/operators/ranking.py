@@ -4,7 +4,8 @@ An order is a list of column names or (name, "desc") pairs. Missing keys come la
 
 Two ways are used. Where every row needs its rank or running sum, rows are range-partitioned on the
 whole sort key (so that a score shared by a third of the rows is still split by the next key), each
-slice is numbered on its own, and the slices' totals, one row each, are added up and joined back.
+slice is numbered on its own, and the slices' totals, one row each, are added up and joined back. How
+many slices there are is left to the session's shuffle partitions and their merging at run time.
 Where only a few positions are needed (a top-k cut, a train/test border), the keys at these positions
 are found by narrowing passes of counts, and no row is shuffled at all.
 """
@@ -65,16 +66,12 @@ def same_key(order, key):
 # ---- ranks and running sums of every row ------------------------------------------------------
 
 
-def _slices(spark):
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def global_rank(df, order_by, rank_col="rn"):
     """1-based rank of every row in a total order: one range shuffle and one stored pass."""
     order = parse_order(order_by)
     in_slice = 33
     laid = stage(
-        df.repartitionByRange(_slices(df.sparkSession), *sort_columns(order))
+        df.repartitionByRange(*sort_columns(order))
         .sortWithinPartitions(*sort_columns(order))
         .withColumn("_seen", F.monotonically_increasing_id()),
         "rank",
@@ -112,7 +109,7 @@ def prefix_sums(df, order_by, sums, by=(), totals=None, few_groups=False):
         Window.partitionBy("_slice", *by).orderBy(*sort_columns(order))
         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     laid = stage(
-        df.repartitionByRange(_slices(df.sparkSession), *range_key)
+        df.repartitionByRange(*range_key)
         .withColumn("_slice", F.spark_partition_id())
         .select("*", *[F.sum(c).over(within).alias(name) for name, c in sums.items()]),
         "running",
@@ -360,10 +357,10 @@ def split_ordered(df, order_by=("policy_id",), train_share=0.80, part_col="part"
         part_col, F.when(_border(positions, border, order), "train").otherwise("test"))
 
 
-def time_folds(df, order_by=("policy_id",), k=5):
-    """Expanding folds: one row per (fold, row) with role train or test.
+def time_blocks(df, order_by=("policy_id",), k=5, block_col="block"):
+    """Number the blocks of an expanding split: 0 is only ever trained on, 1 to k are tested in turn.
 
-    The last k blocks of floor(n / (k + 1)) rows are tested in turn; each fold trains on all before.
+    Each tested block has floor(n / (k + 1)) rows; fold f trains on the blocks before f and tests f.
     """
     order = parse_order(order_by)
     total = df.count()
@@ -375,8 +372,13 @@ def time_folds(df, order_by=("policy_id",), k=5):
     block = F.lit(0)
     for border in borders:
         block = block + (~_border(positions, border, order)).cast("int")
+    return df.withColumn(block_col, block)
+
+
+def time_folds(df, order_by=("policy_id",), k=5):
+    """Expanding folds laid out: one row per (fold, row) with role train or test."""
     return (
-        df.withColumn("_block", block)
+        time_blocks(df, order_by, k, "_block")
         .withColumn("fold", F.explode(F.sequence(F.greatest(F.col("_block"), F.lit(1)), F.lit(k))))
         .withColumn("role", F.when(F.col("fold") == F.col("_block"), "test").otherwise("train"))
         .drop("_block")

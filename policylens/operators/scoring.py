@@ -4,6 +4,7 @@ that adds `churn_probability`; batch and stream use the same one."""
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from policylens.functions.rounding import round_half_even
 from policylens.functions.tiers import AT_RISK, retention_action, risk_tier, tier_rank
 from policylens.functions.value import lifetime_value
 from policylens.operators.features import add_features
@@ -39,7 +40,7 @@ def prediction_rows(scored, model_name, stage):
     tier = risk_tier(F.col(SCORE), closed="left")
     return scored.select(
         POLICY_ID,
-        F.bround(SCORE, 4).alias(SCORE),
+        round_half_even(F.col(SCORE), 4).alias(SCORE),
         tier.alias("risk_tier"),
         retention_action(tier).alias("recommended_action"),
         lifetime_value(F.col("annual_premium"), F.col("tenure_months")).alias("estimated_clv"),
@@ -59,6 +60,6 @@ def at_risk_summary(requests, position="pos"):
         F.min_by("annual_premium", position).alias("_premium"))
     return per_policy.agg(
         F.coalesce(F.sum("_rows"), F.lit(0)).alias("total_at_risk"),
-        F.bround(F.coalesce(F.sum(F.col("_rows") * F.col("_premium")), F.lit(0.0)), 2)
+        round_half_even(F.coalesce(F.sum(F.col("_rows") * F.col("_premium")), F.lit(0.0)), 2)
         .alias("total_premium_at_risk"),
     )

@@ -19,8 +19,8 @@ def policy_id(number, id_offset=0):
 
 def dominant_lob():
     """Line with the largest contribution; the earlier line wins a tie, no signal means the first."""
-    amounts = F.array(*[F.coalesce(F.col(c), F.lit(0)) for c in LOB_DRIVERS.values()])
-    total = F.aggregate(amounts, F.lit(0), lambda acc, x: acc + x)
+    known = [F.coalesce(F.col(c), F.lit(0)) for c in LOB_DRIVERS.values()]
+    amounts, total = F.array(*known), reduce(add, known)
     position = F.array_position(amounts, F.array_max(amounts)).cast("int")
     names = list(LOB_DRIVERS)
     return F.when(total == 0, names[0]).otherwise(

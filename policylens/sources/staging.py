@@ -28,11 +28,11 @@ def new_path(spark, label):
     return f"{shared_folder(spark)}/policylens/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
-def stage(df, label):
+def stage(df, label, partition_by=()):
     """Write `df` once and return the stored table: columnar, prunable, and cut from its lineage."""
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -8,6 +8,14 @@ from policylens.operators import ranking as rk
 ORDER = [("p", "desc"), "id"]
 
 
+@pytest.fixture(scope="module", autouse=True)
+def several_slices(spark):
+    """Without this the small tables would be merged into one slice."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 @pytest.fixture(scope="module")
 def skewed(spark):
     """30,000 rows, a third of them with one score, the rest in few or many others."""
@@ -30,6 +38,12 @@ def test_global_rank_equals_one_window(skewed):
     assert ranked.agg(F.countDistinct("ours")).first()[0] == 30000
 
 
+def test_slices_split_the_hot_score(skewed):
+    laid = skewed.repartitionByRange(*rk.sort_columns(rk.parse_order(ORDER))).withColumn("s", F.spark_partition_id())
+    sizes = [r["n"] for r in laid.groupBy("s").agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) == 4 and max(sizes) < 10000
+
+
 def test_rank_does_not_depend_on_partitioning(skewed):
     first = rk.global_rank(skewed.repartition(1), ORDER).select("id", "rn")
     second = rk.global_rank(skewed.repartition(17), ORDER).select("id", F.col("rn").alias("other"))

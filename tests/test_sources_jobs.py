@@ -106,11 +106,34 @@ def test_broadcast_only_after_a_count(spark):
 
 
 def test_shared_folder_is_the_session_setting(spark):
-    spark.conf.set("spark.checkpoint.dir", "/tmp/policylens-named")
-    try:
-        assert staging.shared_folder(spark) == "/tmp/policylens-named"
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
+    class Conf:
+        def __init__(self, **settings):
+            self.settings = settings
+
+        def get(self, key, default=None):
+            return self.settings.get(key, default)
+
+    class Context:
+        def __init__(self, master):
+            self.master, self.folder = master, None
+
+        def getCheckpointDir(self):
+            return self.folder
+
+        def setCheckpointDir(self, folder):
+            self.folder = folder
+
+    class Session:
+        def __init__(self, master, **settings):
+            self.conf, self.sparkContext = Conf(**settings), Context(master)
+
+    named = Session("yarn", **{"spark.checkpoint.dir": "s3a://shared/checkpoints"})
+    assert staging.shared_folder(named) == "s3a://shared/checkpoints"
+    with pytest.raises(RuntimeError):
+        staging.shared_folder(Session("yarn"))
+    local = Session("local[2]")
+    assert staging.shared_folder(local) == staging.shared_folder(local) == local.sparkContext.folder
+    assert staging.shared_folder(spark) in staging.new_path(spark, "x")
 
 
 @pytest.fixture(scope="module")

@@ -221,9 +221,9 @@ ranked AS (SELECT {label} AS y, row_number() OVER (ORDER BY {order}) AS rn FROM
 sizes AS (SELECT count(*) AS n, CAST(sum(y) AS BIGINT) AS pos, CAST(floor(count(*) * {f}) AS BIGINT) AS k FROM ranked),
 hits AS (SELECT coalesce(CAST(sum(y) AS BIGINT), 0) AS h FROM ranked, sizes WHERE rn <= k),
 metrics AS (
-  SELECT round_even(CASE WHEN k > 0 THEN h / CAST(k AS DOUBLE) ELSE 0 END, 4) AS "precision",
-    round_even(CASE WHEN pos > 0 THEN h / CAST(pos AS DOUBLE) ELSE 0 END, 4) AS recall,
-    round_even(CASE WHEN k > 0 AND pos > 0 THEN (h / CAST(k AS DOUBLE)) / (pos / CAST(n AS DOUBLE)) ELSE 0 END, 2) AS lift,
+  SELECT round_even((CASE WHEN k > 0 THEN h / CAST(k AS DOUBLE) ELSE 0 END) * 10000, 0) / 10000 AS "precision",
+    round_even((CASE WHEN pos > 0 THEN h / CAST(pos AS DOUBLE) ELSE 0 END) * 10000, 0) / 10000 AS recall,
+    round_even((CASE WHEN k > 0 AND pos > 0 THEN (h / CAST(k AS DOUBLE)) / (pos / CAST(n AS DOUBLE)) ELSE 0 END) * 100, 0) / 100 AS lift,
     {f} AS top_k, h AS churners_captured, pos AS total_churners
   FROM sizes, hits)"""
 
@@ -328,8 +328,8 @@ TIER_LEFT = """CASE WHEN {p} >= 0 AND {p} < CAST(0.2 AS DOUBLE) THEN 'low'
 RIGHT, LEFT = TIER_RIGHT.format(p="churn_probability"), TIER_LEFT.format(p="churn_probability")
 ACTION = """CASE risk_tier WHEN 'low' THEN 'no_action' WHEN 'medium' THEN 'soft_retention'
   WHEN 'high' THEN 'proactive_outreach' ELSE 'urgent_retention' END"""
-CLV = """round_even(annual_premium * (1 - pow(CAST(1.08 AS DOUBLE),
-  -greatest(CAST(1 AS DOUBLE), (60 - tenure_months) / CAST(12 AS DOUBLE)))) / CAST(0.08 AS DOUBLE), 2)"""
+CLV = """round_even((annual_premium * (1 - pow(CAST(1.08 AS DOUBLE),
+  -greatest(CAST(1 AS DOUBLE), (60 - tenure_months) / CAST(12 AS DOUBLE)))) / CAST(0.08 AS DOUBLE)) * 100, 0) / 100"""
 SPLIT_REF = "SELECT *, (client_no % 10 < 7)::INT AS is_ref FROM policies"
 TENURE_REF = "SELECT *, (tenure_months > 35)::INT AS is_ref FROM policies"
 BY_ID = "churn_probability DESC, policy_id"
@@ -495,7 +495,7 @@ SELECT churn_probability, {RIGHT} AS batch_tier, {LEFT} AS online_tier, count(*)
     out["retention_action"] = _query(tiered, f"SELECT policy_id, risk_tier, {ACTION} AS recommended_action FROM tiered")
     out["clv"] = _query(POLICIES, f"SELECT policy_id, {CLV} AS estimated_clv FROM policies")
     out["prediction_rows"] = _query(tiered, f"""
-SELECT policy_id, round_even(churn_probability, 4) AS churn_probability, risk_tier,
+SELECT policy_id, round_even((churn_probability) * 10000, 0) / 10000 AS churn_probability, risk_tier,
   {ACTION} AS recommended_action, {CLV} AS estimated_clv, 'retention_scorecard@Production' AS model_version
 FROM tiered""")
     out["batch_result"] = _query(SCORES + f",\ntiered AS (SELECT *, {RIGHT} AS risk_tier FROM scores)", """
@@ -507,7 +507,7 @@ asked AS (
   UNION ALL SELECT policy_id, annual_premium * 2, churn_probability, client_no + 1000000000 FROM scores
   WHERE client_no % 50 = 0),
 firsts AS (SELECT policy_id, arg_min(annual_premium, pos) AS premium FROM asked GROUP BY policy_id)""", """
-SELECT count(*) AS total_at_risk, round_even(coalesce(sum(premium), 0), 2) AS total_premium_at_risk
+SELECT count(*) AS total_at_risk, round_even((coalesce(sum(premium), 0)) * 100, 0) / 100 AS total_premium_at_risk
 FROM asked JOIN firsts USING (policy_id) WHERE churn_probability >= CAST(0.45 AS DOUBLE)""")
     out["stream_score"] = _query(DIRTY + """,
 good AS (
@@ -549,8 +549,8 @@ SELECT CAST({edges} AS INTEGER) AS bin, count(*) AS n, round(avg(churn_probabili
         f"{name} AS (WITH {_topk('scores', fraction)} SELECT * FROM metrics)"
         for name, fraction in (("top10", "0.10"), ("top15", "0.15"))) + """,
 overall AS (
-  SELECT round_even(auc, 4) AS auc_roc, round_even(avg_precision, 4) AS avg_precision,
-    (SELECT round_even(avg((churn_probability - churn_label) * (churn_probability - churn_label)), 4) FROM scores) AS brier_score
+  SELECT round_even((auc) * 10000, 0) / 10000 AS auc_roc, round_even((avg_precision) * 10000, 0) / 10000 AS avg_precision,
+    (SELECT round_even((avg((churn_probability - churn_label) * (churn_probability - churn_label))) * 10000, 0) / 10000 FROM scores) AS brier_score
   FROM curve_metrics)"""
     pieces = [f"SELECT 'overall' AS section, '{m}' AS metric, {m} AS value FROM overall"
               for m in ("auc_roc", "avg_precision", "brier_score")]
@@ -560,8 +560,8 @@ overall AS (
         for m in ("precision", "recall", "lift", "top_k", "churners_captured", "total_churners")]
     out["eval_report"] = _query(report, " UNION ALL ".join(pieces))
     out["quality_gate"] = _query(SCORES + "," + _curve("scores"), """
-SELECT round_even(auc, 4) AS auc_roc, CAST(0.7 AS DOUBLE) AS min_auc,
-  round_even(auc, 4) >= CAST(0.7 AS DOUBLE) AS passed FROM curve_metrics""")
+SELECT round_even((auc) * 10000, 0) / 10000 AS auc_roc, CAST(0.7 AS DOUBLE) AS min_auc,
+  round_even((auc) * 10000, 0) / 10000 >= CAST(0.7 AS DOUBLE) AS passed FROM curve_metrics""")
     out["model_comparison"] = _query(SCORES + f""",
 both_models AS (
   SELECT 'scorecard' AS model, churn_probability, churn_label FROM scores
