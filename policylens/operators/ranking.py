@@ -11,6 +11,7 @@ are found by narrowing passes of counts, and no row is shuffled at all.
 """
 
 from dataclasses import dataclass, field
+from itertools import groupby
 
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -21,7 +22,6 @@ FAN_OUT = 64
 SAMPLE_PER_CUT = 32
 SETTLE_ROWS = 200_000
 HASH_RANGE = 1 << 40
-NARROWING = 0.9
 
 
 def parse_order(order_by):
@@ -169,7 +169,7 @@ class _Bracket:
     start: int
     rows: int
     ranks: list = field(default_factory=list)
-    narrowing: bool = True
+    divisible: bool = True
 
     def holds(self, order):
         inside = F.lit(True)
@@ -233,31 +233,39 @@ def _sample_cuts(keyed, order, brackets):
 
 
 def _choose_cuts(drawn, bracket):
-    """Evenly spaced cuts on as few key columns as tell the drawn keys apart."""
-    if not drawn:
-        return []
-    first, last = drawn[0][0], drawn[-1][0]
-    length = next((i + 1 for i in range(len(first)) if first[i] != last[i]), len(first))
-    weights = {}
-    for key, n in drawn:
-        weights[key[:length]] = weights.get(key[:length], 0) + n
-    step = max(1, sum(weights.values()) // FAN_OUT)
-    cuts, passed, due, previous = [], 0, step, None
-    for prefix, n in weights.items():
-        passed += n
-        if passed >= due:
-            # A prefix heavier than one step is cut off from what stands before it, too.
-            if n > step and previous is not None and previous not in cuts[-1:]:
-                cuts.append(previous)
-            if prefix != bracket.high:
+    """Ascending cuts of about equal weight, on as few leading key columns as will do.
+
+    A leading value heavier than one step is cut off on both sides and divided by the next column.
+    """
+    step = max(1, sum(n for _, n in drawn) // FAN_OUT)
+    cuts = []
+
+    def walk(keys, depth):
+        passed, previous = 0, None
+        for prefix, members in groupby(keys, key=lambda drawn_key: drawn_key[0][:depth]):
+            members = list(members)
+            weight = sum(n for _, n in members)
+            passed += weight
+            if weight > step:
+                if previous is not None and passed > weight:
+                    cuts.append(previous)
+                if len(members) > 1:
+                    walk(members, depth + 1)
+            if passed >= step:
                 cuts.append(prefix)
-            due = passed + step
-        previous = prefix
-    return cuts
+                passed = 0
+            previous = prefix
+
+    walk(drawn, 1)
+    # A beginning of the upper end reaches at least as far as the end itself.
+    return [cut for cut in cuts if bracket.high is None or bracket.high[:len(cut)] != cut]
 
 
 def _narrow(keyed, order, brackets):
-    """Replace each bracket by the parts of it that hold the wanted ranks."""
+    """Replace each bracket by the parts of it that hold the wanted ranks.
+
+    A bracket that offers no cut is one key as far as the sample can tell; it is left for good.
+    """
     cuts = _sample_cuts(keyed, order, brackets)
     part = F.lit(0)
     for i, chosen in enumerate(cuts):
@@ -279,11 +287,20 @@ def _narrow(keyed, order, brackets):
                 narrowed.append(_Bracket(
                     chosen[p - 1] if p else bracket.low,
                     chosen[p] if p < len(chosen) else bracket.high,
-                    start, rows, ranks, rows < NARROWING * bracket.rows))
+                    start, rows, ranks, bool(chosen)))
             start += rows
     return narrowed
 
 
+def _narrow_down(keyed, order, brackets, settle_rows):
+    """Narrow until every bracket has at most `settle_rows` rows or cannot be divided."""
+    wide = [b for b in brackets if b.rows > settle_rows and b.divisible]
+    if not wide:
+        return brackets
+    settled = [b for b in brackets if b not in wide]
+    return _narrow_down(keyed, order, settled + _narrow(keyed, order, wide), settle_rows)
+
+
 def keys_at_ranks(df, order_by, ranks, total=None, settle_rows=SETTLE_ROWS):
     """The `Position` at each 1-based rank of the order; ranks outside the table are left out.
 
@@ -299,13 +316,7 @@ def keys_at_ranks(df, order_by, ranks, total=None, settle_rows=SETTLE_ROWS):
     wanted = sorted({int(r) for r in ranks if 1 <= r <= total})
     if not wanted:
         return {}
-    brackets = [_Bracket(None, None, 0, total, wanted)]
-    while True:
-        wide = [b for b in brackets if b.rows > settle_rows and b.narrowing]
-        if not wide:
-            break
-        brackets = [b for b in brackets if b not in wide] + _narrow(keyed, order, wide)
-
+    brackets = _narrow_down(keyed, order, [_Bracket(None, None, 0, total, wanted)], settle_rows)
     within = (
         Window.partitionBy("_bracket").orderBy(*sort_columns(order))
         .rowsBetween(Window.unboundedPreceding, Window.currentRow))

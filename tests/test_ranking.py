@@ -73,6 +73,27 @@ def test_selection_equals_sorting(skewed, settle):
     assert all(position.rows_before == rank - 1 and position.rows_at == 1 for rank, position in found.items())
 
 
+@pytest.mark.parametrize("settle", [20, 300])
+def test_hot_score_is_narrowed_by_the_next_key(skewed, settle):
+    order = rk.parse_order(ORDER)
+    start = [rk._Bracket(None, None, 0, 30000, [10, 15000, 20000])]
+    brackets = rk._narrow_down(skewed.select("p", "id"), order, start, settle)
+    assert len(brackets) == 3 and all(b.rows <= settle for b in brackets)
+    for b in brackets:
+        inside = skewed.where(b.holds(order)).count()
+        assert inside == b.rows and b.start < b.ranks[0] <= b.start + b.rows
+
+
+def test_cuts_divide_a_heavy_value_and_stop_at_the_end():
+    drawn = [((0.9, "a"), 1), *[((0.5, f"k{i:03d}"), 1) for i in range(200)], ((0.1, "z"), 1)]
+    cuts = rk._choose_cuts(drawn, rk._Bracket(None, None, 0, 10**6, [1]))
+    assert cuts[0] == (0.9,) and (0.5,) in cuts and sum(len(c) == 2 for c in cuts) > 30
+    assert cuts == sorted(cuts, key=lambda c: (-c[0], c[1] if len(c) > 1 else "~"))
+    inside = rk._choose_cuts(drawn[1:-1], rk._Bracket(None, (0.5, "k199"), 0, 10**6, [1]))
+    assert (0.5,) not in inside and (0.5, "k199") not in inside and len(inside) > 30
+    assert rk._choose_cuts([((1.0, "a"), 9)], rk._Bracket(None, (1.0, "a"), 0, 9, [1])) == []
+
+
 def test_selection_with_many_equal_keys(spark):
     df = spark.range(10000).select((F.col("id") % 3).alias("v"))
     found = rk.keys_at_ranks(df, ["v"], [1, 3334, 3335, 10000], settle_rows=10)
