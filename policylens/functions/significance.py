@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,6 +10,9 @@ from pyspark.sql import types as T
 SERIES_TERMS = 100
 SERIES_START = 0.2
 
+# Fixed value: up to this size of either sample the two-sample test is exact.
+EXACT_UP_TO = 10_000
+
 
 def kolmogorov_p(z):
     """Two-sided p-value of sqrt(n1 n2 / (n1 + n2)) * D by Kolmogorov's series."""
@@ -47,3 +51,40 @@ def chi_square_p(x, dof):
         return pd.Series([tail(v, d) for v, d in zip(values, degrees)], dtype="float64")
 
     return F.pandas_udf(tails, T.DoubleType())(x, dof)
+
+
+def exact_ks_p(statistic, size_ref, size_cur, up_to=EXACT_UP_TO):
+    """P(D >= statistic) for two samples of these sizes; for one row per tested column.
+
+    Null where a sample is empty or larger than `up_to`. Merging the samples is a walk from (0, 0) to
+    (n, m) with every order equally likely; the walk's chance to stay within the statistic is summed
+    up along its diagonals, which costs n + m steps over the width of the band.
+    """
+
+    def inside(n, m, reach):
+        chance = np.zeros(n + 2)
+        chance[1] = 1.0
+        first, last = 0, 0
+        for s in range(1, n + m + 1):
+            low = max(0, s - m, (s * n - reach) // (n + m) + 1)
+            high = min(n, s, -((-s * n - reach) // (n + m)) - 1)
+            if low > high:
+                return 0.0
+            i = np.arange(low, high + 1)
+            step = chance[low:high + 1] * (i / s) + chance[low + 1:high + 2] * ((s - i) / s)
+            chance[first + 1:last + 2] = 0.0
+            chance[low + 1:high + 2] = step
+            first, last = low, high
+        return chance[n + 1]
+
+    def p_value(d, n, m):
+        if d != d or n != n or m != m or min(n, m) < 1 or max(n, m) > up_to:
+            return None
+        n, m = int(n), int(m)
+        reach = round(d * n * m)
+        return 1.0 if reach == 0 else min(1.0, max(0.0, 1.0 - inside(n, m, reach)))
+
+    def p_values(d: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
+        return pd.Series([p_value(*row) for row in zip(d, n, m)], dtype="float64")
+
+    return F.pandas_udf(p_values, T.DoubleType())(statistic, size_ref, size_cur)

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from policylens.functions.significance import chi_square_p, kolmogorov_p
+from policylens.functions.significance import chi_square_p, exact_ks_p, kolmogorov_p
 from policylens.operators.profile import melt
 from policylens.operators.ranking import prefix_sums
 from policylens.schema import LABEL, numeric_columns
@@ -29,11 +29,14 @@ def _side_counts(reference, current, columns, cast):
         F.sum("_ref").alias("n_ref"), F.sum("_cur").alias("n_cur"))
 
 
-def ks_columns(reference, current, target=LABEL, max_columns=MAX_COLUMNS):
+def ks_columns(reference, current, target=LABEL, max_columns=MAX_COLUMNS, method="auto"):
     """Two-sample Kolmogorov-Smirnov per numeric column of the reference that `current` has too.
 
-    Both samples are reduced to counts per distinct value before any order is made.
+    Both samples are reduced to counts per distinct value before any order is made. Under "auto" the
+    p-value of small samples is exact and that of larger ones asymptotic; "asymptotic" is for all.
     """
+    if method not in ("auto", "asymptotic"):
+        raise ValueError(f"method must be 'auto' or 'asymptotic', not {method!r}")
     numeric = numeric_columns(reference, exclude=[target])[:max_columns]
     tested = [c for c in numeric if c in current.columns]
     counts = _side_counts(reference, current, tested, "double")
@@ -50,6 +53,9 @@ def ks_columns(reference, current, target=LABEL, max_columns=MAX_COLUMNS):
         .withColumn("_z", F.sqrt(F.try_divide(n * m, n + m)) * F.col("statistic"))
         .withColumn("p_value", kolmogorov_p(F.col("_z")))
     )
+    if method == "auto":
+        exact = exact_ks_p("statistic", "size_ref", "size_cur")
+        tested_columns = tested_columns.withColumn("p_value", F.coalesce(exact, F.col("p_value")))
     return tested_columns.select(
         "column_index", "column", "size_ref", "size_cur", "statistic", "p_value",
         F.coalesce(F.col("p_value") < P_DRIFT, F.lit(False)).alias("drifted"))

@@ -24,8 +24,18 @@ def shared_folder(spark):
     return context.getCheckpointDir()
 
 
+def _own_folder(spark):
+    return f"{shared_folder(spark)}/policylens/{spark.sparkContext.applicationId}"
+
+
 def new_path(spark, label):
-    return f"{shared_folder(spark)}/policylens/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    return f"{_own_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def remove_intermediate(spark):
+    """Delete this application's intermediate tables, once no result that reads them is needed."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stage(df, label, partition_by=()):

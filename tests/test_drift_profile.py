@@ -1,8 +1,10 @@
+from itertools import combinations
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from policylens.functions.significance import chi_square_p, kolmogorov_p
+from policylens.functions.significance import chi_square_p, exact_ks_p, kolmogorov_p
 from policylens.operators import drift, profile
 
 
@@ -17,6 +19,29 @@ def test_p_values(spark):
     assert got[5] is None and got[6] is None and got[7] == pytest.approx(0.0)
 
 
+def test_exact_ks_against_every_order(spark):
+    cases, want = [], []
+    for n, m in ((5, 4), (4, 4), (3, 6), (1, 5)):
+        gaps = []
+        for chosen in combinations(range(n + m), n):
+            a, b = np.array(chosen), np.array([k for k in range(n + m) if k not in chosen])
+            gaps.append(brute_ks(a, b))
+        for d in sorted(set(np.round(gaps, 9))):
+            cases.append((float(d), n, m))
+            want.append(np.mean(np.array(gaps) >= d - 1e-6))
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, d double, n long, m long")
+    got = [r[0] for r in df.coalesce(1).orderBy("i").select(exact_ks_p("d", "n", "m")).collect()]
+    assert got == pytest.approx(want)
+    odd = spark.createDataFrame([(0.0, 5, 5), (None, 5, 5), (0.2, 0, 5), (0.01, 20000, 5), (0.02, 10000, 9999)],
+                                "d double, n long, m long")
+    got = [r[0] for r in odd.coalesce(1).select(exact_ks_p("d", "n", "m")).collect()]
+    assert got[:4] == [1.0, None, None, None]
+    # Near the limit law, taken at the argument that corrects for the finite sizes.
+    size = 10000 * 9999 / 19999
+    limit = spark.range(1).select(kolmogorov_p(F.lit(0.02 * size ** 0.5 + 1 / (6 * size ** 0.5)))).first()[0]
+    assert got[4] == pytest.approx(limit, rel=0.01)
+
+
 def brute_ks(a, b):
     grid = np.concatenate([a, b])
     return max(abs((a <= v).mean() - (b <= v).mean()) for v in grid)

@@ -16,7 +16,7 @@ STATEMENTS = entry_module.oracle_sql()
 def test_every_statement_has_a_query():
     assert set(STATEMENTS) <= set(entry_module.queries())
     assert set(entry_module.queries()) - set(STATEMENTS) == {
-        "tr_premium_change", "train_baseline", "train_gbt", "train_gbt_alt", "search_gbt", "train_job",
+        "tr_premium_change", "ks_exact", "train_baseline", "train_gbt", "train_gbt_alt", "search_gbt", "train_job",
         "score_model", "batch_score", "eval_job"}
 
 

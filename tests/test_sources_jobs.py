@@ -136,6 +136,14 @@ def test_shared_folder_is_the_session_setting(spark):
     assert staging.shared_folder(spark) in staging.new_path(spark, "x")
 
 
+def test_intermediate_tables_can_be_removed(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(staging, "shared_folder", lambda _: str(tmp_path))
+    assert staging.stage(spark.range(3), "x").count() == 3
+    assert os.listdir(tmp_path / "policylens")
+    staging.remove_intermediate(spark)
+    assert not os.listdir(tmp_path / "policylens")
+
+
 @pytest.fixture(scope="module")
 def trained(spark, tmp_path_factory):
     out = str(tmp_path_factory.mktemp("model"))

@@ -127,6 +127,8 @@ def scorecard(df, name="churn_probability"):
 
 SCORECARD_WEIGHTS = {"claim_count_12m": 0.6, "tenure_months": -0.07, "premium_change_pct": 0.03}
 
+DERIVED_WEIGHTS = {"premium_to_market_ratio": 0.8, "tenure_years": -0.3, "has_recent_claim": 0.5}
+
 
 def tenure_card(df, name="churn_probability"):
     """A second score that knows only the tenure."""

@@ -648,4 +648,16 @@ FROM picked JOIN contributions USING (policy_id)""")
 SELECT feature, CASE WHEN feature = 'tenure_months' THEN floor(value / CAST(6 AS DOUBLE)) * 6 ELSE value END AS value,
   count(*) AS n, round(avg(contribution), 6) AS mean_contribution
 FROM contributions WHERE feature IN ('tenure_months', 'claim_count_12m') GROUP BY 1, 2""")
+    derived_cells = _melt("features", ["premium_to_market_ratio", "tenure_years", "has_recent_claim"])
+    out["dependence_default"] = _query(FEATURES + f""",
+cells AS (SELECT "column" AS feature, v AS value FROM ({derived_cells})),
+means AS (SELECT feature, avg(value) AS m FROM cells GROUP BY feature),
+parts AS (
+  SELECT feature, value, CASE feature WHEN 'premium_to_market_ratio' THEN CAST(0.8 AS DOUBLE)
+    WHEN 'tenure_years' THEN CAST(-0.3 AS DOUBLE) ELSE CAST(0.5 AS DOUBLE) END * (value - m) AS contribution
+  FROM cells JOIN means USING (feature))""", """
+SELECT feature, round(CASE feature WHEN 'premium_to_market_ratio' THEN floor(value / CAST(0.25 AS DOUBLE)) * CAST(0.25 AS DOUBLE)
+  WHEN 'tenure_years' THEN floor(value / CAST(0.5 AS DOUBLE)) * CAST(0.5 AS DOUBLE) ELSE value END, 6) AS value,
+  count(*) AS n, round(avg(contribution), 6) AS mean_contribution
+FROM parts GROUP BY 1, 2""")
     return out

@@ -9,6 +9,7 @@ from policylens.operators import translate as translation
 from policylens.operators import validate
 from policylens.plans.batch_score import batch_score
 from policylens.plans.evaluate import eval_job
+from policylens.plans.features import build_training_features
 from policylens.plans.ingest import ingest
 from policylens.plans.train import train_job
 from policylens.schema import LABEL, RAW_COLUMNS, RAW_TARGET, numeric_columns
@@ -76,8 +77,9 @@ def sink_policies(spark, sf_dir):
 
 
 def sink_features(spark, sf_dir):
-    path = policy_files.write_table(
-        features.training_features(inputs.policies(spark, sf_dir)), new_path(spark, "matrix"))
+    source = policy_files.write_table(inputs.policies(spark, sf_dir), new_path(spark, "policies"))
+    path = new_path(spark, "matrix")
+    build_training_features(spark, source, path)
     return _matrix(spark.read.parquet(path))
 
 
@@ -417,6 +419,12 @@ def model_comparison(spark, sf_dir):
 
 
 def ks_columns(spark, sf_dir):
+    reference, current = inputs.drift_sides(spark, sf_dir, inputs.client_no() % 10 < 7)
+    return _r_floats(drift.ks_columns(reference, current, method="asymptotic"))
+
+
+def ks_exact(spark, sf_dir):
+    """Exact p-values where either side has at most 10,000 rows."""
     reference, current = inputs.drift_sides(spark, sf_dir, inputs.client_no() % 10 < 7)
     return _r_floats(drift.ks_columns(reference, current))
 
@@ -427,7 +435,7 @@ def ks_events(spark, sf_dir):
     events = inputs.table(spark, sf_dir, "events")
     wide = events.select("ts", *[F.when(F.col("event_type") == t, F.col("value")).alias(t) for t in types])
     early = F.col("ts") < F.lit("2024-01-16").cast("timestamp")
-    return _r_floats(drift.ks_columns(wide.where(early).drop("ts"), wide.where(~early).drop("ts")))
+    return _r_floats(drift.ks_columns(wide.where(early).drop("ts"), wide.where(~early).drop("ts"), method="asymptotic"))
 
 
 def drift_summary(spark, sf_dir):
@@ -497,6 +505,13 @@ def dependence(spark, sf_dir):
         _scorecard_contributions(spark, sf_dir), ["tenure_months", "claim_count_12m"], {"tenure_months": 6}))
 
 
+def dependence_default(spark, sf_dir):
+    """The default features under a linear score of the derived columns."""
+    df = features.add_features(inputs.policies(spark, sf_dir), inputs.market_state(spark, sf_dir))
+    rows = attribution.contributions(df, inputs.DERIVED_WEIGHTS)
+    return _r_floats(attribution.dependence(rows, bin_widths={"premium_to_market_ratio": 0.25, "tenure_years": 0.5}))
+
+
 # ---- models ----
 
 SMALL_TREES = {"n_estimators": 10, "max_depth": 3, "learning_rate": 0.1}
@@ -698,6 +713,7 @@ QUERIES = {
     "quality_gate": quality_gate,
     "model_comparison": model_comparison,
     "ks_columns": ks_columns,
+    "ks_exact": ks_exact,
     "ks_events": ks_events,
     "drift_summary": drift_summary,
     "chi2_columns": chi2_columns,
@@ -708,6 +724,7 @@ QUERIES = {
     "importance": importance,
     "explain_extremes": explain_extremes,
     "dependence": dependence,
+    "dependence_default": dependence_default,
     "train_baseline": train_baseline,
     "train_gbt": train_gbt,
     "train_gbt_alt": train_gbt_alt,
