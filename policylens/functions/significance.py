@@ -12,6 +12,8 @@ SERIES_START = 0.2
 
 # Fixed value: up to this size of either sample the two-sample test is exact.
 EXACT_UP_TO = 10_000
+# Beyond this argument both the exact and the asymptotic p-value are below 1e-13.
+CERTAIN_FROM = 4.0
 
 
 def kolmogorov_p(z):
@@ -56,7 +58,7 @@ def chi_square_p(x, dof):
 def exact_ks_p(statistic, size_ref, size_cur, up_to=EXACT_UP_TO):
     """P(D >= statistic) for two samples of these sizes; for one row per tested column.
 
-    Null where a sample is empty or larger than `up_to`. Merging the samples is a walk from (0, 0) to
+    Null where a sample is empty or larger than `up_to`, or the sides differ beyond doubt. Merging the samples is a walk from (0, 0) to
     (n, m) with every order equally likely; the walk's chance to stay within the statistic is summed
     up along its diagonals, which costs n + m steps over the width of the band.
     """
@@ -80,6 +82,8 @@ def exact_ks_p(statistic, size_ref, size_cur, up_to=EXACT_UP_TO):
     def p_value(d, n, m):
         if d != d or n != n or m != m or min(n, m) < 1 or max(n, m) > up_to:
             return None
+        if d * math.sqrt(n * m / (n + m)) > CERTAIN_FROM:
+            return None
         n, m = int(n), int(m)
         reach = round(d * n * m)
         return 1.0 if reach == 0 else min(1.0, max(0.0, 1.0 - inside(n, m, reach)))

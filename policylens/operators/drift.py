@@ -7,13 +7,14 @@ from policylens.operators.profile import melt
 from policylens.operators.ranking import prefix_sums
 from policylens.schema import LABEL, numeric_columns
 
-# Significance, alert thresholds and the number of columns tested.
+# Significance, alert thresholds, numbers of columns and the name of the method.
 P_DRIFT = 0.05
 SHARE_ALERT = 0.15
 DATASET_SHARE = 0.5
 AUC_DROP_ALERT = 0.05
 MAX_COLUMNS = 20
 CARD_FEATURES = 10
+METHOD = "ks_test_fallback"
 
 CATEGORIES = ("lob", "channel", LABEL)
 
@@ -68,7 +69,7 @@ def drift_summary(tests, n_numeric, threshold=SHARE_ALERT):
     return (
         tests.agg(hits.alias("_hits"))
         .select(
-            F.lit("ks_test_fallback").alias("method"),
+            F.lit(METHOD).alias("method"),
             (F.size("_hits") / F.lit(float(max(n_numeric, 1)))).alias("share_drifted_features"),
             F.transform("_hits", lambda hit: hit["column"]).alias("drifted_columns"))
         .withColumn("alert", F.col("share_drifted_features") > threshold)

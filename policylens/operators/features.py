@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from policylens.functions.nulls import at_least, flag
 from policylens.operators.ranking import grouped_quantiles
 from policylens.schema import LABEL, MARKET_STATE, NON_FEATURES, POLICY_ID
-from policylens.sources.staging import broadcast_if_small
+from policylens.sources.staging import settle_small
 from policylens.sources.state import empty_state
 
 # Thresholds of the flags.
@@ -59,7 +59,7 @@ def with_market_median(df, state):
     fitted = state.select("lob", F.struct("market_median").alias("_fitted"))
     own = F.col("annual_premium").cast("double")
     median = F.when(F.col("_fitted").isNull(), own).otherwise(F.col("_fitted.market_median"))
-    return df.join(broadcast_if_small(fitted), "lob", "left").select(
+    return df.join(settle_small(fitted), "lob", "left").select(
         *df.columns, median.alias("market_median"))
 
 

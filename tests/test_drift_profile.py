@@ -32,10 +32,11 @@ def test_exact_ks_against_every_order(spark):
     df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, d double, n long, m long")
     got = [r[0] for r in df.coalesce(1).orderBy("i").select(exact_ks_p("d", "n", "m")).collect()]
     assert got == pytest.approx(want)
-    odd = spark.createDataFrame([(0.0, 5, 5), (None, 5, 5), (0.2, 0, 5), (0.01, 20000, 5), (0.02, 10000, 9999)],
+    odd = spark.createDataFrame([(0.0, 5, 5), (None, 5, 5), (0.2, 0, 5), (0.01, 20000, 5), (0.02, 10000, 9999),
+                                 (0.9, 9000, 9000)],
                                 "d double, n long, m long")
     got = [r[0] for r in odd.coalesce(1).select(exact_ks_p("d", "n", "m")).collect()]
-    assert got[:4] == [1.0, None, None, None]
+    assert got[:4] == [1.0, None, None, None] and got[5] is None
     # Near the limit law, taken at the argument that corrects for the finite sizes.
     size = 10000 * 9999 / 19999
     limit = spark.range(1).select(kolmogorov_p(F.lit(0.02 * size ** 0.5 + 1 / (6 * size ** 0.5)))).first()[0]

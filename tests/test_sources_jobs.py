@@ -161,6 +161,27 @@ def test_training_job(spark, trained):
         "logistic_baseline", "boosted_search"}
 
 
+def test_training_options(spark, tmp_path):
+    space = {**md.SEARCH_SPACE, "n_estimators": (2, 3, "int"), "max_depth": (2, 2, "int")}
+    out = str(tmp_path / "model")
+    policies = inputs.policies(spark, MEDIUM)
+    train_job(policies, out, n_trials=1, k=1, space=space, fit_scope="all", calib_on="holdout")
+    assert rows(state.load_market_state(spark, f"{out}/market_state")) == rows(inputs.market_state(spark, MEDIUM))
+
+
+def test_search_is_repeatable_and_skips_folds_without_positives(spark):
+    df = inputs.scores(spark, MEDIUM).select("policy_id", "tenure_months", "claim_count_12m", LABEL)
+    early = inputs.client_no() < 700
+    late_only = df.withColumn(LABEL, F.when(early, 0).otherwise(F.col(LABEL)))
+    space = {**md.SEARCH_SPACE, "n_estimators": (2, 3, "int"), "max_depth": (2, 2, "int")}
+    found = [md.search_boosted(late_only, ["tenure_months", "claim_count_12m"], n_trials=2, k=2, space=space)
+             for _ in range(2)]
+    assert found[0].params == found[1].params and found[0].cv_auc == pytest.approx(found[1].cv_auc)
+    assert len(found[0].trials) == 2 and found[0].cv_auc > 0.5
+    for name, (low, high, _) in space.items():
+        assert all(low <= trial[name] <= high for trial in found[0].trials)
+
+
 def test_calibration_meets_its_targets(spark, trained):
     parts = inputs.scores(spark, MEDIUM)
     names = ["tenure_months", "claim_count_12m", "premium_change_pct"]
@@ -197,6 +218,18 @@ def test_score_equals_its_own_pipeline(spark, trained):
     assert rows(ours, "policy_id", "churn_probability") == rows(stored, "policy_id", "churn_probability")
 
 
+def test_stream_with_the_stored_model_equals_the_batch_job(spark, trained, tmp_path):
+    out, _ = trained
+    model, medians = PipelineModel.load(f"{out}/model"), state.load_market_state(spark, f"{out}/market_state")
+    source, scores, summary, progress = (str(tmp_path / n) for n in ("in", "scores", "summary", "progress"))
+    inputs.requests(spark, MEDIUM).repartition(3).write.parquet(source)
+    score_stream(
+        read_stream(spark, source), lambda batch: scoring.score(batch, medians, model, "calibrated"),
+        scores, summary, progress).awaitTermination()
+    batch = batch_score(spark, source, str(tmp_path / "batch"), model_dir=out)
+    assert rows(spark.read.parquet(scores).drop("batch_id")) == rows(batch)
+
+
 def test_stream_equals_batch_and_goes_on_where_it_stopped(spark, tmp_path):
     requests = inputs.requests(spark, MEDIUM)
     source, scores, summary, progress = (str(tmp_path / n) for n in ("in", "scores", "summary", "progress"))
