@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from policylens.functions.significance import chi_square_p, exact_ks_p, kolmogorov_p
-from policylens.operators.profile import melt
+from policylens.operators.profile import column_name, melt
 from policylens.operators.ranking import prefix_sums
 from policylens.schema import LABEL, numeric_columns
 
@@ -26,7 +26,7 @@ def _side_counts(reference, current, columns, cast):
             "*", F.lit(ref).alias("_ref"), F.lit(1 - ref).alias("_cur"))
         for side, ref in ((reference, 1), (current, 0))
     ]
-    return sides[0].unionByName(sides[1]).groupBy("column_index", "column", "value").agg(
+    return sides[0].unionByName(sides[1]).groupBy("column_index", "value").agg(
         F.sum("_ref").alias("n_ref"), F.sum("_cur").alias("n_cur"))
 
 
@@ -42,14 +42,14 @@ def ks_columns(reference, current, target=LABEL, max_columns=MAX_COLUMNS, method
     tested = [c for c in numeric if c in current.columns]
     counts = _side_counts(reference, current, tested, "double")
     running = prefix_sums(
-        counts, ["value"], {"cum_ref": "n_ref", "cum_cur": "n_cur"}, ["column_index", "column"],
+        counts, ["value"], {"cum_ref": "n_ref", "cum_cur": "n_cur"}, ["column_index"],
         {"size_ref": "cum_ref", "size_cur": "cum_cur"}, few_groups=True)
     gap = F.abs(
         F.try_divide(F.col("cum_ref"), F.col("size_ref").cast("double"))
         - F.try_divide(F.col("cum_cur"), F.col("size_cur").cast("double")))
     n, m = F.col("size_ref").cast("double"), F.col("size_cur").cast("double")
     tested_columns = (
-        running.groupBy("column_index", "column", "size_ref", "size_cur")
+        running.groupBy("column_index", "size_ref", "size_cur")
         .agg(F.max(gap).alias("statistic"))
         .withColumn("_z", F.sqrt(F.try_divide(n * m, n + m)) * F.col("statistic"))
         .withColumn("p_value", kolmogorov_p(F.col("_z")))
@@ -58,7 +58,7 @@ def ks_columns(reference, current, target=LABEL, max_columns=MAX_COLUMNS, method
         exact = exact_ks_p("statistic", "size_ref", "size_cur")
         tested_columns = tested_columns.withColumn("p_value", F.coalesce(exact, F.col("p_value")))
     return tested_columns.select(
-        "column_index", "column", "size_ref", "size_cur", "statistic", "p_value",
+        "column_index", column_name(tested), "size_ref", "size_cur", "statistic", "p_value",
         F.coalesce(F.col("p_value") < P_DRIFT, F.lit(False)).alias("drifted"))
 
 
@@ -88,13 +88,13 @@ def chi2_columns(reference, current, columns=CATEGORIES, with_p=True):
     n = (F.col("n_ref") + F.col("n_cur")).cast("double")
     sums = (
         _side_counts(reference, current, present, "string")
-        .groupBy("column_index", "column")
+        .groupBy("column_index")
         .agg(F.sum(a).alias("_a"), F.sum(n).alias("_n"), F.sum(a * a / n).alias("_s"),
              (F.count(F.lit(1)) - 1).cast("int").alias("dof")))
     total, ours = F.col("_n"), F.col("_a")
     spread = F.greatest(F.lit(0.0), F.col("_s") - ours * ours / total)
     statistic = F.try_divide(total * total, ours * (total - ours)) * spread
-    tests = sums.select("column_index", "column", statistic.alias("statistic"), "dof")
+    tests = sums.select("column_index", column_name(present), statistic.alias("statistic"), "dof")
     if not with_p:
         return tests
     return (

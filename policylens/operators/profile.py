@@ -13,14 +13,20 @@ HISTOGRAM_COLUMNS = 12
 
 
 def melt(df, columns, keep=(), cast="double"):
-    """(keep, column_index, column, value), one row per cell of the columns."""
+    """(keep, column_index, value), one row per cell of the columns.
+
+    Cells carry the number of their column only; `column_name` gives the name back after aggregation.
+    """
     cells = F.array(*[
-        F.struct(F.lit(i).alias("column_index"), F.lit(c).alias("column"),
-                 F.col(c).cast(cast).alias("value"))
+        F.struct(F.lit(i).alias("column_index"), F.col(c).cast(cast).alias("value"))
         for i, c in enumerate(columns)])
     return df.select(*keep, F.inline(cells))
 
 
+def column_name(columns, index="column_index"):
+    return F.get(F.array(*map(F.lit, columns)), F.col(index)).alias("column")
+
+
 def null_profile(df):
     """Type, row count and non-null count of every column, from one aggregate."""
     counts = df.agg(
@@ -38,14 +44,15 @@ def head_rows(df, n=5, order_by=(POLICY_ID,)):
 
 def describe(df, columns=None):
     """count, mean, sample deviation, min, quartiles and max of each numeric column."""
-    cells = melt(df, columns or numeric_columns(df)).where(F.col("value").isNotNull())
-    moments = cells.groupBy("column_index", "column").agg(
+    columns = columns or numeric_columns(df)
+    cells = melt(df, columns).where(F.col("value").isNotNull())
+    moments = cells.groupBy("column_index").agg(
         F.count("value").alias("count"), F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
     quartiles = grouped_quantiles(
-        cells, ["column"], "value", [0.25, 0.5, 0.75], few_groups=True)
-    return moments.join(quartiles, "column").select(
-        "column_index", "column", "count", "mean", "std", "min",
+        cells, ["column_index"], "value", [0.25, 0.5, 0.75], few_groups=True)
+    return moments.join(quartiles, "column_index").select(
+        "column_index", column_name(columns), "count", "mean", "std", "min",
         F.col("q0").alias("p25"), F.col("q1").alias("p50"), F.col("q2").alias("p75"), "max")
 
 
@@ -67,11 +74,11 @@ def histogram_by_class(df, columns=None, label=LABEL, n_bins=HISTOGRAM_BINS):
         *[F.min(F.col(c).cast("double")).alias(f"_lo_{c}") for c in columns],
         *[F.max(F.col(c).cast("double")).alias(f"_hi_{c}") for c in columns],
     ).select(label, F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(f"_lo_{c}").alias("_lo"), F.col(f"_hi_{c}").alias("_hi"))
-        for c in columns])))
+        F.struct(F.lit(i).alias("column_index"), F.col(f"_lo_{c}").alias("_lo"), F.col(f"_hi_{c}").alias("_hi"))
+        for i, c in enumerate(columns)])))
     flat = F.col("_lo") == F.col("_hi")
     ranges = ranges.select(
-        label, "column",
+        label, "column_index",
         F.when(flat, F.col("_lo") - 0.5).otherwise(F.col("_lo")).alias("_lo"),
         F.when(flat, F.col("_hi") + 0.5).otherwise(F.col("_hi")).alias("_hi"))
 
@@ -86,10 +93,11 @@ def histogram_by_class(df, columns=None, label=LABEL, n_bins=HISTOGRAM_BINS):
     # At most two classes times the chosen columns on the broadcast side.
     return (
         melt(classes, columns, keep=[label]).where(v.isNotNull())
-        .join(F.broadcast(ranges), [label, "column"])
+        .join(F.broadcast(ranges), [label, "column_index"])
         .withColumn("_g", guess).withColumn("bin", settled)
-        .groupBy("column_index", "column", label, "bin")
+        .groupBy("column_index", label, "bin")
         .agg(F.count(F.lit(1)).alias("n"), F.min("_lo").alias("range_low"), F.max("_hi").alias("range_high"))
+        .select("column_index", column_name(columns), label, "bin", "n", "range_low", "range_high")
     )
 
 

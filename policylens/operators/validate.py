@@ -111,7 +111,7 @@ def check(df, null_policy="default"):
     faults = F.array(*[
         F.when(_field_fault(field), F.lit(field.name)) for field in REQUEST.fields])
     return (
-        typed.withColumn("reasons", F.filter(faults, lambda name: name.isNotNull()))
+        typed.withColumn("reasons", F.array_compact(faults))
         .drop(*[f"_given_{c}" for c in NULLABLE])
     )
 

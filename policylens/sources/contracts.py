@@ -33,7 +33,7 @@ def _locate(scan):
         "lines")
     blocks = located.groupBy("_file", "_block").agg(
         F.count(F.lit(1)).alias("_lines"), F.min("_seen").alias("_first"))
-    return located, stage(blocks, "blocks")
+    return located, settle_small(blocks)
 
 
 def _number(located, blocks, name):
