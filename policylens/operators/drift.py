@@ -103,10 +103,10 @@ def chi2_columns(reference, current, columns=CATEGORIES, with_p=True):
     )
 
 
-def drift_report(reference, current, target=LABEL, categories=CATEGORIES, timestamp=None):
+def drift_report(reference, current, target=LABEL, categories=CATEGORIES, timestamp=None, method="auto"):
     """One row over every numeric column and the categories: share drifted, flags, both sizes."""
     numeric = len(numeric_columns(reference, exclude=[target]))
-    ks = ks_columns(reference, current, target, max_columns=numeric)
+    ks = ks_columns(reference, current, target, numeric, method)
     chi2 = chi2_columns(reference, current, categories)
     tests = ks.select("column", "drifted").unionByName(chi2.select("column", "drifted"))
     share = F.try_divide(F.sum(F.col("drifted").cast("int")), F.count(F.lit(1)).cast("double"))

@@ -441,7 +441,7 @@ def ks_events(spark, sf_dir):
 def drift_summary(spark, sf_dir):
     reference, current = inputs.drift_sides(spark, sf_dir, F.col("tenure_months") > 35)
     numeric = len(numeric_columns(reference, exclude=[LABEL]))
-    summary = drift.drift_summary(drift.ks_columns(reference, current), numeric)
+    summary = drift.drift_summary(drift.ks_columns(reference, current, method="asymptotic"), numeric)
     return _r_floats(summary.withColumn("drifted_columns", F.array_join("drifted_columns", ",")))
 
 
@@ -452,7 +452,7 @@ def chi2_columns(spark, sf_dir):
 
 def drift_report(spark, sf_dir):
     reference, current = inputs.drift_sides(spark, sf_dir, F.col("tenure_months") > 35)
-    return _r_floats(drift.drift_report(reference, current).drop("timestamp"))
+    return _r_floats(drift.drift_report(reference, current, method="asymptotic").drop("timestamp"))
 
 
 def auc_drift(spark, sf_dir):
