@@ -5,17 +5,19 @@ import pytest
 
 import __spark_entry__ as entry_module
 from conftest import MEDIUM, SMALL
+from workload import oracle, queries
 
 sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "tools"))
 
 from compare import compare, connect  # noqa: E402
 
-STATEMENTS = entry_module.oracle_sql()
+STATEMENTS = oracle.statements()
 
 
 def test_every_statement_has_a_query():
     assert set(STATEMENTS) <= set(entry_module.queries())
-    assert set(entry_module.queries()) - set(STATEMENTS) == {
+    assert set(entry_module.oracle_sql()) <= set(entry_module.queries())
+    assert set(queries.QUERIES) - set(STATEMENTS) == {
         "tr_premium_change", "ks_exact", "train_baseline", "train_gbt", "train_gbt_alt", "search_gbt", "train_job",
         "score_model", "batch_score", "eval_job"}
 
