@@ -1,9 +1,11 @@
 """The registered queries of this subpackage and their SQL."""
 
+from policylens.llm.simhash_dedup import op6_simhash_dedup
 from policylens.llm.substring_dedup import op3_substring_dedup
 
 QUERIES = {
     "op3_substring_dedup": op3_substring_dedup,
+    "op6_simhash_dedup": op6_simhash_dedup,
 }
 
 STATEMENTS = {
@@ -12,21 +14,21 @@ STATEMENTS = {
         WITH listed AS (
             SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS ws
             FROM documents),
-        words AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS at FROM listed),
+        words AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS place FROM listed),
         windows AS (
-            SELECT doc_id, at, word, count(*) OVER ahead AS n, string_agg(word, ' ') OVER ahead AS run
-            FROM words WINDOW ahead AS (PARTITION BY doc_id ORDER BY at ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING)),
+            SELECT doc_id, place, word, count(*) OVER ahead AS n, string_agg(word, ' ') OVER ahead AS run
+            FROM words WINDOW ahead AS (PARTITION BY doc_id ORDER BY place ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING)),
         least AS (SELECT run, min(doc_id) AS first_doc FROM windows WHERE n = 13 GROUP BY run),
         marked AS (
-            SELECT w.doc_id, w.at, w.word, w.n = 13 AND l.first_doc < w.doc_id AS starts
+            SELECT w.doc_id, w.place, w.word, w.n = 13 AND l.first_doc < w.doc_id AS starts
             FROM windows w LEFT JOIN least l ON w.run = l.run AND w.n = 13),
         covered AS (
-            SELECT doc_id, at, word, coalesce(bool_or(starts) OVER (
-                PARTITION BY doc_id ORDER BY at ROWS BETWEEN 12 PRECEDING AND CURRENT ROW), false) AS gone
+            SELECT doc_id, place, word, coalesce(bool_or(starts) OVER (
+                PARTITION BY doc_id ORDER BY place ROWS BETWEEN 12 PRECEDING AND CURRENT ROW), false) AS gone
             FROM marked),
         counted AS (
             SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed,
-                coalesce(string_agg(word, ' ' ORDER BY at) FILTER (NOT gone), '') AS kept
+                coalesce(string_agg(word, ' ' ORDER BY place) FILTER (NOT gone), '') AS kept
             FROM covered GROUP BY doc_id)
         SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed,
             sha256(coalesce(kept, '')) AS kept_sha256
