@@ -2,8 +2,10 @@
 
 from policylens.llm.simhash_dedup import op6_simhash_dedup
 from policylens.llm.substring_dedup import op3_substring_dedup
+from policylens.llm.suffix_dedup import op2_suffix_dedup
 
 QUERIES = {
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_substring_dedup": op3_substring_dedup,
     "op6_simhash_dedup": op6_simhash_dedup,
 }
@@ -12,7 +14,7 @@ STATEMENTS = {
     # Words by place, the next 13 as one string, and the smallest document in which that string starts.
     "op3_substring_dedup": r"""
         WITH listed AS (
-            SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS ws
+            SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
             FROM documents),
         words AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS place FROM listed),
         windows AS (

@@ -54,9 +54,7 @@ class Rolling:
 
     def windows(self, sums, width):
         """Hash of the `width` symbols from each place on."""
-        n = len(sums) - width
-        if n <= 0:
-            return np.zeros(0, dtype=np.uint64)
+        n = max(0, len(sums) - width)
         return mix((sums[width:] - sums[:n]) * self.back[:n])
 
 
