@@ -36,6 +36,11 @@ def deal(docs, id_col, text_col, chunk_bytes=CHUNK_BYTES):
         F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text_col)], F.lit(0).alias("_")).alias("rest")), n
 
 
+def in_order(table):
+    """The rows of a chunk in the same order whenever the chunk is read."""
+    return table.sort_by([("key", "ascending"), ("text", "ascending")]) if table.num_rows else table
+
+
 def bucket_cuts(keys, n):
     """Places in the sorted 64-bit `keys` where each of `n` equal key ranges begins, and the end."""
     edges = [min((i << 64) // n, (1 << 64) - 1) for i in range(n)]

@@ -88,7 +88,10 @@ def word_hashes(codes, families=(FIRST, SECOND)):
 
 
 class Texts:
-    """The whole texts of one chunk, laid one behind the other with a line break between them."""
+    """The whole texts of one chunk, laid one behind the other with a line break between them.
+
+    Rows of a group come in any order; whoever asks again about a chunk sorts its table first.
+    """
 
     def __init__(self, column):
         self.parts = [b"" if t is None else t.encode("utf-8") for t in column.to_pylist()]

@@ -73,7 +73,7 @@ class Words:
 
 def _ask_anchors(n, window):
     def ask(key, table):
-        words = Words(table, window)
+        words = Words(chunks.in_order(table), window)
 
         def pack(part):
             flags = np.packbits(words.shared[part]).tobytes()
@@ -125,6 +125,7 @@ def _ask_windows(n, window):
     def ask(key, docs, replies):
         if not docs.num_rows:
             return chunks.SENT_ARROW.empty_table()
+        docs = chunks.in_order(docs)
         words = Words(docs, window)
         _, one, two, ids = words.candidates(_marked(words, replies, n))
         lead = np.flatnonzero(np.diff(chunks.groups_of(one, two), prepend=-1))
@@ -157,6 +158,7 @@ def _apply(n, window, arrow_schema):
     def apply(key, docs, replies):
         if not docs.num_rows:
             return arrow_schema.empty_table()
+        docs = chunks.in_order(docs)
         words = Words(docs, window)
         at, one, two, ids = words.candidates(_marked(words, replies, n))
         group = chunks.groups_of(one, two)

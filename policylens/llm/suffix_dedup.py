@@ -125,7 +125,7 @@ def _within(counts):
 
 def _ask_spans(n, length, anchor):
     def ask(key, table):
-        spans = Spans(table, length, anchor)
+        spans = Spans(chunks.in_order(table), length, anchor)
         one, two = spans.one[spans.lead], spans.two[spans.lead]
 
         def pack(part):
@@ -185,6 +185,7 @@ def _ask_strings(n, length, anchor):
     def ask(key, docs, replies):
         if not docs.num_rows:
             return chunks.SENT_ARROW.empty_table()
+        docs = chunks.in_order(docs)
         spans = Spans(docs, length, anchor)
         code = _codes(replies)
         lead = spans.lead[np.isin(code, (SENT, SENT_WHOLE))]
@@ -308,6 +309,7 @@ def _apply(n, length, anchor, schema):
     def apply(key, docs, replies):
         if not docs.num_rows:
             return schema.empty_table()
+        docs = chunks.in_order(docs)
         spans = Spans(docs, length, anchor)
         at = _repeated_starts(spans, replies, n)
         texts = spans.texts
