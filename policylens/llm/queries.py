@@ -3,10 +3,12 @@
 from policylens.llm.simhash_dedup import op6_simhash_dedup
 from policylens.llm.substring_dedup import op3_substring_dedup
 from policylens.llm.suffix_dedup import op2_suffix_dedup
+from policylens.llm.token_counts import op5_token_counts
 
 QUERIES = {
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_substring_dedup": op3_substring_dedup,
+    "op5_token_counts": op5_token_counts,
     "op6_simhash_dedup": op6_simhash_dedup,
 }
 
