@@ -3,8 +3,8 @@
 Method: bound-certified repacking. Pieces are dealt to partitions and each is packed by best-fit decreasing. Dual-feasible
 functions give a lower bound for the number of bins, of a partition and of all pieces together: what needs no more is
 certified. While the total exceeds the bound, partitions exchange documents: the pieces of all bins with room left are dealt
-anew, to as many partitions as they now fill, and best-fit decreasing runs again. It ends when the total is certified, when
-one partition holds all that is left, or when a round saves no bin. A partition that is certified by itself takes part as
+anew, to partitions of up to twice the rows (16 times the first at most), and best-fit decreasing runs again. It ends when
+the total is certified, when one partition holds all that is left, or when rounds of the largest partitions save no bin. A partition that is certified by itself takes part as
 well, as its last bin has room. Full bins never move.
 
 Texts are encoded word by word: the vocabulary drops white space and no token crosses it, so the tokens of a text are those
@@ -188,7 +188,7 @@ def pack_pieces(pieces, capacity=CAPACITY, partition_rows=PARTITION_ROWS):
             "round", F.lit(round_no).cast("long"))
         facts = placed.groupBy("part").agg(F.first("bins").alias("bins")).agg(F.sum("bins")).first()
         total = bins + (facts[0] or 0)
-        if parts == 1 or total <= bound or total == before:
+        if parts == 1 or total <= bound or round_no >= 4 and total == before:
             return _all([*settled, placed]), total, bound
         before = total
         # With the total above the bound some room must be wasted: whatever still has room is dealt anew.
@@ -196,8 +196,8 @@ def pack_pieces(pieces, capacity=CAPACITY, partition_rows=PARTITION_ROWS):
         settled.append(full)
         bins += full.groupBy("part", "bin").agg(F.lit(1)).count()
         open_ = placed.where("room > 0").select(*PIECE.names)
-        parts = max(1, math.ceil(open_.count() / partition_rows))
         round_no += 1
+        parts = max(1, math.ceil(open_.count() / (partition_rows << min(round_no, 4))))
 
 
 def _all(frames):
