@@ -41,6 +41,16 @@ def in_order(table):
     return table.sort_by([("key", "ascending"), ("text", "ascending")]) if table.num_rows else table
 
 
+def by_chunk(table):
+    """The rows of a bucket in the same order whenever it is answered."""
+    return table.sort_by("chunk") if table.num_rows else table
+
+
+def spread_buckets(sent):
+    """The rows to answer, dealt to all shuffle partitions: a bucket's work is not told by its bytes."""
+    return sent.repartition(int(sent.sparkSession.conf.get("spark.sql.shuffle.partitions")), "bucket").groupBy("bucket")
+
+
 def bucket_cuts(keys, n):
     """Places in the sorted 64-bit `keys` where each of `n` equal key ranges begins, and the end."""
     edges = [min((i << 64) // n, (1 << 64) - 1) for i in range(n)]

@@ -139,6 +139,7 @@ def _answer_spans(crowd):
         """What to do with each span, as one byte."""
         if not table.num_rows:
             return chunks.ANSWERED_ARROW.empty_table()
+        table = chunks.by_chunk(table)
         bodies = table["body"].to_pylist()
         counts = [len(b) // 21 for b in bodies]
 
@@ -344,7 +345,7 @@ def suffix_dedup(docs, id_col="doc_id", text_col="text", length=LENGTH, anchor=A
     sent = texts.applyInArrow(_ask_spans(n, length, anchor), chunks.SENT)
     first = sent.groupBy("bucket").applyInArrow(_answer_spans(crowd), chunks.ANSWERED)
     sent = texts.cogroup(first.groupBy("chunk")).applyInArrow(_ask_strings(n, length, anchor), chunks.SENT)
-    second = sent.groupBy("bucket").applyInArrow(_answer_strings(n, length, anchor), chunks.ANSWERED)
+    second = chunks.spread_buckets(sent).applyInArrow(_answer_strings(n, length, anchor), chunks.ANSWERED)
     replies = first.unionByName(second)
     return texts.cogroup(replies.groupBy("chunk")).applyInArrow(
         _apply(n, length, anchor, to_arrow_schema(RESULT)), RESULT).withColumnRenamed("key", id_col)
