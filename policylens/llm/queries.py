@@ -1,18 +1,22 @@
 """The registered queries of this subpackage and their SQL."""
 
+from policylens.llm.language_id import op7_language_id
 from policylens.llm.order_minhash import op9_order_minhash
 from policylens.llm.packing import op4_best_fit_packing
 from policylens.llm.simhash_dedup import op6_simhash_dedup
 from policylens.llm.substring_dedup import op3_substring_dedup
 from policylens.llm.suffix_dedup import op2_suffix_dedup
 from policylens.llm.token_counts import op5_token_counts
+from policylens.llm.url_filter import op1_url_filter
 
 QUERIES = {
+    "op1_url_filter": op1_url_filter,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_token_counts": op5_token_counts,
     "op6_simhash_dedup": op6_simhash_dedup,
+    "op7_language_id": op7_language_id,
     "op9_order_minhash": op9_order_minhash,
 }
 
