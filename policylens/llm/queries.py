@@ -1,5 +1,6 @@
 """The registered queries of this subpackage and their SQL."""
 
+from policylens.llm.decontamination import op10_decontamination
 from policylens.llm.language_id import op7_language_id
 from policylens.llm.order_minhash import op9_order_minhash
 from policylens.llm.packing import op4_best_fit_packing
@@ -7,6 +8,7 @@ from policylens.llm.simhash_dedup import op6_simhash_dedup
 from policylens.llm.substring_dedup import op3_substring_dedup
 from policylens.llm.suffix_dedup import op2_suffix_dedup
 from policylens.llm.token_counts import op5_token_counts
+from policylens.llm.toxicity import op8_toxicity
 from policylens.llm.url_filter import op1_url_filter
 
 QUERIES = {
@@ -17,7 +19,9 @@ QUERIES = {
     "op5_token_counts": op5_token_counts,
     "op6_simhash_dedup": op6_simhash_dedup,
     "op7_language_id": op7_language_id,
+    "op8_toxicity": op8_toxicity,
     "op9_order_minhash": op9_order_minhash,
+    "op10_decontamination": op10_decontamination,
 }
 
 STATEMENTS = {

@@ -93,8 +93,10 @@ class Texts:
     Rows of a group come in any order; whoever asks again about a chunk sorts its table first.
     """
 
-    def __init__(self, column):
+    def __init__(self, column, lower=False):
         self.parts = [b"" if t is None else t.encode("utf-8") for t in column.to_pylist()]
+        if lower:
+            self.parts = [p.lower() for p in self.parts]  # of bytes: A-Z only
         self.codes = np.frombuffer(b"\n".join(self.parts), dtype=np.uint8)
         lengths = np.array([len(p) for p in self.parts], dtype=np.int64)
         self.lengths = lengths
