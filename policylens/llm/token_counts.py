@@ -27,7 +27,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from policylens.llm.chunks import small_batches
 
-VOCABULARY, LIMIT, STRETCH, KEEP = "byte_bpe_50k.json", 512, 64, 100_000
+VOCABULARY, LIMIT, STRETCH, KEEP = "byte_bpe_50k.json", 512, 64, 400_000
 BREAK_CODE = 0x110000
 FRESH, LETTERS, DIGITS, OTHERS, BLANKS, PENDING, ONE_MORE, TWO_MORE = range(8)
 # Classes: a break between texts; the last blank before a visible character, a space or another; any other blank; letter;
