@@ -28,8 +28,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from policylens.llm import chunks
 from policylens.llm.rolling import FIRST, SECOND, Texts, mix
 
-LENGTH, ANCHOR, CROWD = 400, 200, 20_000
-PIECE = 1 << 17
+LENGTH, ANCHOR, CROWD = 400, 200, 2_000
+PIECE, ROWS_AT_ONCE = 1 << 17, 1 << 19
 NONE, WHOLE, SENT, SENT_WHOLE, COUNTED, COUNTED_WHOLE = range(6)
 RESULT = T.StructType([
     T.StructField("key", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()),
@@ -213,24 +213,44 @@ def _ask_strings(n, length, anchor):
 def merge_shards(shards, length, anchor):
     """Which strings of the spans in several shards are repeated.
 
-    A shard is (anchors, counts, befores, bytes); the result has one array of booleans per shard, string by string. All
-    strings of an anchor at one distance start in one block, ordered by shard. Every step takes two symbols further to the
-    left; a stable counting sort by them refines the interleaving of all shards, and rows remain in one block if both the
-    symbols and the blocks before were equal.
+    A shard is (anchors, counts, befores, bytes); the result has one array of booleans per shard, string by string. Anchors
+    are independent of each other and are merged some at a time.
     """
     keys = np.concatenate([s[0] for s in shards])
     counts = np.concatenate([s[1] for s in shards]).astype(np.int64)
     befores = np.concatenate([s[2] for s in shards]).astype(np.int64)
     codes = np.frombuffer(b"".join(s[3] for s in shards), np.uint8)
     sizes = counts - 1 + length
-    row_span = np.repeat(np.arange(len(counts)), counts)
+    places = np.cumsum(sizes) - sizes
+    first = np.cumsum(counts) - counts
+    repeated = np.zeros(int(counts.sum()), dtype=bool)
+    order = np.argsort(keys, kind="stable")
+    borders = np.append(np.flatnonzero(np.diff(chunks.groups_of(keys[order]), prepend=-1)), len(order))
+    rows_before = np.concatenate(([0], np.cumsum(counts[order])))[borders]
+    at = 0
+    while at < len(borders) - 1:
+        to = max(at + 1, int(np.searchsorted(rows_before, rows_before[at] + ROWS_AT_ONCE)) - 1)
+        some = order[borders[at]:borders[to]]
+        repeated[_merge(codes, keys[some], counts[some], befores[some], places[some], first[some], length, anchor)] = True
+        at = to
+    totals = [int(s[1].astype(np.int64).sum()) for s in shards]
+    return np.split(repeated, np.cumsum(totals)[:-1])
+
+
+def _merge(codes, keys, counts, befores, places, first, length, anchor):
+    """Numbers of the repeated strings of some anchors' spans.
+
+    All strings of an anchor at one distance start in one block, ordered by shard. Every step takes two symbols further to
+    the left; a stable counting sort by them refines the interleaving of the shards, and rows remain in one block if both
+    the symbols and the blocks before were equal.
+    """
+    span = np.repeat(np.arange(len(counts)), counts)
     offset = _within(counts)
-    distance = befores[row_span] - offset
-    end = (np.cumsum(sizes) - sizes)[row_span] + offset + length
-    order = np.lexsort((distance, keys[row_span]))
-    block = chunks.groups_of(keys[row_span][order], distance[order])
+    distance = befores[span] - offset
+    order = np.lexsort((distance, keys[span]))
+    block = chunks.groups_of(keys[span][order], distance[order])
+    row, end = (first[span] + offset)[order], (places[span] + offset + length)[order]
     right = (length - anchor - distance)[order]
-    row, end = order, end[order]
     steps = length - anchor
     for step in range(0, steps, 2):
         symbol = np.zeros(len(row), dtype=np.uint16)
@@ -243,10 +263,7 @@ def merge_shards(shards, length, anchor):
         if step % 16 == 0 or step + 2 >= steps:
             stays = np.bincount(block)[block] > 1 if len(block) else np.zeros(0, bool)
             row, end, right, block = row[stays], end[stays], right[stays], block[stays]
-    repeated = np.zeros(len(row_span), dtype=bool)
-    repeated[row] = True
-    totals = [int(s[1].astype(np.int64).sum()) for s in shards]
-    return np.split(repeated, np.cumsum(totals)[:-1])
+    return row
 
 
 def _answer_strings(n, length, anchor):
