@@ -25,15 +25,30 @@ def small_batches(spark, rows=256):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def free_name(columns, base):
+    """A column name that is not among `columns`, in any case of letters."""
+    taken = {c.lower() for c in columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
+def without(df, names, needed=()):
+    """`df` without columns of these names, which the result is about to have itself."""
+    taken = {n.lower() for n in names}
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken or c in needed])
+
+
 def deal(docs, id_col, text_col, chunk_bytes=CHUNK_BYTES):
     """(documents with a `chunk` beside a struct of their columns, number of chunks)."""
     size = docs.agg(F.sum(F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long") + 64)).first()[0] or 0
     n = max(1, math.ceil(size / chunk_bytes))
     # Rows of one key are spread by their text: no id, nor its absence, can fill a chunk.
     chunk = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(n)).cast("long")
+    others = [c for c in docs.columns if c not in (id_col, text_col)]
     return docs.select(
         chunk.alias("chunk"), F.col(id_col).cast("long").alias("key"), F.col(text_col).cast("string").alias("text"),
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text_col)], F.lit(0).alias("_")).alias("rest")), n
+        F.struct(*[F.col(f"`{c}`") for c in others], F.lit(0).alias(free_name(others, "_none"))).alias("rest")), n
 
 
 def in_order(table):

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from policylens.llm.chunks import small_batches
+from policylens.llm.chunks import small_batches, without
 from policylens.llm.rolling import OVER_FIRST, mix
 
 BITS, LONGEST, ROWS, LANDMARKS, RIDGE, SMOOTH = 14, 3, 4000, 128, 1e-2, 1e-6
@@ -94,7 +94,8 @@ def fit_language_model(labelled, id_col="doc_id", text_col="text", lang_col="lan
 
 
 def predict_language(docs, model, text_col="text", batch_rows=256):
-    """`docs` with `lang_pred` and `score`."""
+    """`docs` with `lang_pred` and `score`; columns of these names are replaced."""
+    docs = without(docs, ["lang_pred", "score"], [text_col])
     small_batches(docs.sparkSession, batch_rows)
     schema = T.StructType([
         *docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])

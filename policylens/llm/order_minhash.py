@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from policylens.llm.chunks import small_batches
+from policylens.llm.chunks import small_batches, without
 from policylens.llm.rolling import OVER_FIRST, mix
 
 SKETCHES, KMER, PICKED, SLICE_BYTES, MOST_SLICES = 32, 5, 2, 32 << 20, 20_000
@@ -76,7 +76,8 @@ def edited(text, following):
 
 
 def fingerprints(docs, text_col="text", name="fingerprint", sketches=SKETCHES):
-    """`docs` and the fingerprint of each whole text in hex."""
+    """`docs` and the fingerprint of each whole text in hex; a column of that name is replaced."""
+    docs = without(docs, [name], [text_col])
     small_batches(docs.sparkSession)
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.StringType())])
     arrow_schema = to_arrow_schema(schema)

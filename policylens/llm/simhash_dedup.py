@@ -25,11 +25,11 @@ import xxhash
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from policylens.llm.chunks import small_batches
+from policylens.llm.chunks import free_name, small_batches
 from policylens.llm.components import connected
 from policylens.sources.staging import stage
 
-BITS, PIVOTS, PARTS, GROUP_LIMIT, ROWS_AT_ONCE = 64, 16, 6, 20_000, 1 << 16
+BITS, PIVOTS, GROUP_SIZE, GROUP_LIMIT, ROWS_AT_ONCE = 64, 16, 64, 20_000, 1 << 16
 
 
 def fingerprint(text, shingle=4, seed=42):
@@ -125,8 +125,20 @@ def _neighbours(reach):
     return [_signed(sum(1 << b for b in bits)) for k in range(reach + 1) for bits in combinations(range(BITS), k)]
 
 
-def links(prints, distance=4, parts=PARTS, group_limit=GROUP_LIMIT):
-    """Edges (a, b) between distinct fingerprints `fp` that have the same components as all pairs within `distance`."""
+def parts_for(n, distance, group_size=GROUP_SIZE):
+    """The fewest parts whose equal ones tell `n` random fingerprints into groups of about `group_size` or less."""
+    parts = distance + 2
+    while parts < 2 * distance + 2 and n > group_size << (BITS * (parts - distance) // parts):
+        parts += 1
+    return parts
+
+
+def links(prints, distance=4, parts=None, group_limit=GROUP_LIMIT):
+    """Edges (a, b) between distinct fingerprints `fp` that have the same components as all pairs within `distance`.
+
+    The number of parts only decides how the pairs are brought together; any number above `distance` finds the same.
+    """
+    parts = parts or parts_for(prints.count(), distance)
     equal = parts - distance
     if equal < 1:
         raise ValueError("more parts than differing bits are needed")
@@ -194,11 +206,12 @@ def near_duplicates(docs, id_col="doc_id", text_col="text", distance=4, shingle=
 def keep_one(docs, id_col="doc_id", text_col="text", distance=4, shingle=4):
     """One row of each group of linked texts: that of the smallest id, and among rows of one id of the smallest text hash."""
     _, _, firsts = _labelled(docs, id_col, text_col, distance, shingle)
-    kept = firsts.select(F.col("first.id").alias("_id"), F.col("first.text_hash").alias("_text_hash"))
-    hashed = docs.withColumn("_hash", F.xxhash64(text_col))
+    kept = firsts.select("first.id", "first.text_hash")
+    name = free_name(docs.columns, "_hash")
+    hashed = docs.withColumn(name, F.xxhash64(text_col))
     chosen = hashed.join(
-        kept, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_text_hash")), "left_semi")
-    return chosen.dropDuplicates([id_col, "_hash"]).select(*docs.columns)
+        kept, hashed[id_col].eqNullSafe(kept["id"]) & (hashed[name] == kept["text_hash"]), "left_semi")
+    return chosen.dropDuplicates([id_col, name]).drop(name)
 
 
 def op6_simhash_dedup(spark, sf_dir):

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from policylens.llm.chunks import small_batches
+from policylens.llm.chunks import small_batches, without
 
 VOCABULARY, LIMIT, STRETCH, KEEP = "byte_bpe_50k.json", 512, 64, 400_000
 BREAK_CODE = 0x110000
@@ -301,9 +301,8 @@ def compiled(vocabulary):
 
 
 def token_counts(docs, text_col="text", vocabulary=VOCABULARY):
-    """`docs` with n_bytes (UTF-8) and n_tokens of each whole text."""
-    if clash := {"n_bytes", "n_tokens"} & set(docs.columns):
-        raise ValueError(f"the result would hide columns {sorted(clash)}")
+    """`docs` with n_bytes (UTF-8) and n_tokens of each whole text; columns of these names are replaced."""
+    docs = without(docs, RESULT.names, [text_col])
     small_batches(docs.sparkSession)
     schema = T.StructType([*docs.schema.fields, *RESULT.fields])
     arrow_schema = to_arrow_schema(schema)

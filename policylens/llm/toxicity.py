@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from policylens.llm.chunks import small_batches
+from policylens.llm.chunks import small_batches, without
 
 CATEGORIES = ("low_quality", "toxic")
 ROWS, MARKS, FEWEST, FOLDS, PENALTY, STEPS, KEEP = 12_000, 256, 4, 4, 1.0, 12, 300_000
@@ -195,11 +195,10 @@ def fit_toxicity(labelled, text_col="text", categories=CATEGORIES, rows=ROWS):
 
 
 def score_toxicity(docs, model, text_col="text", categories=CATEGORIES, prefix="p_"):
-    """`docs` with a probability for each category, named `p_<category>`."""
+    """`docs` with a probability for each category, named `p_<category>`; columns of these names are replaced."""
     small_batches(docs.sparkSession)
     names = [f"{prefix}{c}" for c in categories]
-    if clash := set(names) & set(docs.columns):
-        raise ValueError(f"the result would hide columns {sorted(clash)}")
+    docs = without(docs, names, [text_col])
     schema = T.StructType([*docs.schema.fields, *[T.StructField(n, T.DoubleType()) for n in names]])
     arrow_schema = to_arrow_schema(schema)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MARKS marks and weights per category
@@ -228,8 +227,11 @@ def labelled_documents(docs, labels):
 
 def keep_clean(docs, model, threshold=REJECT, rejected="toxic"):
     """The documents whose probability in the category `rejected` is below the threshold."""
-    names = [f"_p_{c}" for c in CATEGORIES]
-    return score_toxicity(docs, model, prefix="_p_").where(F.col(f"_p_{rejected}") < threshold).drop(*names)
+    prefix = "_p_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = f"_{prefix}"
+    scored = score_toxicity(docs, model, prefix=prefix)
+    return scored.where(F.col(f"{prefix}{rejected}") < threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op8_toxicity(spark, sf_dir, threshold=REJECT):
