@@ -13,6 +13,7 @@ the closing id. Only documents longer than a sequence are cut.
 """
 
 import math
+import re
 import zlib
 
 import numpy as np
@@ -22,9 +23,10 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from policylens.llm.chunks import small_batches
+from policylens.llm.token_counts import byte_alphabet
 from policylens.sources.staging import stage
 
-VOCABULARY, CAPACITY, CLOSING, PARTITION_ROWS, KEEP = "word_bpe_49k.json", 2048, 0, 50_000, 300_000
+VOCABULARY, CAPACITY, CLOSING, PARTITION_ROWS, KEEP = "word_bpe_49k.json", 2048, 0, 50_000, 1_000_000
 PIECE = T.StructType([
     T.StructField("key", T.LongType()), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()),
     T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())])
@@ -34,6 +36,12 @@ PLACED = T.StructType([
     T.StructField("part", T.LongType())])
 
 
+# Words of visible ASCII and small or capital Latin-1 letters: composed, and lower-cased alike everywhere. The library's
+# splitting pattern, fixed by the vocabulary file, reads on them as below once they are lower-cased.
+PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+
+
 class Words:
     """Ids of words, each encoded once; a word is a run of bytes without ASCII white space."""
 
@@ -41,27 +49,47 @@ class Words:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.keep = Tokenizer.from_file(path), keep
+        self.model = self.tokenizer.model
+        special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(special)).search if special else None
+        self.spelling = {b: c for c, b in byte_alphabet().items()}
         self._clear()
 
     def _clear(self):
-        self.number, self.ids, self.begin = {}, np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.number, self.parts = {}, {}
+        self.ids, self.begin = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     def _learn(self, words):
-        found = [e.ids for e in self.tokenizer.encode_batch([w.decode("utf-8") for w in words], add_special_tokens=False)]
+        """Whatever is not plain goes through the whole library."""
+        if len(self.parts) > self.keep // 4:
+            self.parts.clear()
+        known, tokenize, plain, special, flat, counts = self.parts, self.model.tokenize, PLAIN.fullmatch, self.special, [], []
+        for word in words:
+            text = word.decode("utf-8")
+            if not plain(text) or special and special(text):
+                ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+            else:
+                ids = []
+                for part in PARTS.findall(text.lower()):
+                    found = known.get(part)
+                    if found is None:
+                        spelled = part if part.isascii() else "".join(map(self.spelling.__getitem__, part.encode("utf-8")))
+                        found = known[part] = [t.id for t in tokenize(spelled)]
+                    ids += found
+            flat += ids
+            counts.append(len(ids))
         self.number.update(zip(words, range(len(self.number), len(self.number) + len(words))))
-        ends = self.begin[-1] + np.cumsum([len(f) for f in found])
-        self.ids = np.concatenate([self.ids, np.array([i for f in found for i in f], np.uint32)])
-        self.begin = np.concatenate([self.begin, ends])
+        self.ids = np.concatenate([self.ids, np.array(flat, np.uint32)])
+        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(counts)])
 
     def encode(self, texts):
         """Ids of each text."""
         split = [t.encode("utf-8").split() for t in texts]
-        new = {w for words in split for w in words if w not in self.number}
-        if len(self.number) + len(new) > self.keep:
+        if len(self.number) > self.keep:
             self._clear()
-            new = {w for words in split for w in words}
-        if new:
-            self._learn(list(new))
+        missing = {w for words in split for w in words}.difference(self.number)
+        if missing:
+            self._learn(list(missing))
         for words in split:
             number = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
             begin = self.begin[number]
