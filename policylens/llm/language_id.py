@@ -65,14 +65,21 @@ def fit_kernel_ridge(rows, languages, landmarks=LANDMARKS, ridge=RIDGE):
 
 
 def sample_rows(labelled, id_col, text_col, lang_col, rows=ROWS):
-    """At most `rows` texts with a language, about as many of each, by a hash of their ids and texts."""
+    """At most `rows` texts with a language, about as many of each, by a hash of their ids and texts.
+
+    Rows are chosen by language and hash alone; texts are read for the chosen ones and never shuffled.
+    """
     usable = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(id_col, text_col).alias("order"))
-    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    share = F.lit(float(rows)) / F.greatest(F.lit(1), F.col("n")) / F.greatest(F.lit(1), F.col("n_langs"))
-    counts = counts.crossJoin(counts.agg(F.count(F.lit(1)).alias("n_langs"))).select("lang", share.alias("share"))
-    picked = usable.join(counts, "lang").where(F.pmod("order", F.lit(1_000_000)) < F.col("share") * 1_000_000)
-    return picked.select("text", "lang", "order").orderBy("order", "lang").limit(rows)
+    narrow = usable.select("lang", "order")
+    counts = narrow.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    each = rows / max(1, counts.count())
+    picked = narrow.join(counts, "lang").where(F.pmod("order", F.lit(1_000_000)) * F.col("n") < each * 1_000_000)
+    chosen = [r["order"] for r in picked.select("order").distinct().orderBy("order").limit(rows).collect()]
+    if not chosen:
+        return usable.limit(0)
+    keys = labelled.sparkSession.createDataFrame([(c,) for c in chosen], "order long")  # at most `rows` numbers
+    return usable.join(F.broadcast(keys), "order").dropDuplicates(["order"]).select("text", "lang", "order").orderBy("order", "lang")
 
 
 def fit_language_model(labelled, id_col="doc_id", text_col="text", lang_col="lang", rows=ROWS):

@@ -96,7 +96,8 @@ class Spans:
         shape = (before * 1024 + count).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         one = mix(FIRST.stretches(sums, start, ends) ^ shape)
         two = mix(SECOND.stretches(SECOND.prefix(part), start, ends) ^ shape).astype(np.uint32)
-        return hashes[chosen[lead]], one, two, start + at, count, before
+        # The smallest of many hashes are small: mixed again, they spread over all buckets.
+        return mix(hashes[chosen[lead]]), one, two, start + at, count, before
 
     def strings(self, chosen):
         """(entry, start, identity in two parts) of every string in the chosen spans, sorted by identity."""
