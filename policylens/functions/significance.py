@@ -9,11 +9,7 @@ from pyspark.sql import types as T
 
 SERIES_TERMS = 100
 SERIES_START = 0.2
-
-# Fixed value: up to this size of either sample the two-sample test is exact.
-EXACT_UP_TO = 10_000
-# Beyond this argument both the exact and the asymptotic p-value are below 1e-13.
-CERTAIN_FROM = 4.0
+QUADRATURE_FROM = 100
 
 
 def kolmogorov_p(z):
@@ -31,64 +27,54 @@ def kolmogorov_p(z):
 
 
 def chi_square_p(x, dof):
-    """P(chi-square with whole degrees `dof` > x), in closed form; for one row per tested column.
+    """P(chi-square with `dof` degrees > x); for one row per tested column.
 
-    The tail function is nested so that workers get it by value and need no copy of this package.
+    This is the upper regularised gamma function at (dof / 2, x / 2): by its power series or continued fraction
+    for small shapes, which end after some hundred terms, and by quadrature around the peak of the integrand for
+    large ones, so the work does not follow the degrees. The function is nested so that workers get it by value.
     """
+    nodes, weights = (v.tolist() for v in np.polynomial.legendre.leggauss(40))
+    large = QUADRATURE_FROM
 
     def tail(value, degrees):
         if value != value or degrees != degrees or degrees < 1:
             return None
         if value <= 0:
             return 1.0
-        half = value / 2.0
-        shape = 0.5 if degrees % 2 else 0.0
-        total = math.erfc(math.sqrt(half)) if degrees % 2 else 0.0
-        while shape < degrees / 2.0 - 0.25:
-            total += math.exp(shape * math.log(half) - half - math.lgamma(shape + 1.0))
-            shape += 1.0
-        return min(1.0, total)
+        a, z = degrees / 2.0, value / 2.0
+        if a >= large:
+            peak, root = a - 1.0, math.sqrt(a - 1.0)
+            up = z > peak
+            end = max(peak + 11.5 * root, z + 6.0 * root) if up else max(0.0, min(peak - 7.5 * root, z - 5.0 * root))
+            total = 0.0
+            for node, weight in zip(nodes, weights):
+                t = z + (end - z) * (node + 1.0) / 2.0
+                total += weight / 2.0 * math.exp(-(t - peak) + peak * (math.log(t) - math.log(peak)))
+            total *= (end - z) * math.exp(peak * (math.log(peak) - 1.0) - math.lgamma(a))
+            return min(1.0, max(0.0, total if up else 1.0 + total))
+        front = math.exp(a * math.log(z) - z - math.lgamma(a))
+        if z < a + 1.0:
+            term = total = 1.0 / a
+            n = a
+            while term > total * 1e-16:
+                n += 1.0
+                term *= z / n
+                total += term
+            return min(1.0, max(0.0, 1.0 - total * front))
+        b, c = z + 1.0 - a, 1e300
+        d = 1.0 / b
+        h = d
+        for i in range(1, 1000):
+            step = -i * (i - a)
+            b += 2.0
+            d = 1.0 / (step * d + b)
+            c = b + step / c
+            h *= d * c
+            if abs(d * c - 1.0) < 1e-15:
+                break
+        return min(1.0, max(0.0, front * h))
 
     def tails(values: pd.Series, degrees: pd.Series) -> pd.Series:
         return pd.Series([tail(v, d) for v, d in zip(values, degrees)], dtype="float64")
 
     return F.pandas_udf(tails, T.DoubleType())(x, dof)
-
-
-def exact_ks_p(statistic, size_ref, size_cur, up_to=EXACT_UP_TO):
-    """P(D >= statistic) for two samples of these sizes; for one row per tested column.
-
-    Null where a sample is empty or larger than `up_to`, or the sides differ beyond doubt. Merging the samples is a walk from (0, 0) to
-    (n, m) with every order equally likely; the walk's chance to stay within the statistic is summed
-    up along its diagonals, which costs n + m steps over the width of the band.
-    """
-
-    def inside(n, m, reach):
-        chance = np.zeros(n + 2)
-        chance[1] = 1.0
-        first, last = 0, 0
-        for s in range(1, n + m + 1):
-            low = max(0, s - m, (s * n - reach) // (n + m) + 1)
-            high = min(n, s, -((-s * n - reach) // (n + m)) - 1)
-            if low > high:
-                return 0.0
-            i = np.arange(low, high + 1)
-            step = chance[low:high + 1] * (i / s) + chance[low + 1:high + 2] * ((s - i) / s)
-            chance[first + 1:last + 2] = 0.0
-            chance[low + 1:high + 2] = step
-            first, last = low, high
-        return chance[n + 1]
-
-    def p_value(d, n, m):
-        if d != d or n != n or m != m or min(n, m) < 1 or max(n, m) > up_to:
-            return None
-        if d * math.sqrt(n * m / (n + m)) > CERTAIN_FROM:
-            return None
-        n, m = int(n), int(m)
-        reach = round(d * n * m)
-        return 1.0 if reach == 0 else min(1.0, max(0.0, 1.0 - inside(n, m, reach)))
-
-    def p_values(d: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
-        return pd.Series([p_value(*row) for row in zip(d, n, m)], dtype="float64")
-
-    return F.pandas_udf(p_values, T.DoubleType())(statistic, size_ref, size_cur)

@@ -2,17 +2,16 @@
 
 from pyspark.sql import functions as F
 
-from policylens.functions.significance import chi_square_p, exact_ks_p, kolmogorov_p
+from policylens.functions.significance import chi_square_p, kolmogorov_p
 from policylens.operators.profile import column_name, melt
 from policylens.operators.ranking import prefix_sums
 from policylens.schema import LABEL, numeric_columns
 
-# Significance, alert thresholds, numbers of columns and the name of the method.
+# Significance, alert thresholds, number of features on a card and the name of the method.
 P_DRIFT = 0.05
 SHARE_ALERT = 0.15
 DATASET_SHARE = 0.5
 AUC_DROP_ALERT = 0.05
-MAX_COLUMNS = 20
 CARD_FEATURES = 10
 METHOD = "ks_test_fallback"
 
@@ -30,16 +29,18 @@ def _side_counts(reference, current, columns, cast):
         F.sum("_ref").alias("n_ref"), F.sum("_cur").alias("n_cur"))
 
 
-def ks_columns(reference, current, target=LABEL, max_columns=MAX_COLUMNS, method="auto"):
+TESTS = "column_index int, column string, size_ref bigint, size_cur bigint, statistic double, p_value double, drifted boolean"
+
+
+def ks_columns(reference, current, target=LABEL):
     """Two-sample Kolmogorov-Smirnov per numeric column of the reference that `current` has too.
 
-    Both samples are reduced to counts per distinct value before any order is made. Under "auto" the
-    p-value of small samples is exact and that of larger ones asymptotic; "asymptotic" is for all.
+    Both samples are reduced to counts per distinct value before any order is made. The p-value is that of
+    the limit series at every size. Tables with nothing in common give an empty result.
     """
-    if method not in ("auto", "asymptotic"):
-        raise ValueError(f"method must be 'auto' or 'asymptotic', not {method!r}")
-    numeric = numeric_columns(reference, exclude=[target])[:max_columns]
-    tested = [c for c in numeric if c in current.columns]
+    tested = [c for c in numeric_columns(reference, exclude=[target]) if c in current.columns]
+    if not tested:
+        return reference.sparkSession.createDataFrame([], TESTS)
     counts = _side_counts(reference, current, tested, "double")
     running = prefix_sums(
         counts, ["value"], {"cum_ref": "n_ref", "cum_cur": "n_cur"}, ["column_index"],
@@ -54,9 +55,6 @@ def ks_columns(reference, current, target=LABEL, max_columns=MAX_COLUMNS, method
         .withColumn("_z", F.sqrt(F.try_divide(n * m, n + m)) * F.col("statistic"))
         .withColumn("p_value", kolmogorov_p(F.col("_z")))
     )
-    if method == "auto":
-        exact = exact_ks_p("statistic", "size_ref", "size_cur")
-        tested_columns = tested_columns.withColumn("p_value", F.coalesce(exact, F.col("p_value")))
     return tested_columns.select(
         "column_index", column_name(tested), "size_ref", "size_cur", "statistic", "p_value",
         F.coalesce(F.col("p_value") < P_DRIFT, F.lit(False)).alias("drifted"))
@@ -84,6 +82,9 @@ def chi2_columns(reference, current, columns=CATEGORIES, with_p=True):
     two rows is N^2 / (A (N - A)) * (sum a_j^2 / n_j - A^2 / N): sums only, in one aggregate.
     """
     present = [c for c in columns if c in reference.columns and c in current.columns]
+    if not present:
+        schema = "column_index int, column string, statistic double, dof int"
+        return reference.sparkSession.createDataFrame([], schema + (", p_value double, drifted boolean" if with_p else ""))
     a = F.col("n_ref").cast("double")
     n = (F.col("n_ref") + F.col("n_cur")).cast("double")
     sums = (
@@ -103,10 +104,9 @@ def chi2_columns(reference, current, columns=CATEGORIES, with_p=True):
     )
 
 
-def drift_report(reference, current, target=LABEL, categories=CATEGORIES, timestamp=None, method="auto"):
+def drift_report(reference, current, target=LABEL, categories=CATEGORIES, timestamp=None):
     """One row over every numeric column and the categories: share drifted, flags, both sizes."""
-    numeric = len(numeric_columns(reference, exclude=[target]))
-    ks = ks_columns(reference, current, target, numeric, method)
+    ks = ks_columns(reference, current, target)
     chi2 = chi2_columns(reference, current, categories)
     tests = ks.select("column", "drifted").unionByName(chi2.select("column", "drifted"))
     share = F.try_divide(F.sum(F.col("drifted").cast("int")), F.count(F.lit(1)).cast("double"))
@@ -116,8 +116,10 @@ def drift_report(reference, current, target=LABEL, categories=CATEGORIES, timest
         current.select(F.lit(0).alias("_r"), F.lit(1).alias("_c"))
     ).agg(F.coalesce(F.sum("_r"), F.lit(0)).alias("n_reference"),
           F.coalesce(F.sum("_c"), F.lit(0)).alias("n_current"))
-    joined = summary.withColumn("_one", F.lit(1)).join(
-        F.broadcast(sizes.withColumn("_one", F.lit(1))), "_one")
+    parts = [
+        summary.select("share_drifted_features", F.lit(None).cast("long").alias("n_reference"), F.lit(None).cast("long").alias("n_current")),
+        sizes.select(F.lit(None).cast("double").alias("share_drifted_features"), "n_reference", "n_current")]
+    joined = parts[0].unionAll(parts[1]).agg(*[F.max(c).alias(c) for c in parts[0].columns])
     return joined.select(
         stamp.alias("timestamp"),
         "share_drifted_features",

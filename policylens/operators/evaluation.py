@@ -13,7 +13,7 @@ from policylens.operators.ranking import (
     at_or_before, keys_at_ranks, parse_order, prefix_sums, same_key,
 )
 from policylens.schema import LABEL, POLICY_ID
-from policylens.sources.staging import settle_small
+from policylens.sources.staging import settled
 
 SCORE = "churn_probability"
 REPORT_FRACTIONS = (0.10, 0.15)
@@ -156,7 +156,7 @@ def calibration_table(df, label=LABEL, score=SCORE, n_bins=CALIBRATION_BINS):
 def model_comparison(df, label=LABEL, score=SCORE, by=("model",)):
     """AUC, average precision and Brier score for each model in a long score table."""
     ranking = curve_metrics(score_curve(df, label, score, by), by)
-    return ranking.join(settle_small(brier(df, label, score, by)), list(by))
+    return ranking.join(settled(brier(df, label, score, by)), list(by))
 
 
 def evaluation_report(df, label=LABEL, score=SCORE, ids=(POLICY_ID,), fractions=REPORT_FRACTIONS):

@@ -1,7 +1,5 @@
 """Market reference prices and the derived actuarial features."""
 
-import json
-
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.param import Param, Params, TypeConverters
@@ -11,7 +9,7 @@ from pyspark.sql import functions as F
 from policylens.functions.nulls import at_least, flag
 from policylens.operators.ranking import grouped_quantiles
 from policylens.schema import LABEL, MARKET_STATE, NON_FEATURES, POLICY_ID
-from policylens.sources.staging import settle_small
+from policylens.sources.staging import settled
 from policylens.sources.state import empty_state
 
 # Thresholds of the flags.
@@ -59,7 +57,7 @@ def with_market_median(df, state):
     fitted = state.select("lob", F.struct("market_median").alias("_fitted"))
     own = F.col("annual_premium").cast("double")
     median = F.when(F.col("_fitted").isNull(), own).otherwise(F.col("_fitted.market_median"))
-    return df.join(settle_small(fitted), "lob", "left").select(
+    return df.join(settled(fitted), "lob", "left").select(
         *df.columns, median.alias("market_median"))
 
 
@@ -203,54 +201,38 @@ def feature_catalog(df, state):
 
 
 class _MarketParams(Params):
-    medians = Param(Params._dummy(), "medians", "JSON map of line to median premium",
-                    typeConverter=TypeConverters.toString)
+    statePath = Param(Params._dummy(), "statePath", "where the table of fitted medians lies",
+                      typeConverter=TypeConverters.toString)
 
 
-class MarketFeatures(Estimator, DefaultParamsReadable, DefaultParamsWritable):
+class MarketFeatures(Estimator, _MarketParams, DefaultParamsReadable, DefaultParamsWritable):
     """Pipeline stage for `fit_market` and `add_features`.
 
-    The fitted medians travel with the saved pipeline, so their number is bounded by `maxLines`;
-    a column with more lines than that is no line of business.
+    The fitted medians are written to `statePath` as a table, however many lines of business there are; the
+    saved pipeline names the path.
     """
 
-    maxLines = Param(Params._dummy(), "maxLines", "largest number of lines to learn",
-                     typeConverter=TypeConverters.toInt)
-
     @keyword_only
-    def __init__(self, maxLines=1000):
+    def __init__(self, statePath=None):
         super().__init__()
-        self._setDefault(maxLines=1000)
         self._set(**self._input_kwargs)
 
     def _fit(self, dataset):
-        limit = self.getOrDefault(self.maxLines)
-        rows = fit_market(dataset).limit(limit + 1).collect()
-        if len(rows) > limit:
-            raise ValueError(f"more than {limit} lines of business")
-        medians = {row["lob"]: row["market_median"] for row in rows}
-        return MarketFeaturesModel(medians=json.dumps(medians, sort_keys=True))
+        path = self.getOrDefault(self.statePath)
+        fit_market(dataset).write.mode("overwrite").parquet(path)
+        return MarketFeaturesModel(statePath=path)
 
 
 class MarketFeaturesModel(Model, _MarketParams, DefaultParamsReadable, DefaultParamsWritable):
-    """Adds the derived columns with medians held as literals: no join."""
+    """Adds the derived columns under the stored medians."""
 
     @keyword_only
-    def __init__(self, medians="{}"):
+    def __init__(self, statePath=None):
         super().__init__()
-        self._setDefault(medians="{}")
         self._set(**self._input_kwargs)
 
-    def market_medians(self):
-        return json.loads(self.getOrDefault(self.medians))
-
     def state(self, spark):
-        return spark.createDataFrame(list(self.market_medians().items()), MARKET_STATE)
+        return spark.read.schema(MARKET_STATE).parquet(self.getOrDefault(self.statePath))
 
     def _transform(self, dataset):
-        if not {"annual_premium", "lob"} <= set(dataset.columns):
-            return derive(dataset)
-        median = F.col("annual_premium").cast("double")
-        for lob, value in self.market_medians().items():
-            median = F.when(F.col("lob") == lob, F.lit(value).cast("double")).otherwise(median)
-        return derive(dataset.withColumn("market_median", median))
+        return add_features(dataset, self.state(dataset.sparkSession))

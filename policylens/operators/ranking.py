@@ -16,7 +16,8 @@ from itertools import groupby
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from policylens.sources.staging import settle_small, stage
+from policylens.schema import POLICY_ID
+from policylens.sources.staging import settled, stage
 
 FAN_OUT = 64
 SAMPLE_PER_CUT = 32
@@ -37,30 +38,29 @@ def sort_columns(order):
     ]
 
 
-def _reached(order, key):
-    """Whether a row stands at or before `key`; null counts as no. A shorter key stands for the last
-    row that begins with it."""
-    reached = None
-    for (name, ascending), value in reversed(list(zip(order, key))):
-        column, bound = F.col(name), F.lit(value)
-        if reached is None:
-            reached = column <= bound if ascending else column >= bound
-        else:
-            earlier = column < bound if ascending else column > bound
-            reached = earlier | ((column == bound) & reached)
-    return reached
+def _compare(name, ascending, value):
+    """(before, at) a key value for each row, never null: missing keys come last and equal each other."""
+    column = F.col(name)
+    if value is None:
+        return column.isNotNull(), column.isNull()
+    bound, no = F.lit(value), F.lit(False)
+    return F.coalesce(column < bound if ascending else column > bound, no), F.coalesce(column == bound, no)
 
 
 def at_or_before(order, key):
-    """Whether a row stands at or before `key` in the order; never null."""
-    return F.coalesce(_reached(order, key), F.lit(False))
+    """Whether a row stands at or before `key`. A shorter key stands for the last row that begins with it."""
+    reached = None
+    for (name, ascending), value in reversed(list(zip(order, key))):
+        before, at = _compare(name, ascending, value)
+        reached = before | at if reached is None else before | (at & reached)
+    return reached
 
 
 def same_key(order, key):
     equal = F.lit(True)
-    for (name, _), value in zip(order, key):
-        equal = equal & (F.col(name) == F.lit(value))
-    return F.coalesce(equal, F.lit(False))
+    for (name, ascending), value in zip(order, key):
+        equal = equal & _compare(name, ascending, value)[1]
+    return equal
 
 
 # ---- ranks and running sums of every row ------------------------------------------------------
@@ -125,7 +125,7 @@ def prefix_sums(df, order_by, sums, by=(), totals=None, few_groups=False):
     matched = F.col("_slice") == F.col("_s")
     for c in by:
         matched = matched & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
-    starts = F.broadcast(starts) if few_groups or not by else settle_small(starts)
+    starts = F.broadcast(starts) if few_groups or not by else settled(starts)
     return laid.join(starts, matched).select(
         *df.columns,
         *[(F.col(n) + F.col(f"_{n}")).alias(n) for n in sums],
@@ -203,7 +203,7 @@ def _cut_index(order, cuts):
         if first == last:
             return F.lit(first)
         middle = (first + last) // 2
-        return F.when(_reached(order, cuts[middle]), tree(first, middle)).otherwise(
+        return F.when(at_or_before(order, cuts[middle]), tree(first, middle)).otherwise(
             tree(middle + 1, last))
 
     return tree(0, len(cuts))
@@ -220,7 +220,6 @@ def _sample_cuts(keyed, order, brackets):
     sample = (
         keyed.withColumn("_bracket", _pick_bracket(brackets, order))
         .where(F.col("_bracket").isNotNull() & (draw < quota))
-        .dropna(subset=names)
         .groupBy("_bracket", *names).agg(F.count(F.lit(1)).alias("_n"))
         .orderBy("_bracket", *sort_columns(order))
         .collect()
@@ -358,35 +357,47 @@ def _border(positions, rank, order):
     return at_or_before(order, position.key)
 
 
-def split_ordered(df, order_by=("policy_id",), train_share=0.80, part_col="part"):
+def by_position(df, order_by, name="_id_length"):
+    """(table, order): without an order given, policies are ordered by the number in their id.
+
+    Ids grow by a digit from time to time, so the longer id is the later one.
+    """
+    if order_by is not None:
+        return df, order_by
+    return df.withColumn(name, F.length(POLICY_ID)), (name, POLICY_ID)
+
+
+def split_ordered(df, order_by=None, train_share=0.80, part_col="part"):
     """Mark the first floor(share * n) rows of the order as train and the rest as test."""
+    keyed, order_by = by_position(df, order_by)
     order = parse_order(order_by)
     total = df.count()
     border = int(total * train_share)
-    positions = keys_at_ranks(df, order_by, [border], total)
-    return df.withColumn(
-        part_col, F.when(_border(positions, border, order), "train").otherwise("test"))
+    positions = keys_at_ranks(keyed, order_by, [border], total)
+    part = F.when(_border(positions, border, order), "train").otherwise("test")
+    return keyed.select(*df.columns, part.alias(part_col))
 
 
-def time_blocks(df, order_by=("policy_id",), k=5, block_col="block"):
+def time_blocks(df, order_by=None, k=5, block_col="block"):
     """Number the blocks of an expanding split: 0 is only ever trained on, 1 to k are tested in turn.
 
     Each tested block has floor(n / (k + 1)) rows; fold f trains on the blocks before f and tests f.
     """
+    keyed, order_by = by_position(df, order_by)
     order = parse_order(order_by)
     total = df.count()
     size = total // (k + 1)
     if size == 0:
         raise ValueError(f"{total} rows cannot be cut into {k + 1} blocks")
     borders = [total - (k - i) * size for i in range(k)]
-    positions = keys_at_ranks(df, order_by, borders, total)
+    positions = keys_at_ranks(keyed, order_by, borders, total)
     block = F.lit(0)
     for border in borders:
         block = block + (~_border(positions, border, order)).cast("int")
-    return df.withColumn(block_col, block)
+    return keyed.select(*df.columns, block.alias(block_col))
 
 
-def time_folds(df, order_by=("policy_id",), k=5):
+def time_folds(df, order_by=None, k=5):
     """Expanding folds laid out: one row per (fold, row) with role train or test."""
     return (
         time_blocks(df, order_by, k, "_block")

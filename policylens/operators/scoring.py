@@ -17,8 +17,8 @@ SCORE = "churn_probability"
 def score(df, state, model, probability="probability"):
     """Positive-class probability beside the input columns.
 
-    `model` is a fitted pipeline over the derived features; unknown contacts are filled first because
-    a feature vector takes no nulls.
+    `model` is a fitted pipeline over the derived features, which fills those that are missing with the
+    medians it has learnt; every row gets a score.
     """
     featured = add_features(fill_last_contact(df), state)
     scored = model.transform(featured)

@@ -5,7 +5,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from policylens.schema import RAW_TARGET, raw_schema
-from policylens.sources.staging import settle_small, stage
+from policylens.sources.staging import settled, stage
 
 
 def read_contracts(spark, path, with_target=True):
@@ -33,7 +33,7 @@ def _locate(scan):
         "lines")
     blocks = located.groupBy("_file", "_block").agg(
         F.count(F.lit(1)).alias("_lines"), F.min("_seen").alias("_first"))
-    return located, settle_small(blocks)
+    return located, settled(blocks)
 
 
 def _number(located, blocks, name):
@@ -50,7 +50,7 @@ def _number(located, blocks, name):
                 (F.col("_file_start") + F.col("_block_start")).alias("_start"))
     )
     return (
-        located.join(settle_small(starts), ["_file", "_block"])
+        located.join(settled(starts), ["_file", "_block"])
         .withColumn(name, F.col("_start") + F.col("_seen") - F.col("_first"))
         .drop("_file", "_block", "_seen", "_first", "_start")
     )

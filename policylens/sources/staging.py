@@ -3,11 +3,6 @@
 import tempfile
 import uuid
 
-from pyspark.sql import functions as F
-
-BROADCAST_ROWS = 200_000
-LOCAL_ROWS = 20_000
-
 
 def shared_folder(spark):
     """Folder for intermediate tables: `spark.checkpoint.dir`, or a temporary one in local mode only."""
@@ -46,18 +41,9 @@ def stage(df, label, partition_by=()):
     return spark.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df, max_rows=BROADCAST_ROWS):
-    """Broadcast hint only after counting that `df` has at most `max_rows` rows.
+def settled(df):
+    """A table of totals, written once so that no later stage derives it again.
 
-    Beyond that the join is left to Spark: a shuffle join, with skewed keys split at run time.
+    Whether it is broadcast is left to Spark, which knows its bytes.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
-def settle_small(df, max_rows=LOCAL_ROWS):
-    """The same, for a table of totals that is computed only once: up to `max_rows` rows are brought
-    in as literals and broadcast, so no later stage derives them again."""
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        return broadcast_if_small(df)
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+    return stage(df, "totals")

@@ -1,10 +1,8 @@
-from itertools import combinations
-
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from policylens.functions.significance import chi_square_p, exact_ks_p, kolmogorov_p
+from policylens.functions.significance import chi_square_p, kolmogorov_p
 from policylens.operators import drift, profile
 
 
@@ -19,28 +17,33 @@ def test_p_values(spark):
     assert got[5] is None and got[6] is None and got[7] == pytest.approx(0.0)
 
 
-def test_exact_ks_against_every_order(spark):
-    cases, want = [], []
-    for n, m in ((5, 4), (4, 4), (3, 6), (1, 5)):
-        gaps = []
-        for chosen in combinations(range(n + m), n):
-            a, b = np.array(chosen), np.array([k for k in range(n + m) if k not in chosen])
-            gaps.append(brute_ks(a, b))
-        for d in sorted(set(np.round(gaps, 9))):
-            cases.append((float(d), n, m))
-            want.append(np.mean(np.array(gaps) >= d - 1e-6))
-    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, d double, n long, m long")
-    got = [r[0] for r in df.coalesce(1).orderBy("i").select(exact_ks_p("d", "n", "m")).collect()]
-    assert got == pytest.approx(want)
-    odd = spark.createDataFrame([(0.0, 5, 5), (None, 5, 5), (0.2, 0, 5), (0.01, 20000, 5), (0.02, 10000, 9999),
-                                 (0.9, 9000, 9000)],
-                                "d double, n long, m long")
-    got = [r[0] for r in odd.coalesce(1).select(exact_ks_p("d", "n", "m")).collect()]
-    assert got[:4] == [1.0, None, None, None] and got[5] is None
-    # Near the limit law, taken at the argument that corrects for the finite sizes.
-    size = 10000 * 9999 / 19999
-    limit = spark.range(1).select(kolmogorov_p(F.lit(0.02 * size ** 0.5 + 1 / (6 * size ** 0.5)))).first()[0]
-    assert got[4] == pytest.approx(limit, rel=0.01)
+def test_chi_square_tail_of_many_degrees(spark):
+    # The median of the distribution lies near k (1 - 2 / 9k)^3; the work must not follow the degrees.
+    cases = [(k * (1 - 2 / (9 * k)) ** 3, k) for k in (3, 50, 199, 200, 201, 10_000, 10**8, 10**12)]
+    df = spark.createDataFrame([(i, float(x), k) for i, (x, k) in enumerate(cases)], "i int, x double, k long")
+    got = [r[0] for r in df.coalesce(1).orderBy("i").select(chi_square_p("x", "k")).collect()]
+    assert got == pytest.approx([0.5] * len(cases), abs=5e-3)
+    # Both sides of the change of method agree with the closed form of an even number of degrees.
+    for k in (198, 200, 202):
+        for x in (0.8 * k, 0.95 * k, 1.1 * k, 1.3 * k):
+            closed = sum(np.exp(i * np.log(x / 2) - x / 2 - sum(np.log(np.arange(1, i + 1)))) for i in range(k // 2))
+            value = spark.range(1).select(chi_square_p(F.lit(float(x)), F.lit(k))).first()[0]
+            assert value == pytest.approx(closed, rel=1e-6, abs=1e-9)
+
+
+def test_drift_in_the_twenty_fifth_column(spark):
+    df = spark.range(400).select(
+        "id", *[(F.col("id") % 17).alias(f"c{i}") for i in range(30)])
+    shifted = df.withColumn("c25", F.col("c25") + 100)
+    found = {r["column"] for r in drift.ks_columns(df, shifted).where("drifted").collect()}
+    assert found == {"c25"}
+
+
+def test_nothing_in_common_is_an_empty_result(spark):
+    a, b = spark.range(5).toDF("x"), spark.range(5).toDF("y")
+    assert drift.ks_columns(a, b).count() == 0
+    assert drift.chi2_columns(a, b).count() == 0 and drift.chi2_columns(a, b, with_p=False).count() == 0
+    assert drift.drift_report(a, b).first()["share_drifted_features"] == 0.0
 
 
 def brute_ks(a, b):

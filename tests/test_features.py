@@ -97,7 +97,7 @@ def test_groups_follow_the_columns_present(five):
 
 
 def test_pipeline_stage_agrees_and_reloads(spark, five, derived, tmp_path):
-    fitted = Pipeline(stages=[ft.MarketFeatures()]).fit(five)
+    fitted = Pipeline(stages=[ft.MarketFeatures(statePath=str(tmp_path / "medians"))]).fit(five)
     path = str(tmp_path / "stage")
     fitted.save(path)
     reloaded = PipelineModel.load(path)
@@ -109,11 +109,13 @@ def test_pipeline_stage_agrees_and_reloads(spark, five, derived, tmp_path):
         "auto": 900.0, "home": 520.0, "health": 600.0}
 
 
-def test_stage_refuses_unbounded_lines(spark):
-    many = spark.range(20).select(
-        F.format_string("line%d", "id").alias("lob"), F.lit(1.0).alias("annual_premium"))
-    with pytest.raises(ValueError):
-        ft.MarketFeatures(maxLines=10).fit(many)
+def test_stage_learns_any_number_of_lines(spark, tmp_path):
+    many = spark.range(3000).select(
+        F.format_string("line%d", "id").alias("lob"), F.col("id").cast("double").alias("annual_premium"))
+    fitted = ft.MarketFeatures(statePath=str(tmp_path / "medians")).fit(many)
+    assert fitted.state(spark).count() == 3000
+    assert fitted.transform(many).where(
+        "annual_premium > 0 AND premium_to_market_ratio != 1").count() == 0
 
 
 def test_grid_of_valid_inputs(spark):

@@ -146,3 +146,33 @@ def test_folds_expand(spark):
     assert all(r["last"] < r["next"] for r in folds)
     with pytest.raises(ValueError):
         rk.time_folds(df.limit(4))
+
+
+def test_missing_keys_are_divided_by_the_next(spark):
+    """A stretch of missing scores is narrowed by the ids instead of being ranked in one task."""
+    df = spark.range(20_000).select(
+        F.when(F.col("id") % 5 == 0, F.col("id") * 0.5).alias("score"), (F.col("id") * 7919 % 20_011).alias("key"))
+    found = rk.keys_at_ranks(df, [("score", "desc"), "key"], [1, 4000, 4001, 12_345, 20_000], settle_rows=300)
+    expected = sorted(df.collect(), key=lambda r: (r["score"] is None, -(r["score"] or 0), r["key"]))
+    for rank, position in found.items():
+        assert position.key == tuple(expected[rank - 1]) and position.rows_before == rank - 1
+    assert len(found) == 5
+    order = rk.parse_order([("score", "desc"), "key"])
+    brackets = rk._narrow_down(df, order, [rk._Bracket(None, None, 0, 20_000, [12_345])], 300)
+    assert all(b.rows <= 300 for b in brackets)
+
+
+def test_border_among_missing_keys(spark):
+    df = spark.range(1000).select(F.format_string("P%04d", "id").alias("policy_id"), F.when(F.col("id") % 5 > 1, F.col("id")).alias("v"))
+    parts = rk.split_ordered(df, ["v", "policy_id"], 0.8)
+    assert {r["part"]: r["count"] for r in parts.groupBy("part").count().collect()} == {"train": 800, "test": 200}
+    assert parts.where("part = 'test' AND v IS NOT NULL").count() == 0
+
+
+def test_ids_are_ordered_by_their_number(spark):
+    df = spark.range(9_999_000, 10_001_000).select(F.format_string("POL%07d", "id").alias("policy_id"), "id")
+    parts = rk.split_ordered(df, train_share=0.5).groupBy("part").agg(F.min("id").alias("low"), F.max("id").alias("high"))
+    assert {r["part"]: (r["low"], r["high"]) for r in parts.collect()} == {
+        "train": (9_999_000, 9_999_999), "test": (10_000_000, 10_000_999)}
+    folds = rk.time_folds(df.withColumn("n", F.col("id")), k=3).where("fold = 2")
+    assert folds.where("role = 'train'").agg(F.max("n")).first()[0] < folds.where("role = 'test'").agg(F.min("n")).first()[0]

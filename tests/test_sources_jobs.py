@@ -1,5 +1,6 @@
 import json
 import os
+import time
 
 import pytest
 from pyspark.ml import PipelineModel
@@ -10,6 +11,7 @@ from policylens.operators import modeling as md
 from policylens.operators import scoring
 from policylens.operators.scoring import batch_result
 from policylens.plans.batch_score import batch_score
+from policylens.plans.drift import drift_job
 from policylens.plans.evaluate import eval_job
 from policylens.plans.ingest import ingest
 from policylens.plans.train import train_job
@@ -98,11 +100,9 @@ def test_run_log_appends(spark, tmp_path):
     assert len(got) == 3 and first != second and (second, "metric", "auc", "0.6") in got
 
 
-def test_broadcast_only_after_a_count(spark):
+def test_totals_are_written_once(spark):
     df = spark.range(100)
-    assert "ResolvedHint" in staging.broadcast_if_small(df)._jdf.queryExecution().analyzed().toString()
-    assert "ResolvedHint" not in staging.broadcast_if_small(df, 50)._jdf.queryExecution().analyzed().toString()
-    assert rows(staging.settle_small(df, 50)) == rows(staging.settle_small(df, 500)) == rows(df)
+    assert rows(staging.settled(df)) == rows(df)
 
 
 def test_shared_folder_is_the_session_setting(spark):
@@ -248,3 +248,40 @@ def test_stream_equals_batch_and_goes_on_where_it_stopped(spark, tmp_path):
     totals = spark.read.parquet(summary).agg(F.sum("total_at_risk"), F.sum("total_premium_at_risk")).first()
     whole = scoring.at_risk_summary(inputs.scorecard(requests).withColumn("pos", F.lit(0))).first()
     assert totals[0] == whole[0] and totals[1] == pytest.approx(whole[1])
+
+
+def test_stream_takes_the_first_request_and_keeps_the_refused(spark, tmp_path):
+    """An older small file and a newer larger one with the same id in one batch; one record is refused."""
+    one = inputs.requests(spark, MEDIUM).limit(1).withColumn("claim_count_12m", F.lit(9)).withColumn("tenure_months", F.lit(6))
+    source, scores, summary, progress = (str(tmp_path / n) for n in ("in", "scores", "summary", "progress"))
+    one.withColumn("annual_premium", F.lit(100.0)).coalesce(1).write.parquet(source)
+    time.sleep(1.1)
+    later = one.withColumn("annual_premium", F.lit(900.0)).crossJoin(spark.range(3)).drop("id")
+    refused = one.withColumn("insured_age", F.lit(5)).withColumn("policy_id", F.lit("young"))
+    later.unionByName(refused).coalesce(1).write.mode("append").parquet(source)
+    score_stream(read_stream(spark, source), inputs.scorecard, scores, summary, progress).awaitTermination()
+    total = spark.read.parquet(summary).first()
+    assert (total["total_at_risk"], total["total_premium_at_risk"]) == (4, 400.0)
+    bad = spark.read.parquet(f"{scores}-rejected").collect()
+    assert [(r["policy_id"], r["reasons"]) for r in bad] == [("young", ["insured_age"])]
+
+
+def test_every_request_is_scored_whatever_is_missing(spark, trained, tmp_path):
+    out, _ = trained
+    holes = inputs.requests(spark, MEDIUM).limit(60)
+    for i, column in enumerate(("annual_premium", "tenure_months", "insured_age", "claim_count_12m", "premium_change_pct")):
+        holes = holes.withColumn(column, F.when(inputs.client_no() % 5 != i, F.col(column)))
+    source = write_table(holes, str(tmp_path / "holes"))
+    scored = batch_score(spark, source, str(tmp_path / "scored"), model_dir=out)
+    assert scored.count() == 60 and scored.where("churn_probability IS NULL OR isnan(churn_probability)").count() == 0
+
+
+def test_monitoring_job_writes_json(spark, tmp_path):
+    df = inputs.policies(spark, MEDIUM)
+    sides = [write_table(part, str(tmp_path / name)) for name, part in (
+        ("old", df.where("tenure_months > 35")), ("new", df.where("tenure_months <= 35")))]
+    report, compared = drift_job(spark, *sides, str(tmp_path / "out"), scorer=inputs.scorecard, timestamp="t")
+    assert report.first()["alert"] and compared.count() == 1
+    stored = spark.read.json(str(tmp_path / "out" / "drift")).first()
+    assert stored["timestamp"] == "t" and stored["share_drifted_features"] == report.first()["share_drifted_features"]
+    assert drift_job(spark, *sides, str(tmp_path / "again"))[1] is None

@@ -297,7 +297,18 @@ chi2 AS (
   SELECT column_index, "column", sum((a - ea) * (a - ea) / ea + (b - eb) * (b - eb) / eb) AS statistic,
     CAST(count(*) - 1 AS INTEGER) AS dof
   FROM expected GROUP BY ALL),
-chi2_tests AS (SELECT *, statistic > {CHI2_CRITICAL} AS drifted FROM chi2)"""
+halves AS (SELECT *, statistic / 2 AS h, CAST(dof % 2 AS DOUBLE) / 2 AS s0 FROM chi2),
+chi2_terms AS (
+  -- Q(dof/2, h): erfc(sqrt(h)) for an odd number of degrees, by the series of erf, and one term per two degrees.
+  SELECT column_index,
+    (SELECT 1 - 2 / sqrt(pi()) * sum((CASE WHEN n % 2 = 0 THEN 1 ELSE -1 END) * exp((2 * n + 1) * ln(sqrt(h)) - lgamma(n + 1)) / (2 * n + 1))
+     FROM range(0, 120) r(n)) AS erfc,
+    (SELECT coalesce(sum(exp((s0 + k) * ln(h) - h - lgamma(s0 + k + 1))), 0) FROM range(0, dof // 2) r(k)) AS terms
+  FROM halves),
+chi2_tests AS (
+  SELECT chi2.*, CASE WHEN statistic <= 0 THEN CAST(1 AS DOUBLE) ELSE CASE WHEN dof % 2 = 1 THEN erfc ELSE 0 END + terms END AS p_value,
+    statistic > {CHI2_CRITICAL} AS drifted
+  FROM chi2 JOIN chi2_terms USING (column_index))"""
 
 
 def _histogram(source, columns):
@@ -333,6 +344,10 @@ CLV = """round_even((annual_premium * (1 - pow(CAST(1.08 AS DOUBLE),
 SPLIT_REF = "SELECT *, (client_no % 10 < 7)::INT AS is_ref FROM policies"
 TENURE_REF = "SELECT *, (tenure_months > 35)::INT AS is_ref FROM policies"
 BY_ID = "churn_probability DESC, policy_id"
+
+LIFT = """
+SELECT top_k, k, captured, round(captured / CAST(positives AS DOUBLE), 6) AS share_captured,
+  round(captured / CAST(positives AS DOUBLE) / (k / CAST(n AS DOUBLE)), 6) AS lift FROM captures"""
 BY_LINE = "churn_probability DESC, l_orderkey, l_linenumber, churn_label DESC"
 
 CONTRIBUTIONS = """
@@ -372,7 +387,7 @@ SELECT CASE WHEN client_no % 5 = 4 THEN 'test' ELSE 'train' END AS dataset, coun
 FROM raw GROUP BY 1""")
     out["scan_policies"] = _query(POLICIES, f"SELECT {record} FROM policies")
     out["sink_policies"] = _query(POLICIES, """
-SELECT CASE WHEN row_number() OVER (ORDER BY policy_id) <= floor(count(*) OVER () * CAST(0.8 AS DOUBLE))
+SELECT CASE WHEN row_number() OVER (ORDER BY length(policy_id), policy_id) <= floor(count(*) OVER () * CAST(0.8 AS DOUBLE))
   THEN 'train' ELSE 'test' END AS dataset, policy_id, annual_premium, churn_label FROM policies""")
     matrix = _query(FEATURES, f"SELECT policy_id, churn_label, {_select(MATRIX, REAL)} FROM features")
     out["sink_features"] = matrix
@@ -441,13 +456,20 @@ SELECT l_orderkey, l_linenumber, churn_probability, count(*) AS n,
   CAST(sum(count(*)) OVER (ORDER BY churn_probability DESC, l_orderkey, l_linenumber) AS BIGINT) AS last_rank
 FROM lines GROUP BY l_orderkey, l_linenumber, churn_probability""")
     out["split_ordered"] = _query(POLICIES, """
-SELECT policy_id, CASE WHEN row_number() OVER (ORDER BY policy_id) <= floor(count(*) OVER () * CAST(0.8 AS DOUBLE))
+SELECT policy_id, CASE WHEN row_number() OVER (ORDER BY length(policy_id), policy_id) <= floor(count(*) OVER () * CAST(0.8 AS DOUBLE))
   THEN 'train' ELSE 'test' END AS part FROM policies""")
     out["split_by_tenure"] = _query(POLICIES, """
 SELECT policy_id, CASE WHEN row_number() OVER (ORDER BY tenure_months DESC, policy_id)
+  <= floor(count(*) OVER () * CAST(0.7 AS DOUBLE)) THEN 'train' ELSE 'test' END AS part FROM policies""")
+    out["split_wide_ids"] = _query(POLICIES, """
+SELECT 'POL' || CAST(client_no + 9999900 AS VARCHAR) AS policy_id, CASE WHEN row_number() OVER (ORDER BY client_no)
+  <= floor(count(*) OVER () * CAST(0.8 AS DOUBLE)) THEN 'train' ELSE 'test' END AS part FROM policies""")
+    out["split_missing"] = _query(POLICIES, """
+SELECT policy_id, CASE WHEN row_number() OVER (
+    ORDER BY CASE WHEN client_no % 5 > 1 THEN tenure_months END NULLS LAST, policy_id)
   <= floor(count(*) OVER () * CAST(0.7 AS DOUBLE)) THEN 'train' ELSE 'test' END AS part FROM policies""")
     out["time_folds"] = _query(POLICIES + """,
-ordered AS (SELECT policy_id, row_number() OVER (ORDER BY policy_id) AS rn, count(*) OVER () AS n FROM policies),
+ordered AS (SELECT policy_id, row_number() OVER (ORDER BY length(policy_id), policy_id) AS rn, count(*) OVER () AS n FROM policies),
 folds AS (SELECT CAST(i AS INTEGER) AS fold FROM range(1, 6) t(i))""", """
 SELECT policy_id, fold, CASE WHEN rn <= n - (6 - fold) * (n // 6) THEN 'train' ELSE 'test' END AS role
 FROM ordered, folds WHERE rn <= n - (5 - fold) * (n // 6)""")
@@ -456,9 +478,10 @@ FROM ordered, folds WHERE rn <= n - (5 - fold) * (n // 6)""")
     sparse_columns = ["policy_id", "lob", "annual_premium", "tenure_months", "claim_count_12m", "claim_count_all",
                       "claim_settled_pct", "insured_age", "channel", "policy_count_active", "premium_change_pct",
                       "last_contact_days", "client_no"]
+    sparse_types = ["string", "string", "double", "int", "int", "int", "double", "int", "string", "int", "double", "int", "bigint"]
     out["profile_nulls"] = _query(SPARSE, " UNION ALL ".join(
-        f"SELECT CAST({i} AS INTEGER) AS column_index, '{c}' AS \"column\", count(*) AS n_rows, "
-        f"count({c}) AS n_non_null FROM sparse" for i, c in enumerate(sparse_columns)))
+        f"SELECT CAST({i} AS INTEGER) AS column_index, '{c}' AS \"column\", '{t}' AS dtype, count(*) AS n_rows, "
+        f"count({c}) AS n_non_null FROM sparse" for i, (c, t) in enumerate(zip(sparse_columns, sparse_types))))
     out["head_rows"] = _query(POLICIES, f"SELECT {record} FROM policies ORDER BY policy_id LIMIT 5")
     out["profile_describe"] = _query(POLICIES, f"""
 SELECT column_index, "column", count(v) AS "count", round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS std,
@@ -469,7 +492,7 @@ FROM ({_melt("policies", NUMERIC + ["churn_label"])}) GROUP BY column_index, "co
 SELECT churn_label, count(*) AS n, round(count(*) / CAST(sum(count(*)) OVER () AS DOUBLE), 6) AS share
 FROM policies GROUP BY churn_label""")
     out["hist_by_class"] = _query(POLICIES + "," + _histogram("policies", NUMERIC), "").strip()
-    out["hist_derived"] = _query(FEATURES + "," + _histogram("features", DERIVED[:12]), "").strip()
+    out["hist_derived"] = _query(FEATURES + "," + _histogram("features", DERIVED), "").strip()
     pairs = [(a, b) for i, a in enumerate(NUMERIC) for b in NUMERIC[:i]]
     out["corr_matrix"] = _query(POLICIES, " UNION ALL ".join(
         f"SELECT '{a}' AS row_feature, '{b}' AS column_feature, round(corr({a}, {b}), 6) AS correlation FROM policies"
@@ -516,10 +539,21 @@ good AS (
     + CAST(0.03 AS DOUBLE) * premium_change_pct))), 6) AS churn_probability
   FROM dirty WHERE client_no NOT IN (SELECT client_no FROM faults))""",
         f"SELECT policy_id, churn_probability, {RIGHT} AS risk_tier FROM good")
+    out["stream_rejects"] = _query(DIRTY, """
+SELECT reasons, count(*) AS n FROM (
+  SELECT string_agg(rule, ',' ORDER BY pos) AS reasons FROM faults GROUP BY client_no) GROUP BY reasons""")
+    out["stream_summary"] = _query(SCORES, """
+SELECT count(*) AS total_at_risk, round(coalesce(sum(annual_premium), 0), 2) AS total_premium_at_risk
+FROM scores WHERE churn_probability >= CAST(0.45 AS DOUBLE)""")
 
     # Evaluation.
     for key, fraction in (("topk_10", "0.10"), ("topk_15", "0.15")):
         out[key] = _query(SCORES + "," + _topk("scores", fraction), "SELECT * FROM metrics")
+    gaps = SCORES.replace("scores AS (", "all_scores AS (") + """,
+scores AS (SELECT policy_id, churn_label, CASE WHEN client_no % 5 > 1 THEN churn_probability END AS churn_probability FROM all_scores)"""
+    by_gaps = "churn_probability DESC NULLS LAST, policy_id"
+    out["topk_missing"] = _query(gaps + "," + _captures("scores", ["0.1", "0.5", "0.7", "0.9"], by_gaps), "SELECT * FROM captures")
+    out["lift_missing"] = _query(gaps + "," + _captures("scores", ["0.1", "0.15", "0.2", "0.5", "1.0"], by_gaps), LIFT)
     fractions = ["0.1", "0.15", "0.29", "0.5"]
     out["topk_lines"] = _query(LINES + "," + _captures("lines", fractions, BY_LINE), "SELECT * FROM captures")
     out["topk_lines_fine"] = _query(FINE_LINES + "," + _captures("lines", fractions, BY_LINE), "SELECT * FROM captures")
@@ -528,9 +562,7 @@ SELECT policy_id, row_number() OVER w AS rn,
   round(row_number() OVER w / CAST(count(*) OVER () AS DOUBLE), 6) AS share_contacted,
   round(sum(churn_label) OVER w / CAST(sum(churn_label) OVER () AS DOUBLE), 6) AS share_captured
 FROM scores WINDOW w AS (ORDER BY {BY_ID})""")
-    out["lift_table"] = _query(SCORES + "," + _captures("scores", ["0.1", "0.15", "0.2", "0.5", "1.0"], BY_ID), """
-SELECT top_k, k, captured, round(captured / CAST(positives AS DOUBLE), 6) AS share_captured,
-  round(captured / CAST(positives AS DOUBLE) / (k / CAST(n AS DOUBLE)), 6) AS lift FROM captures""")
+    out["lift_table"] = _query(SCORES + "," + _captures("scores", ["0.1", "0.15", "0.2", "0.5", "1.0"], BY_ID), LIFT)
     out["roc_points"] = _query(SCORES + "," + _curve("scores"), """
 SELECT CAST(NULL AS DOUBLE) AS threshold, CAST(0 AS DOUBLE) AS fpr, CAST(0 AS DOUBLE) AS tpr
 UNION ALL SELECT p, round((cum_n - cum_pos) / CAST(sum(n - pos) OVER () AS DOUBLE), 6),
@@ -585,7 +617,7 @@ drifts AS (
 SELECT 'ks_test_fallback' AS method, round(share, 6) AS share_drifted_features, coalesce(names, '') AS drifted_columns,
   share > CAST(0.15 AS DOUBLE) AS alert, share > CAST(0.15 AS DOUBLE) AS dataset_drift_detected FROM drifts""")
     out["chi2_columns"] = _query(POLICIES + f",\nsides AS ({SPLIT_REF})," + _chi2("sides"), """
-SELECT column_index, "column", round(statistic, 6) AS statistic, dof, drifted FROM chi2_tests""")
+SELECT column_index, "column", round(statistic, 6) AS statistic, dof, round(p_value, 6) AS p_value, drifted FROM chi2_tests""")
     out["drift_report"] = _query(tenure_tests + "," + _chi2("sides") + """,
 tests AS (SELECT drifted FROM ks_tests UNION ALL SELECT drifted FROM chi2_tests),
 shares AS (SELECT count(*) FILTER (WHERE drifted) / CAST(count(*) AS DOUBLE) AS share FROM tests)""", """
@@ -593,6 +625,19 @@ SELECT round(share, 6) AS share_drifted_features, share >= CAST(0.5 AS DOUBLE) A
   share > CAST(0.15 AS DOUBLE) AS alert,
   (SELECT CAST(sum(is_ref) AS BIGINT) FROM sides) AS n_reference,
   (SELECT CAST(sum(1 - is_ref) AS BIGINT) FROM sides) AS n_current FROM shares""")
+    out["drift_job"] = _query(
+        SCORES + f",\nsides AS ({TENURE_REF})," + _ks("sides", NUMERIC) + "," + _chi2("sides") + """,
+tests AS (SELECT drifted FROM ks_tests UNION ALL SELECT drifted FROM chi2_tests),
+shares AS (SELECT count(*) FILTER (WHERE drifted) / CAST(count(*) AS DOUBLE) AS share FROM tests),
+sided AS (
+  SELECT CASE WHEN tenure_months > 35 THEN 'ref' ELSE 'cur' END AS side, churn_probability, churn_label FROM scores),""" + _curve("sided", "side") + """,
+aucs AS (SELECT max(CASE WHEN side = 'ref' THEN auc END) AS a, max(CASE WHEN side = 'cur' THEN auc END) AS b FROM curve_metrics)""", """
+SELECT round(share, 6) AS share_drifted_features, share >= CAST(0.5 AS DOUBLE) AS dataset_drift_detected,
+  share > CAST(0.15 AS DOUBLE) AS data_alert,
+  (SELECT CAST(sum(is_ref) AS BIGINT) FROM sides) AS n_reference,
+  (SELECT CAST(sum(1 - is_ref) AS BIGINT) FROM sides) AS n_current,
+  round(a, 6) AS baseline_auc, round(b, 6) AS current_auc, a - b > CAST(0.05 AS DOUBLE) AS alert,
+  CASE WHEN a - b > CAST(0.05 AS DOUBLE) THEN 'retrain' ELSE 'ok' END AS recommendation FROM shares, aucs""")
     out["auc_drift"] = _query(SCORES + """,
 sided AS (
   SELECT lob || CASE WHEN client_no % 10 < 7 THEN '/ref' ELSE '/cur' END AS side, churn_probability, churn_label
@@ -604,7 +649,7 @@ paired AS (
 SELECT lob, baseline_auc, current_auc, round(auc_drop, 6) AS auc_drop, auc_drop > CAST(0.05 AS DOUBLE) AS alert,
   CASE WHEN auc_drop > CAST(0.05 AS DOUBLE) THEN 'retrain' ELSE 'ok' END AS recommendation FROM paired""")
     out["model_card_facts"] = _query(SCORES + """,
-ordered AS (SELECT *, row_number() OVER (ORDER BY policy_id) <= floor(count(*) OVER () * CAST(0.8 AS DOUBLE)) AS is_train FROM scores),
+ordered AS (SELECT *, row_number() OVER (ORDER BY length(policy_id), policy_id) <= floor(count(*) OVER () * CAST(0.8 AS DOUBLE)) AS is_train FROM scores),
 held_out AS (SELECT * FROM ordered WHERE NOT is_train),""" + _curve("held_out") + "," + _topk("held_out", "0.10")
         + "," + _contributions("held_out") + """,
 lead_features AS (SELECT feature, avg(abs(contribution)) AS value FROM contributions GROUP BY feature)""", """
@@ -624,8 +669,12 @@ both_models AS (""" + " UNION ALL ".join(
 SELECT model AS run_name, 'param' AS kind, 'model_type' AS name, model AS value FROM curve_metrics
 UNION ALL SELECT model, 'metric', 'auc_roc', CAST(round(auc, 6) AS VARCHAR) FROM curve_metrics
 UNION ALL SELECT model, 'metric', 'avg_precision', CAST(round(avg_precision, 6) AS VARCHAR) FROM curve_metrics""")
+    out["batch_score"] = _query(POLICIES, "SELECT policy_id, true AS is_probability, true AS tier_fits FROM policies")
+    out["train_baseline"] = _query(POLICIES, """
+SELECT CAST(0 AS DOUBLE) AS gradient, CAST(floor(count(*) * CAST(0.8 AS DOUBLE)) AS BIGINT) AS n_train,
+  count(*) - CAST(floor(count(*) * CAST(0.8 AS DOUBLE)) AS BIGINT) AS n_test, true AS are_probabilities FROM policies""")
     out["calibrate_platt"] = _query(POLICIES + """,
-ordered AS (SELECT churn_label, row_number() OVER (ORDER BY policy_id) AS rn, count(*) OVER () AS n FROM policies),
+ordered AS (SELECT churn_label, row_number() OVER (ORDER BY length(policy_id), policy_id) AS rn, count(*) OVER () AS n FROM policies),
 classes AS (
   SELECT CAST(sum(churn_label) AS DOUBLE) AS p, CAST(sum(1 - churn_label) AS DOUBLE) AS q
   FROM ordered WHERE rn <= floor(n * CAST(0.8 AS DOUBLE))),

@@ -8,6 +8,7 @@ from policylens.operators import attribution, drift, evaluation, features, model
 from policylens.operators import translate as translation
 from policylens.operators import validate
 from policylens.plans.batch_score import batch_score
+from policylens.plans.drift import drift_job
 from policylens.plans.evaluate import eval_job
 from policylens.plans.features import build_training_features
 from policylens.plans.ingest import ingest
@@ -230,6 +231,23 @@ def split_ordered(spark, sf_dir):
     return ranking.split_ordered(inputs.policies(spark, sf_dir)).select("policy_id", "part")
 
 
+def split_wide_ids(spark, sf_dir):
+    """Ids on both sides of the border from seven to eight digits."""
+    df = inputs.policies(spark, sf_dir)
+    wide = df.withColumn("policy_id", F.concat(F.lit("POL"), (inputs.client_no() + 9_999_900).cast("string")))
+    return ranking.split_ordered(wide).select("policy_id", "part")
+
+
+def split_missing(spark, sf_dir):
+    """Tenures of which two in five are missing; the border lies among them."""
+    df = _with_missing(inputs.policies(spark, sf_dir), "tenure_months")
+    return ranking.split_ordered(df, ["tenure_months", "policy_id"], 0.7).select("policy_id", "part")
+
+
+def _with_missing(df, column):
+    return df.withColumn(column, F.when(inputs.client_no() % 5 > 1, F.col(column)))
+
+
 def split_by_tenure(spark, sf_dir):
     return ranking.split_ordered(
         inputs.policies(spark, sf_dir), [("tenure_months", "desc"), "policy_id"], 0.7
@@ -245,7 +263,7 @@ def time_folds(spark, sf_dir):
 
 
 def profile_nulls(spark, sf_dir):
-    return profile.null_profile(inputs.sparse_requests(spark, sf_dir)).drop("dtype")
+    return profile.null_profile(inputs.sparse_requests(spark, sf_dir))
 
 
 def head_rows(spark, sf_dir):
@@ -265,10 +283,10 @@ def hist_by_class(spark, sf_dir):
 
 
 def hist_derived(spark, sf_dir):
-    """The same bins over the first derived columns."""
+    """The same bins over the derived columns."""
     base = inputs.policies(spark, sf_dir)
     df = features.add_features(base, inputs.market_state(spark, sf_dir))
-    derived = [c for c in df.columns if c not in base.columns][:profile.HISTOGRAM_COLUMNS]
+    derived = [c for c in df.columns if c not in base.columns]
     return _r_floats(profile.histogram_by_class(df, derived))
 
 
@@ -338,15 +356,44 @@ def at_risk_summary(spark, sf_dir):
     return scoring.at_risk_summary(inputs.repeated_requests(spark, sf_dir))
 
 
+def _streamed(spark, sf_dir, requests, scorer, n_files=6):
+    """Paths of the scores, summaries and rejects of requests that arrive as files."""
+    source, scores, summary, rejects, progress = (
+        new_path(spark, n) for n in ("requests", "scores", "summary", "rejects", "progress"))
+    requests.repartition(n_files).write.parquet(source)
+    score_stream(read_stream(spark, source, files_per_batch=2), scorer, scores, summary, progress, rejects).awaitTermination()
+    return scores, summary, rejects
+
+
+def _read_batches(spark, schema, path):
+    return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(path)
+
+
 def stream_scores(spark, sf_dir):
-    """The dirty requests as a stream of files; what is valid comes out scored."""
-    source, scores, summary, progress = (new_path(spark, n) for n in ("requests", "scores", "summary", "progress"))
-    inputs.dirty_requests(spark, sf_dir).drop("client_no").repartition(6).write.parquet(source)
-    query = score_stream(
-        read_stream(spark, source, files_per_batch=2), inputs.scorecard, scores, summary, progress)
-    query.awaitTermination()
-    return spark.read.schema("policy_id string, churn_probability double, risk_tier string").option(
-        "recursiveFileLookup", True).parquet(scores)
+    """The dirty requests as a stream of files; what is valid gets its features under static medians and is scored."""
+    state = inputs.market_state(spark, sf_dir)
+
+    def scorer(batch):
+        return inputs.scorecard(features.add_features(batch, state)).select(*batch.columns, SCORE)
+
+    scores, _, _ = _streamed(spark, sf_dir, inputs.dirty_requests(spark, sf_dir).drop("client_no"), scorer)
+    return _read_batches(spark, "policy_id string, churn_probability double, risk_tier string", scores)
+
+
+def stream_rejects(spark, sf_dir):
+    """The records the stream refuses, counted by their broken fields."""
+    _, _, rejects = _streamed(
+        spark, sf_dir, inputs.dirty_requests(spark, sf_dir).drop("client_no"), inputs.scorecard)
+    return _read_batches(spark, "reasons array<string>", rejects).groupBy(
+        F.array_join("reasons", ",").alias("reasons")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def stream_summary(spark, sf_dir):
+    """Requests at risk and their premiums over the batches of the stream."""
+    _, summary, _ = _streamed(spark, sf_dir, inputs.requests(spark, sf_dir), inputs.scorecard)
+    schema = "total_at_risk long, total_premium_at_risk double"
+    return _read_batches(spark, schema, summary).agg(
+        F.sum("total_at_risk").alias("total_at_risk"), F.round(F.sum("total_premium_at_risk"), 2).alias("total_premium_at_risk"))
 
 
 # ---- evaluation ----
@@ -358,6 +405,15 @@ def _topk(fraction):
     return query
 
 
+def topk_missing(spark, sf_dir):
+    """Cuts before, at and inside scores that are missing."""
+    return evaluation.captured_at(_with_missing(inputs.scores(spark, sf_dir), SCORE), [0.1, 0.5, 0.7, 0.9])
+
+
+def lift_missing(spark, sf_dir):
+    return _r_floats(evaluation.lift_table(_with_missing(inputs.scores(spark, sf_dir), SCORE)))
+
+
 def topk_lines(spark, sf_dir):
     """Several cuts through heavily tied scores."""
     return evaluation.captured_at(
@@ -419,40 +475,47 @@ def model_comparison(spark, sf_dir):
 
 
 def ks_columns(spark, sf_dir):
-    reference, current = inputs.drift_sides(spark, sf_dir, inputs.client_no() % 10 < 7)
-    return _r_floats(drift.ks_columns(reference, current, method="asymptotic"))
-
-
-def ks_exact(spark, sf_dir):
-    """Exact p-values where either side has at most 10,000 rows."""
     reference, current = inputs.drift_sides(spark, sf_dir, inputs.client_no() % 10 < 7)
     return _r_floats(drift.ks_columns(reference, current))
 
 
 def ks_events(spark, sf_dir):
     """Event values before and from a date, one test per event type."""
-    types = ["click", "error", "purchase", "signup", "view"]
     events = inputs.table(spark, sf_dir, "events")
+    types = sorted(r[0] for r in events.select("event_type").where(F.col("event_type").isNotNull()).distinct().collect())
     wide = events.select("ts", *[F.when(F.col("event_type") == t, F.col("value")).alias(t) for t in types])
     early = F.col("ts") < F.lit("2024-01-16").cast("timestamp")
-    return _r_floats(drift.ks_columns(wide.where(early).drop("ts"), wide.where(~early).drop("ts"), method="asymptotic"))
+    return _r_floats(drift.ks_columns(wide.where(early).drop("ts"), wide.where(~early).drop("ts")))
 
 
 def drift_summary(spark, sf_dir):
     reference, current = inputs.drift_sides(spark, sf_dir, F.col("tenure_months") > 35)
     numeric = len(numeric_columns(reference, exclude=[LABEL]))
-    summary = drift.drift_summary(drift.ks_columns(reference, current, method="asymptotic"), numeric)
+    summary = drift.drift_summary(drift.ks_columns(reference, current), numeric)
     return _r_floats(summary.withColumn("drifted_columns", F.array_join("drifted_columns", ",")))
 
 
 def chi2_columns(spark, sf_dir):
     reference, current = inputs.drift_sides(spark, sf_dir, inputs.client_no() % 10 < 7)
-    return _r_floats(drift.chi2_columns(reference, current).drop("p_value"))
+    return _r_floats(drift.chi2_columns(reference, current))
 
 
 def drift_report(spark, sf_dir):
     reference, current = inputs.drift_sides(spark, sf_dir, F.col("tenure_months") > 35)
-    return _r_floats(drift.drift_report(reference, current, method="asymptotic").drop("timestamp"))
+    return _r_floats(drift.drift_report(reference, current).drop("timestamp"))
+
+
+def drift_job_report(spark, sf_dir):
+    """The monitoring job on two stored tables, read back from the report it writes."""
+    sides = [
+        policy_files.write_table(side, new_path(spark, "side"))
+        for side in inputs.drift_sides(spark, sf_dir, F.col("tenure_months") > 35)]
+    out = new_path(spark, "monitoring")
+    drift_job(spark, *sides, out, scorer=inputs.scorecard, timestamp="now")
+    report = spark.read.json(f"{out}/drift").select(
+        "share_drifted_features", "dataset_drift_detected", F.col("alert").alias("data_alert"), "n_reference", "n_current")
+    performance = spark.read.json(f"{out}/auc").select("baseline_auc", "current_auc", "alert", "recommendation")
+    return _r_floats(report.crossJoin(performance))
 
 
 def auc_drift(spark, sf_dir):
@@ -536,8 +599,18 @@ def _scored_test(model, test, column="probability"):
 
 
 def train_baseline(spark, sf_dir):
+    """The baseline's gradient by its intercept: the weighted sum of probability minus label over the train rows is zero."""
     train, test, names = _model_parts(spark, sf_dir)
-    return _scored_test(modeling.train_baseline(train, names), test)
+    model = modeling.train_baseline(train, names)
+    weighted, _ = modeling.with_balanced_weight(train)
+    scored = modeling.positive_probability(model, weighted)
+    tested = _scored_test(model, test).agg(
+        F.count(F.lit(1)).alias("n_test"), F.min(SCORE).alias("low"), F.max(SCORE).alias("high")).first()
+    return scored.agg(
+        F.round(F.abs(F.sum(F.col("_weight") * (F.col(SCORE) - F.col(LABEL))) / F.sum("_weight")), 3).alias("gradient"),
+        F.count(F.lit(1)).alias("n_train")).select(
+        "gradient", "n_train", F.lit(tested["n_test"]).cast("long").alias("n_test"),
+        F.lit(tested["low"] >= 0 and tested["high"] <= 1).alias("are_probabilities"))
 
 
 def train_gbt(spark, sf_dir):
@@ -600,9 +673,16 @@ def score_model(spark, sf_dir):
 
 
 def batch_score_job(spark, sf_dir):
+    """The job over requests with missing cells: every row comes back, with the tier of its probability."""
     out, _ = _trained(spark, sf_dir)
-    source = policy_files.write_table(inputs.requests(spark, sf_dir), new_path(spark, "requests"))
-    return batch_score(spark, source, new_path(spark, "batch"), model_dir=out)
+    sparse = inputs.sparse_requests(spark, sf_dir).drop("client_no")
+    for column in ("annual_premium", "tenure_months", "insured_age"):
+        sparse = sparse.withColumn(column, F.when(inputs.client_no() % 11 != 0, F.col(column)))
+    source = policy_files.write_table(sparse, new_path(spark, "requests"))
+    scored = batch_score(spark, source, new_path(spark, "batch"), model_dir=out)
+    return scored.select(
+        "policy_id", F.col(SCORE).between(0, 1).alias("is_probability"),
+        F.col("risk_tier").eqNullSafe(risk_tier(F.col(SCORE), closed="right")).alias("tier_fits"))
 
 
 def eval_gate(spark, sf_dir):
@@ -674,6 +754,8 @@ QUERIES = {
     "rank_lines": rank_lines,
     "split_ordered": split_ordered,
     "split_by_tenure": split_by_tenure,
+    "split_wide_ids": split_wide_ids,
+    "split_missing": split_missing,
     "time_folds": time_folds,
     "profile_nulls": profile_nulls,
     "head_rows": head_rows,
@@ -695,8 +777,12 @@ QUERIES = {
     "batch_result": batch_result,
     "at_risk_summary": at_risk_summary,
     "stream_score": stream_scores,
+    "stream_rejects": stream_rejects,
+    "stream_summary": stream_summary,
     "topk_10": _topk(0.10),
     "topk_15": _topk(0.15),
+    "topk_missing": topk_missing,
+    "lift_missing": lift_missing,
     "topk_lines": topk_lines,
     "topk_lines_fine": topk_lines_fine,
     "gains_curve": gains_curve,
@@ -713,11 +799,11 @@ QUERIES = {
     "quality_gate": quality_gate,
     "model_comparison": model_comparison,
     "ks_columns": ks_columns,
-    "ks_exact": ks_exact,
     "ks_events": ks_events,
     "drift_summary": drift_summary,
     "chi2_columns": chi2_columns,
     "drift_report": drift_report,
+    "drift_job": drift_job_report,
     "auc_drift": auc_drift,
     "model_card_facts": model_card_facts,
     "contributions": contributions,
