@@ -25,6 +25,34 @@ QUERIES = {
 }
 
 STATEMENTS = {
+    # Bytes as pairs of hex digits, the next 400 as one string, and the strings that start twice.
+    "op2_suffix_dedup": """
+        WITH spelled AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        blocks AS (
+            SELECT doc_id, length(h) // 2 AS size, base, substr(h, 2 * base + 1, 2000) AS part
+            FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2, 600)) AS base FROM spelled)),
+        strings AS (
+            SELECT doc_id, base + i AS place, substr(part, CAST(2 * i + 1 AS BIGINT), 2) AS byte,
+                CASE WHEN base + i + 400 <= size THEN md5(substr(part, CAST(2 * i + 1 AS BIGINT), 800)) END AS run
+            FROM (SELECT *, unnest(range(0, least(600, size - base))) AS i FROM blocks)),
+        repeated AS (SELECT run FROM strings WHERE run IS NOT NULL GROUP BY run HAVING count(*) > 1),
+        marked AS (
+            SELECT s.doc_id, s.place, s.byte, r.run IS NOT NULL AS starts
+            FROM strings s LEFT JOIN repeated r ON s.run = r.run),
+        covered AS (
+            SELECT doc_id, place, byte, bool_or(starts) OVER (
+                PARTITION BY doc_id ORDER BY place ROWS BETWEEN 399 PRECEDING AND CURRENT ROW) AS gone
+            FROM marked),
+        opened AS (
+            SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY place), false) AS opens
+            FROM covered),
+        counted AS (
+            SELECT doc_id, count(*) AS n_bytes, count(*) FILTER (gone) AS n_removed, count(*) FILTER (opens) AS n_spans,
+                coalesce(string_agg(byte, '' ORDER BY place) FILTER (NOT gone), '') AS kept
+            FROM opened GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(n_bytes, 0) AS n_bytes, coalesce(n_removed, 0) AS n_removed,
+            coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+        FROM documents d LEFT JOIN counted c USING (doc_id)""",
     # Words by place, the next 13 as one string, and the smallest document in which that string starts.
     "op3_substring_dedup": r"""
         WITH listed AS (

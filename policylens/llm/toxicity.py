@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from policylens.llm.chunks import small_batches, without
+from policylens.sources.staging import stage
 
 CATEGORIES = ("low_quality", "toxic")
 ROWS, MARKS, FEWEST, FOLDS, PENALTY, STEPS, KEEP = 12_000, 256, 4, 4, 1.0, 12, 300_000
@@ -78,9 +79,13 @@ def feature_rows(texts, marks):
 
 
 def fit_logistic(x, y, penalty=PENALTY, steps=STEPS):
-    """(weights, intercept) by Newton steps on standardised features with a ridge penalty."""
+    """(weights, intercept, least, largest) by Newton steps on standardised features with a ridge penalty.
+
+    The last two are the range of each feature, beyond which the model does not extrapolate.
+    """
+    least, largest = x.min(axis=0), x.max(axis=0)
     if not 0 < y.mean() < 1:
-        return np.zeros(x.shape[1]), -20.0 if y.mean() < 0.5 else 20.0
+        return np.zeros(x.shape[1]), -20.0 if y.mean() < 0.5 else 20.0, least, largest
     mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-3)
     z = np.hstack([(x - mean) / scale, np.ones((len(x), 1), x.dtype)]).astype(np.float32)
     w = np.zeros(z.shape[1])
@@ -106,11 +111,12 @@ def fit_logistic(x, y, penalty=PENALTY, steps=STEPS):
         if before - now < 1e-4 * max(1.0, now):
             break
     weights = w[:-1] / scale
-    return weights, float(w[-1] - mean @ weights)
+    return weights, float(w[-1] - mean @ weights), least, largest
 
 
 def probability(x, model):
-    return 1 / (1 + np.exp(-np.clip(x @ model[0] + model[1], -30, 30)))
+    weights, intercept, least, largest = model
+    return 1 / (1 + np.exp(-np.clip(np.clip(x, least, largest) @ weights + intercept, -30, 30)))
 
 
 def fit_chain(x, labels, folds, n_folds=FOLDS):
@@ -121,9 +127,9 @@ def fit_chain(x, labels, folds, n_folds=FOLDS):
         out = np.empty(len(x))
         for fold in range(n_folds):
             inside = folds == fold
-            if inside.any():
-                out[inside] = probability(seen[inside], fit_logistic(seen[~inside], y[~inside]) if not inside.all()
-                                          else (np.zeros(seen.shape[1]), 0.0))
+            if inside.any():  # a sample of one fold has nothing else to learn from
+                outside = ~inside if not inside.all() else inside
+                out[inside] = probability(seen[inside], fit_logistic(seen[outside], y[outside]))
         models.append(fit_logistic(seen, y))
         earlier = np.hstack([earlier, out[:, None]])
     return models
@@ -175,8 +181,8 @@ def fit_toxicity(labelled, text_col="text", categories=CATEGORIES, rows=ROWS):
     last = picked.select("order").distinct().orderBy("order").limit(rows).agg(F.max("order")).first()[0]
     if last is None:
         return None
-    sample = picked.where(F.col("order") <= last).groupBy("order").agg(
-        F.min("text").alias("text"), *[F.max(c).alias(c) for c in categories])
+    sample = stage(picked.where(F.col("order") <= last).groupBy("order").agg(
+        F.min("text").alias("text"), *[F.max(c).alias(c) for c in categories]), "labelled")
     chosen = select_marks(sample, list(categories))
 
     def describe(batches):
@@ -218,11 +224,15 @@ def score_toxicity(docs, model, text_col="text", categories=CATEGORIES, prefix="
     return docs.mapInArrow(score, schema)
 
 
-def labelled_documents(docs, labels):
-    """Texts with their categories: `quality` 0 is low quality, `toxic` 1 is toxic."""
-    known = labels.groupBy("doc_id").agg(
+def labelled_documents(docs, labels, rows=ROWS):
+    """Texts with their categories: `quality` 0 is low quality, `toxic` 1 is toxic.
+
+    The `rows` labels that are first by a hash of their id are taken, so that texts are neither shuffled nor read for more.
+    """
+    known = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
         F.max(1 - F.col("quality")).cast("int").alias("low_quality"), F.max("toxic").cast("int").alias("toxic"))
-    return docs.select("doc_id", "text").join(known, "doc_id").select("text", *CATEGORIES)
+    taken = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    return docs.select("doc_id", "text").join(F.broadcast(taken), "doc_id").select("text", *CATEGORIES)
 
 
 def keep_clean(docs, model, threshold=REJECT, rejected="toxic"):

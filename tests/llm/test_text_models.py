@@ -241,6 +241,8 @@ def test_chain_feeds_out_of_fold_probabilities():
     mean, scale = x.mean(axis=0), x.std(axis=0)
     gradient = ((x - mean) / scale).T @ (first - p) - 10 * toxicity.PENALTY * models[0][0] * scale
     assert np.abs(gradient).max() < 0.5
+    # Beyond what was seen nothing changes any more.
+    assert np.allclose(toxicity.probability(x * 50, models[0]), toxicity.probability(np.clip(x * 50, x.min(axis=0), x.max(axis=0)), models[0]))
     alike = toxicity.fit_logistic(x, np.zeros(400))
     assert toxicity.probability(x, alike).max() < 1e-6
 
