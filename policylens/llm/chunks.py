@@ -12,6 +12,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from policylens.llm.shipping import ship_package
+
 CHUNK_BYTES = 4 << 20
 SENT = "bucket int, chunk long, body binary"
 ANSWERED = "chunk long, round int, bucket int, body binary"
@@ -21,7 +23,8 @@ ANSWERED_ARROW = pa.schema([
 
 
 def small_batches(spark, rows=256):
-    """Bound the rows that go to a Python worker at once: texts can be long."""
+    """Get a session ready for Python tasks on texts: bound the rows that go to a worker at once, and ship the package."""
+    ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 

@@ -203,6 +203,7 @@ def pack_pieces(pieces, capacity=CAPACITY, partition_rows=PARTITION_ROWS):
 
     A bin is named by (round, part, bin).
     """
+    small_batches(pieces.sparkSession)
     pieces = stage(pieces, "pieces")
     histogram = pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).orderBy("length").collect()  # one row per length
     bound = lower_bound([r["length"] for r in histogram], [r["n"] for r in histogram], capacity)

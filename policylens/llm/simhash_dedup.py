@@ -138,6 +138,7 @@ def links(prints, distance=4, parts=None, group_limit=GROUP_LIMIT):
 
     The number of parts only decides how the pairs are brought together; any number above `distance` finds the same.
     """
+    small_batches(prints.sparkSession)
     parts = parts or parts_for(prints.count(), distance)
     equal = parts - distance
     if equal < 1:
