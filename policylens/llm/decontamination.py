@@ -9,9 +9,8 @@ themselves (occurrences shared by all occurrences of either), and count from 0.8
 A window without any shingle of an item has similarity 0 with it, so only windows that hold one are fingerprinted. The radius
 is wide (20 of 64 bits; a similarity of 0.8 leaves 10 on average) because the check after it is exact; a pair beyond it
 is not found. Words are runs of bytes that are no ASCII white space, A-Z lower-cased. An item of fewer than five words is one
-shingle. Documents shorter than an item are one window. Null, blank texts and items match nothing,
-and an item without an id is left out. Of each document and item
-the best window is reported, the first of equal ones; rows of one id are reported each.
+shingle. Documents shorter than an item are one window. Null, blank texts and items match nothing, and an item without an id
+is left out. Of each document and item the best window is reported, the first of equal ones; rows of one id are reported each.
 
 Items are read in blocks of about `block_bytes`, each of which is sent to all tasks and meets all documents.
 """
@@ -218,4 +217,4 @@ def keep_clean(docs, items, text_col="text", item_id="item_id", item_text="text"
 
 def op10_decontamination(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return find_passages(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return find_passages(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("n_bits")

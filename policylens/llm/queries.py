@@ -77,4 +77,41 @@ STATEMENTS = {
         SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed,
             sha256(coalesce(kept, '')) AS kept_sha256
         FROM documents d LEFT JOIN counted c USING (doc_id)""",
+    # Shingles that documents and items share, the windows of the item's size that hold one, and the best of them.
+    # Items have five words or more.
+    "op10_decontamination": r"""
+        WITH plain AS (
+            SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark),
+        listed AS (
+            SELECT kind, id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+            FROM plain),
+        words AS (
+            SELECT kind, id, len(ws) AS n, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS place FROM listed),
+        windows AS (
+            SELECT kind, id, n, place, count(*) OVER ahead AS size, string_agg(word, ' ') OVER ahead AS shingle
+            FROM words WINDOW ahead AS (PARTITION BY kind, id ORDER BY place ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)),
+        shingles AS (SELECT kind, id, n, place, shingle FROM windows WHERE size = 5),
+        of_items AS (
+            SELECT id AS item_id, n AS item_n, shingle, count(*) AS times FROM shingles WHERE kind = 'i' GROUP BY ALL),
+        hits AS (
+            SELECT d.id AS doc_id, i.item_id, d.n, i.item_n, least(d.n, i.item_n) AS span, d.place
+            FROM shingles d JOIN of_items i ON d.shingle = i.shingle WHERE d.kind = 'd'),
+        starts AS (
+            SELECT DISTINCT doc_id, item_id, item_n, span,
+                unnest(range(greatest(0, place - (span - 5)), least(place, n - span) + 1)) AS start_word
+            FROM hits),
+        held AS (
+            SELECT s.doc_id, s.item_id, s.item_n, s.span, s.start_word, d.shingle, count(*) AS times
+            FROM starts s JOIN shingles d ON d.kind = 'd' AND d.id = s.doc_id
+                AND d.place BETWEEN s.start_word AND s.start_word + s.span - 5
+            GROUP BY ALL),
+        shared AS (
+            SELECT h.doc_id, h.item_id, h.item_n, h.span, h.start_word, CAST(sum(least(h.times, i.times)) AS BIGINT) AS n_both
+            FROM held h JOIN of_items i ON h.item_id = i.item_id AND h.shingle = i.shingle GROUP BY ALL),
+        likeness AS (
+            SELECT *, CAST(n_both AS DOUBLE) / CAST(span - 4 + item_n - 4 - n_both AS DOUBLE) AS similarity FROM shared)
+        SELECT doc_id, item_id, start_word, CAST(span AS BIGINT) AS n_words, similarity
+        FROM likeness WHERE similarity >= CAST(0.8 AS DOUBLE)
+        QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start_word) = 1""",
 }
