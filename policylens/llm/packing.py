@@ -26,7 +26,7 @@ from policylens.llm.chunks import small_batches
 from policylens.llm.token_counts import byte_alphabet
 from policylens.sources.staging import stage
 
-VOCABULARY, CAPACITY, CLOSING, PARTITION_ROWS, KEEP = "word_bpe_49k.json", 2048, 0, 50_000, 1_000_000
+VOCABULARY, CAPACITY, CLOSING, PARTITION_ROWS, KEEP = "word_bpe_49k.json", 2048, 0, 50_000, 700_000
 PIECE = T.StructType([
     T.StructField("key", T.LongType()), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()),
     T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())])

@@ -185,10 +185,12 @@ def _edges(frame, distance, references):
 
 
 def _labelled(docs, id_col, text_col, distance, shingle):
-    """(id, text_hash, fp, component) for each row, and one row per component with its first (id, text_hash)."""
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
+    """(id, text_hash, row_hash, fp) of each row, the first row of each fingerprint's component, and that of each component."""
+    source = docs.select(
+        F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"),
+        F.xxhash64(id_col, text_col).alias("row_hash"))
     prints = stage(with_fingerprints(source, "text", "fp", shingle).drop("text"), "fingerprints")
-    order = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("text_hash"))
+    order = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("text_hash"), F.col("row_hash"))
     distinct = prints.groupBy("fp").agg(F.min(order).alias("first"))
     members = connected(stage(links(distinct.select("fp"), distance), "links"))
     of_print = distinct.join(members, distinct.fp == members.node, "left").select(
@@ -207,12 +209,13 @@ def near_duplicates(docs, id_col="doc_id", text_col="text", distance=4, shingle=
 def keep_one(docs, id_col="doc_id", text_col="text", distance=4, shingle=4):
     """One row of each group of linked texts: that of the smallest id, and among rows of one id of the smallest text hash."""
     _, _, firsts = _labelled(docs, id_col, text_col, distance, shingle)
-    kept = firsts.select("first.id", "first.text_hash")
-    name = free_name(docs.columns, "_hash")
-    hashed = docs.withColumn(name, F.xxhash64(text_col))
-    chosen = hashed.join(
-        kept, hashed[id_col].eqNullSafe(kept["id"]) & (hashed[name] == kept["text_hash"]), "left_semi")
-    return chosen.dropDuplicates([id_col, name]).drop(name)
+    of_text = free_name(docs.columns, "_text_hash")
+    of_row = free_name(docs.columns, "_row_hash")
+    kept = firsts.select(F.col("first.text_hash").alias(of_text), F.col("first.row_hash").alias(of_row))
+    hashed = docs.withColumns({of_text: F.xxhash64(text_col), of_row: F.xxhash64(id_col, text_col)})
+    # One shuffle of the texts serves the join and the choice among equal rows.
+    return hashed.join(kept, [of_text, of_row], "left_semi").dropDuplicates([of_text, of_row]).select(*[
+        F.col(f"`{c}`") for c in docs.columns])
 
 
 def op6_simhash_dedup(spark, sf_dir):

@@ -24,7 +24,7 @@ from policylens.llm.chunks import small_batches, without
 from policylens.sources.staging import stage
 
 CATEGORIES = ("low_quality", "toxic")
-ROWS, MARKS, FEWEST, FOLDS, PENALTY, STEPS, KEEP = 12_000, 256, 4, 4, 1.0, 12, 300_000
+ROWS, MARKS, FEWEST, FOLDS, PENALTY, STEPS, KEEP = 12_000, 256, 4, 4, 1.0, 12, 100_000
 PREFIXES = range(4, 9)
 AROUND = re.compile(r"^[\W_]+|[\W_]+$")
 SHAPE, REJECT = 7, 0.4
