@@ -26,7 +26,7 @@ def drop_near_duplicates(spark, docs, sf_dir):
 
 def cut_repeats(spark, docs, sf_dir):
     """Words that repeat 13 or more words of a document with a smaller id go; the documents stay."""
-    return substring_dedup.dedup_documents(docs)
+    return substring_dedup.dedup_documents(docs, chunk_bytes=2 << 20)  # workers hold other stages' memory as well
 
 
 def drop_contaminated(spark, docs, sf_dir):

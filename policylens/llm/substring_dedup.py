@@ -212,9 +212,9 @@ def substring_dedup(docs, id_col="doc_id", text_col="text", window=13):
         F.col("key").alias(id_col), "n_words", "n_removed", "kept_text")
 
 
-def dedup_documents(docs, id_col="doc_id", text_col="text", window=13):
+def dedup_documents(docs, id_col="doc_id", text_col="text", window=13, chunk_bytes=chunks.CHUNK_BYTES):
     """The documents with repeated words taken out of their texts; untouched texts stay as they are."""
-    result = remove_repeats(docs, id_col, text_col, window)
+    result = remove_repeats(docs, id_col, text_col, window, chunk_bytes)
     text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
     made = {id_col: F.col("key").cast(docs.schema[id_col].dataType), text_col: text}
     return result.select(*[made.get(c, F.col(f"rest.`{c}`")).alias(c) for c in docs.columns])
