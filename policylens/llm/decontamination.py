@@ -7,8 +7,9 @@ that tolerance finds all items within the radius. Candidates are verified by the
 themselves (occurrences shared by all occurrences of either), and count from 0.8 on.
 
 A window without any shingle of an item has similarity 0 with it, so only windows that hold one are fingerprinted. The radius
-is wide (20 of 64 bits; a similarity of 0.8 leaves 10 on average) because the check after it is exact; a pair beyond it
-is not found. Words are runs of bytes that are no ASCII white space, A-Z lower-cased. An item of fewer than five words is one
+is 20 of 64 bits (a similarity of 0.8 leaves 10 on average), but one shingle that an item repeats moves many bits, and no
+radius below 64 is a guarantee. So windows whose count of shared shingle hashes reaches 0.8 are candidates as well, at any
+distance; that count is never below the true one, and no pair is lost. Words are runs of bytes that are no ASCII white space, A-Z lower-cased. An item of fewer than five words is one
 shingle. Documents shorter than an item are one window. Null, blank texts and items match nothing, and an item without an id
 is left out. Of each document and item the best window is reported, the first of equal ones; rows of one id are reported each.
 
@@ -80,9 +81,11 @@ class Index:
             keys, rows = np.concatenate([hashes[i] for i in mine]), np.concatenate([owners[i] for i in mine])
             order = np.lexsort((rows, keys))
             keys, rows = keys[order], rows[order]
+            new = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (rows[1:] != rows[:-1])]))
+            keys, rows, times = keys[new], rows[new], np.diff(new, append=len(keys))
             maybe = np.zeros(1 << 16, dtype=bool)
             maybe[keys >> np.uint64(48)] = True
-            self.by_width[width] = keys, rows, maybe
+            self.by_width[width] = keys, rows, times, maybe
         # near[block][value, item]: is the block's value within radius / BLOCKS bits of the item's?
         values = np.arange(256, dtype=np.uint8)
         parts = self.prints.view(np.uint8).reshape(-1, 8)
@@ -107,7 +110,7 @@ class Index:
         owner = texts.row_of(starts)
         begin = np.searchsorted(owner, np.arange(len(texts.parts) + 1))
         sums, found = OVER_FIRST.prefix(named), {}
-        for width, (keys, rows, maybe) in self.by_width.items():
+        for width, (keys, rows, times, maybe) in self.by_width.items():
             hashes = OVER_FIRST.stretches(sums, np.arange(max(0, len(named) - width + 1)), np.arange(width, len(named) + 1)) \
                 if len(named) >= width else np.zeros(0, np.uint64)
             at = np.flatnonzero(maybe[hashes >> np.uint64(48)])
@@ -116,14 +119,38 @@ class Index:
             for text in np.unique(owner[at[high > low]]).tolist():
                 mine = (owner[at] == text) & (high > low)
                 self._search_text(
-                    texts.parts[text].split(), text, hashes[begin[text]:begin[text + 1] - width + 1], width, rows,
+                    texts.parts[text].split(), text, hashes[begin[text]:begin[text + 1] - width + 1], width, rows, times,
                     at[mine] - begin[text], low[mine], high[mine], similarity, found)
         return [(text, row, *best) for (text, row), best in sorted(found.items())]
 
-    def _search_text(self, words, text, hashes, width, rows, at, low, high, similarity, found):
+    def counted(self, held, entry, rows, times, n_starts, n, similarity):
+        """(item row, first start, end, similarity) of stretches of windows alike by the hashes they share, best first.
+
+        `held`: places of shingles in the text; `entry`: their places in the index; `n`: shingles in a window. Of a shingle
+        that an item holds t times a window shares the first t, so an occurrence counts in the windows behind the t-th before.
+        """
+        order = np.lexsort((held, entry))
+        held, entry = held[order], entry[order]
+        before = np.maximum(np.arange(len(held)) - times[entry], -1)
+        after = np.where((before >= 0) & (entry[before] == entry), held[before] + 1, 0)
+        first, last = np.maximum(held - n + 1, after), np.minimum(held, n_starts - 1)
+        some = first <= last
+        items, number = np.unique(rows[entry[some]], return_inverse=True)
+        base = number * (n_starts + 1)
+        marks, of = np.unique(np.concatenate([base + first[some], base + last[some] + 1]), return_inverse=True)
+        shared = np.cumsum(np.bincount(of, np.repeat([1, -1], len(base)), len(marks))).astype(np.int64)
+        row = items[marks // (n_starts + 1)] if len(items) else marks
+        alike = shared / (self.sizes[row] - self.widths[row] + 1 + n - shared)
+        good = np.flatnonzero((shared > 0) & (alike >= similarity))
+        good = good[np.lexsort((marks[good], -alike[good], row[good]))]
+        begin = marks[good] % (n_starts + 1)
+        return zip(row[good].tolist(), begin.tolist(), (begin + marks[good + 1] - marks[good]).tolist(), alike[good].tolist())
+
+    def _search_text(self, words, text, hashes, width, rows, times, at, low, high, similarity, found):
         """Windows of one text around the places `at`, where shingles of items stand."""
         held = np.repeat(at, high - low)
-        item = rows[np.concatenate([np.arange(a, b) for a, b in zip(low, high)])]
+        entry = np.concatenate([np.arange(a, b) for a, b in zip(low, high)])
+        item = rows[entry]
         for size in np.unique(self.sizes[item]).tolist():
             span = min(size, len(words))
             places = np.unique(held[self.sizes[item] == size])
@@ -145,6 +172,16 @@ class Index:
                         best = found.get((text, int(row)))
                         if alike >= similarity and (best is None or alike > best[3]):
                             found[text, int(row)] = (start, span, int(bits), alike)
+            own, n = self.sizes[item] == size, span - width + 1
+            for row, begin, end, most in self.counted(held[own], entry[own], rows, times, len(words) - span + 1, n, similarity):
+                for start in range(begin, end):
+                    best = found.get((text, row))
+                    if best is not None and (most, -start) <= (best[3], -best[0]):
+                        break
+                    alike = weighted_similarity(self.counts[row], shingles(words[start:start + span], width))
+                    if alike >= similarity and (best is None or (alike, -start) > (best[3], -best[0])):
+                        print_ = prints_of(bit_sums(hashes[start:start + n]), np.array([0]), n)[0]
+                        found[text, row] = (start, span, int(np.bitwise_count(print_ ^ self.prints[row])), alike)
 
 
 def item_blocks(items, id_col="item_id", text_col="text", block_bytes=BLOCK_BYTES):

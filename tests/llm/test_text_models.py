@@ -7,11 +7,13 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import as_dict, documents, odd_texts, words
 from pyspark.sql import functions as F
 
 from policylens.llm import decontamination, language_id, order_minhash, toxicity, url_filter
+from policylens.llm.rolling import Texts
 
 
 def slow_sketch(text, sketches=32, k=5, picked=2):
@@ -311,3 +313,17 @@ def test_blocks_find_everything_within_the_radius():
     found = {(int(a), int(b)) for a, b, _ in zip(*index.within(prints, rows))}
     expected = {(i, j) for i in range(500) for j in range(40) if bin(int(prints[i] ^ index.prints[j])).count("1") <= 20}
     assert found == expected and expected
+
+
+def test_items_that_repeat_a_shingle_are_found_at_any_distance():
+    rng = random.Random(12)
+    items = [(i, words(rng, 196, 5_000) + " blank" * (24 - i % 4)) for i in range(8)]
+    items += [(8, words(rng, 30) + " _" * 40), (9, "0 " * 60), (10, "a b " * 50)]
+    texts = [words(rng, 50, 5_000) + " " + t.rsplit(" blank", 20)[0] + " " + words(rng, 80, 5_000) for _, t in items[:8]]
+    texts += [words(rng, 20) + " " + items[8][1][:-20] + " " + words(rng, 20), "0 " * 55 + words(rng, 30), "x " + "a b " * 70]
+    index = decontamination.Index(items)
+    found = {(t, items[row][0]): (start, n, alike)
+             for t, row, start, n, bits, alike in index.search(Texts(pa.array(texts), lower=True))}
+    assert found == slow_passages(texts, items) and len(found) >= 10
+    far = [bits for *_, bits, _ in index.search(Texts(pa.array(texts), lower=True))]
+    assert max(far) > decontamination.RADIUS
