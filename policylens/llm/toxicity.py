@@ -227,11 +227,13 @@ def score_toxicity(docs, model, text_col="text", categories=CATEGORIES, prefix="
 def labelled_documents(docs, labels, rows=ROWS):
     """Texts with their categories: `quality` 0 is low quality, `toxic` 1 is toxic.
 
-    The `rows` labels that are first by a hash of their id are taken, so that texts are neither shuffled nor read for more.
+    Of the labels with both categories and a text that is not blank, the `rows` that are first by a hash of their id are taken:
+    ids meet ids for that, and texts are not shuffled.
     """
     known = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
-        F.max(1 - F.col("quality")).cast("int").alias("low_quality"), F.max("toxic").cast("int").alias("toxic"))
-    taken = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+        F.max(1 - F.col("quality")).cast("int").alias("low_quality"), F.max("toxic").cast("int").alias("toxic")).dropna()
+    written = docs.where(F.col("text").rlike(r"[^ \t-\r]")).select("doc_id").distinct()
+    taken = known.join(written, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     return docs.select("doc_id", "text").join(F.broadcast(taken), "doc_id").select("text", *CATEGORIES)
 
 

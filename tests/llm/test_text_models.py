@@ -221,6 +221,15 @@ def test_toxicity_chain(spark, odd, empty):
     assert toxicity.keep_clean(df, None).count() == len(rows)
 
 
+def test_only_usable_labels_take_places_in_the_sample(spark):
+    texts = [None, "", " \t\n ", "\x0b\r"] * 15 + [f"some words {i}" for i in range(40)]
+    labels = [(i, 1, 0) for i in range(300)] + [(None, 0, 1)]  # from 100 on without a document
+    labels = [(i, None if i and 60 <= i < 70 else q, None if i and 70 <= i < 80 else t) for i, q, t in labels]
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    taken = toxicity.labelled_documents(documents(spark, texts), table, rows=20).collect()
+    assert len(taken) == 20 and {r["text"] for r in taken} <= set(texts[80:])
+
+
 def test_chain_feeds_out_of_fold_probabilities():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(400, 5)).astype(np.float32)
