@@ -6,7 +6,7 @@ from contextlib import redirect_stdout
 
 import pytest
 
-from conftest import SMALL
+from tables import SMALL
 from workload import inputs
 from workload.queries import QUERIES
 

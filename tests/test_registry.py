@@ -4,7 +4,7 @@ import sys
 import pytest
 
 import __spark_entry__ as entry_module
-from conftest import MEDIUM, SMALL
+from tables import MEDIUM, SMALL
 from workload import oracle, queries
 
 sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "tools"))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
-from conftest import MEDIUM, rows
+from tables import MEDIUM, rows
 from policylens.operators import modeling as md
 from policylens.operators import scoring
 from policylens.operators.scoring import batch_result
