@@ -4,7 +4,10 @@ from policylens.llm.decontamination import op10_decontamination
 from policylens.llm.language_id import op7_language_id
 from policylens.llm.order_minhash import op9_order_minhash
 from policylens.llm.packing import op4_best_fit_packing
+from policylens.llm.periodic_runs import op13_periodic_runs
+from policylens.llm.secret_scan import op12_secret_scan
 from policylens.llm.simhash_dedup import op6_simhash_dedup
+from policylens.llm.spelling_variants import op11_spelling_variants
 from policylens.llm.substring_dedup import op3_substring_dedup
 from policylens.llm.suffix_dedup import op2_suffix_dedup
 from policylens.llm.token_counts import op5_token_counts
@@ -22,6 +25,9 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_order_minhash": op9_order_minhash,
     "op10_decontamination": op10_decontamination,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_secret_scan": op12_secret_scan,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 STATEMENTS = {
