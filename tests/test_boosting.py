@@ -1,0 +1,295 @@
+"""Boosted trees, their search and their attributions beside brute force."""
+
+import itertools
+import math
+import random
+
+import numpy as np
+import pytest
+from pyspark.ml import PipelineModel
+from pyspark.sql import functions as F
+from tables import MEDIUM
+
+from policylens.operators import boosting, modeling, parzen, tree_attribution
+from policylens.schema import LABEL
+from workload import inputs
+
+SPACE = {**modeling.SEARCH_SPACE, "n_estimators": (3, 8, "int"), "max_depth": (2, 3, "int"), "reg_alpha": (0.0, 0.5, "float")}
+
+
+def sample(n=200, features=5, seed=0, missing=0.15):
+    rng = np.random.default_rng(seed)
+    x = rng.integers(0, 7, (n, features)).astype(float)
+    y = (x[:, 0] + x[:, 1] + rng.normal(0, 2, n) > 6).astype(float)
+    x[rng.random((n, features)) < missing] = np.nan
+    return x, y
+
+
+def as_frame(spark, x, y):
+    names = [f"x{i}" for i in range(x.shape[1])]
+    rows = [(f"P{i}", *[None if math.isnan(v) else float(v) for v in row], int(label)) for i, (row, label) in enumerate(zip(x, y))]
+    return spark.createDataFrame(rows, f"policy_id string, {', '.join(f'{n} double' for n in names)}, {LABEL} int"), names
+
+
+def slow_margins(x, y, params):
+    """Margins of trees grown by trying every cut and either side for the missing at every node."""
+    p = boosting.completed(params)
+    weight = np.where(y == 1, p["scale_pos_weight"], 1.0)
+    margin = np.zeros(len(y))
+
+    def shrunk(g):
+        return math.copysign(max(abs(g) - p["reg_alpha"], 0.0), g)
+
+    def worth(g, h):
+        return shrunk(g) ** 2 / (h + p["reg_lambda"])
+    for _ in range(p["n_estimators"]):
+        prob = 1 / (1 + np.exp(-margin))
+        g, h = (prob - y) * weight, prob * (1 - prob) * weight
+        value = np.zeros(len(y))
+
+        def grow(rows, depth):
+            best = (1e-6, None)
+            if depth < p["max_depth"]:
+                for f in range(x.shape[1]):
+                    for cut in np.unique(x[~np.isnan(x[:, f]), f])[:-1]:
+                        for missing_left in (False, True):
+                            left = rows & np.where(np.isnan(x[:, f]), missing_left, x[:, f] <= cut)
+                            right = rows & ~left
+                            if min(h[left].sum(), h[right].sum()) < p["min_child_weight"] or not left.any() or not right.any():
+                                continue
+                            gain = worth(g[left].sum(), h[left].sum()) + worth(g[right].sum(), h[right].sum()) - worth(g[rows].sum(), h[rows].sum())
+                            if gain > best[0] + 1e-9:
+                                best = (gain, (left, right))
+            if best[1]:
+                for part in best[1]:
+                    grow(part, depth + 1)
+            else:
+                value[rows] = -shrunk(g[rows].sum()) / (h[rows].sum() + p["reg_lambda"]) * p["learning_rate"]
+        grow(np.ones(len(y), bool), 0)
+        margin = margin + value
+    return margin
+
+
+@pytest.mark.parametrize("params", [
+    {"n_estimators": 4, "max_depth": 3, "reg_alpha": 0.0, "reg_lambda": 1.0},
+    {"n_estimators": 4, "max_depth": 3, "reg_alpha": 1.5, "reg_lambda": 4.0, "scale_pos_weight": 3.0, "min_child_weight": 4},
+])
+def test_trees_equal_brute_force(params):
+    x, y = sample()
+    bins = boosting.Bins([str(i) for i in range(x.shape[1])], [np.unique(c[~np.isnan(c)])[:-1] for c in x.T])
+    weight = np.where(y == 1, params.get("scale_pos_weight", 1.0), 1.0)
+    trees = boosting.grow_here(bins, boosting.completed(params), bins.encode(x), y, weight, np.arange(len(y)))
+    assert boosting.Ensemble(bins, trees).margin(x) == pytest.approx(slow_margins(x, y, params), abs=1e-6)
+    assert any((t.feature >= 0).sum() > 3 for t in trees)
+
+
+def test_penalties_shrink_leaves():
+    x, y = sample()
+    bins = boosting.Bins([str(i) for i in range(x.shape[1])], [np.unique(c[~np.isnan(c)])[:-1] for c in x.T])
+    sizes = []
+    for alpha, penalty in ((0.0, 0.0), (0.0, 20.0), (8.0, 0.0), (500.0, 0.0)):
+        params = boosting.completed({"n_estimators": 1, "max_depth": 2, "reg_alpha": alpha, "reg_lambda": penalty})
+        trees = boosting.grow_here(bins, params, bins.encode(x), y, np.ones(len(y)), np.arange(len(y)))
+        sizes.append(np.abs(boosting.Ensemble(bins, trees).margin(x)).max())
+    assert sizes[0] > sizes[1] > 0 and sizes[0] > sizes[2] > 0 and sizes[3] == 0
+
+
+def test_any_partitioning_gives_the_same_trees(spark):
+    x, y = sample(400)
+    df, names = as_frame(spark, x, y)
+    params = {"n_estimators": 18, "max_depth": 3, "subsample": 0.7, "colsample": 0.6, "learning_rate": 0.2}  # margins are stored once
+    fits = [boosting.fit_trees(part, names, params, LABEL, "policy_id", local_rows=rows)
+            for part, rows in ((df, 10 ** 6), (df.repartition(3), 0), (df.coalesce(1), 0))]
+    for other in fits[1:]:
+        for a, b in zip(fits[0].trees, other.trees, strict=True):
+            assert all(np.array_equal(getattr(a, name), getattr(b, name)) for name in boosting.NODE_ARRAYS)
+    assert len({tuple(np.unique(t.feature[t.feature >= 0])) for t in fits[0].trees}) > 3  # columns are drawn for each tree
+
+
+def test_models_are_stored_and_score_missing_cells(spark, tmp_path):
+    x, y = sample()
+    df, names = as_frame(spark, x, y)
+    model = modeling.train_boosted(df, names, {"n_estimators": 5, "max_depth": 3})
+    model.write().overwrite().save(str(tmp_path / "m"))
+    again = PipelineModel.load(str(tmp_path / "m"))
+    empty = df.select("policy_id", *[F.lit(None).cast("double").alias(n) for n in names])
+    for part in (df, empty, df.limit(0)):
+        scored = [{r["policy_id"]: r["churn_probability"] for r in modeling.positive_probability(m, part).collect()} for m in (model, again)]
+        assert scored[0] == scored[1] and all(0 < p < 1 for p in scored[0].values())
+    expected = 1 / (1 + np.exp(-modeling.boosted_ensemble(model).margin(x)))
+    got = {r["policy_id"]: r["churn_probability"] for r in modeling.positive_probability(model, df).collect()}
+    assert [got[f"P{i}"] for i in range(len(y))] == pytest.approx(expected)
+    shares = modeling.tree_importance(spark, model, names).collect()
+    assert sum(r["value"] for r in shares) == pytest.approx(1.0) and len(shares) == len(names)
+
+
+def test_odd_training_tables(spark):
+    x, y = sample(60)
+    x[:, 2], x[:, 3] = 4.0, np.nan  # one value, no value
+    df, names = as_frame(spark, x, y)
+    holes = df.withColumn(LABEL, F.when(F.col("policy_id") != "P3", F.col(LABEL)))
+    model = modeling.train_boosted(holes, names, {"n_estimators": 3, "max_depth": 2, "min_child_weight": 0, "scale_pos_weight": "balanced"})
+    used = {f for t in modeling.boosted_ensemble(model).trees for f in t.feature.tolist()}
+    assert not used & {2, 3} and used & {0, 1, 4}
+    only_constant = modeling.train_boosted(df.select("policy_id", "x2", LABEL), ["x2"], {"n_estimators": 2})
+    assert all(len(t.feature) == 1 for t in modeling.boosted_ensemble(only_constant).trees)
+    none = modeling.train_boosted(df.limit(0), names, {"n_estimators": 2})
+    assert {r["churn_probability"] for r in modeling.positive_probability(none, df).collect()} == {0.5}
+
+
+def test_bins_keep_rare_values_and_follow_quantiles(spark):
+    few = spark.range(5000).select((F.col("id") % 3).alias("a"), F.when(F.col("id") == 7, 99).otherwise(1).alias("b"), F.rand(1).alias("c"))
+    bins = boosting.find_cuts(few, ["a", "b", "c"])
+    assert bins.cuts[0].tolist() == [0, 1] and bins.cuts[1].tolist() == [1]
+    share = np.searchsorted(np.sort([r["c"] for r in few.collect()]), bins.cuts[2], side="right") / 5000
+    assert len(share) == boosting.MOST_CUTS - 1 and np.abs(np.diff(share) - 1 / boosting.MOST_CUTS).max() < 0.002
+
+
+def test_auc_counts_ties_by_half():
+    rng = np.random.default_rng(2)
+    label, score = rng.integers(0, 2, 80).astype(float), rng.integers(0, 9, 80).astype(float)
+    wins = [(a > b) + 0.5 * (a == b) for a in score[label == 1] for b in score[label == 0]]
+    assert boosting.exact_auc(label, score) == pytest.approx(np.mean(wins))
+    assert boosting.exact_auc(np.ones(3), np.arange(3.0)) is None
+
+
+# ---- attribution ----
+
+
+def shapley(tree, codes, n):
+    """By all subsets: features outside the subset send a row down both sides, by their shares of the training rows."""
+    def expected(row, known, node=0):
+        feature = int(tree.feature[node])
+        if feature < 0:
+            return tree.value[node]
+        left, right = int(tree.left[node]), int(tree.right[node])
+        if feature in known:
+            goes_left = tree.missing_left[node] if row[feature] == 0 else row[feature] <= tree.cut[node]
+            return expected(row, known, left if goes_left else right)
+        share = tree.cover[left] / tree.cover[node]
+        return share * expected(row, known, left) + (1 - share) * expected(row, known, right)
+    out = np.zeros((len(codes), n))
+    for r, row in enumerate(codes):
+        for i in range(n):
+            others = [j for j in range(n) if j != i]
+            for size in range(n):
+                factor = math.factorial(size) * math.factorial(n - size - 1) / math.factorial(n)
+                for subset in itertools.combinations(others, size):
+                    out[r, i] += factor * (expected(row, {*subset, i}) - expected(row, set(subset)))
+    return out
+
+
+def test_contributions_equal_all_subsets():
+    x, y = sample(300, features=8, seed=3)
+    y = ((np.nan_to_num(x) @ np.arange(8)) % 9 > 4).astype(float)
+    bins = boosting.Bins([str(i) for i in range(8)], [np.unique(c[~np.isnan(c)])[:-1] for c in x.T])
+    codes = bins.encode(x)
+    trees = boosting.grow_here(bins, boosting.completed({"n_estimators": 2, "max_depth": 6}), codes, y, np.ones(300), np.arange(300))
+    assert max(len(p) for _, p in tree_attribution.leaf_paths(trees[0])) >= 4
+    few = codes[:12]
+    tables = [tree_attribution.PathTable(t) for t in trees]
+    got = tree_attribution.row_contributions(tables, few, 8)
+    assert got == pytest.approx(sum(shapley(t, few, 8) for t in trees), abs=1e-9)
+
+
+def test_contributions_and_base_make_the_margin(spark):
+    x, y = sample(150)
+    df, names = as_frame(spark, x, y)
+    model = modeling.train_boosted(df, names, {"n_estimators": 6, "max_depth": 4})
+    ensemble = modeling.boosted_ensemble(model)
+    rows = tree_attribution.tree_contributions(df, ensemble).collect()
+    assert len(rows) == len(y) * len(names)
+    margin = dict(zip((f"P{i}" for i in range(len(y))), ensemble.margin(x)))
+    for policy, expected in margin.items():
+        own = [r for r in rows if r["policy_id"] == policy]
+        assert {r["feature"] for r in own} == set(names)
+        assert sum(r["contribution"] for r in own) + tree_attribution.base_value(ensemble) == pytest.approx(expected)
+    assert tree_attribution.tree_contributions(df.limit(0), ensemble).count() == 0
+
+
+# ---- search ----
+
+
+def test_densities_are_densities():
+    for values in ([], [2.0], [2.0, 2.0, 5.0, 9.5]):
+        mixture = parzen.Mixture(values, 0.0, 10.0)
+        grid = np.linspace(0, 10, 20_001)
+        assert np.trapezoid([mixture.density(v) for v in grid], grid) == pytest.approx(1.0, abs=1e-4)
+        rng = random.Random(1)
+        drawn = [mixture.draw(rng) for _ in range(4000)]
+        below = np.trapezoid([mixture.density(v) for v in grid[:8001]], grid[:8001])
+        assert np.mean([d <= 4.0 for d in drawn]) == pytest.approx(below, abs=0.03)
+
+
+def test_proposals_take_the_best_ratio_of_densities():
+    rng = random.Random(5)
+    good, rest, limits = [0.02, 0.03, 0.025], [0.2, 0.25, 0.1, 0.29], (0.01, 0.3, "log")
+    again = random.Random(5)
+    got = parzen.propose_value(good, rest, limits, rng)
+    ends = (math.log(0.01), math.log(0.3))
+    above, below = (parzen.Mixture([math.log(v) for v in part], *ends) for part in (good, rest))
+    drawn = [above.draw(again) for _ in range(parzen.DRAWS)]
+    assert got == pytest.approx(math.exp(max(drawn, key=lambda v: above.density(v) / below.density(v)))) and got < 0.06
+
+
+def test_guided_search_beats_even_draws():
+    space = {"a": (-5.0, 5.0, "float"), "b": (1, 40, "int"), "c": (0.001, 1.0, "log")}
+
+    def surface(t):
+        return -((t["a"] - 2) ** 2 + ((t["b"] - 30) / 8) ** 2 + (math.log10(t["c"]) + 2) ** 2)
+
+    def search(guided, seed):
+        finished = []
+        while len(finished) < 60:
+            known = finished if guided else []
+            for p in parzen.propose(known, space, random.Random(f"{seed}/{len(finished)}"), 5):
+                assert -5 <= p["a"] <= 5 and 1 <= p["b"] <= 40 and isinstance(p["b"], int) and 0.001 <= p["c"] <= 1
+                finished.append({**p, "cv_auc": surface(p)})
+        return max(t["cv_auc"] for t in finished)
+    wins = sum(search(True, s) > search(False, s) for s in range(12))
+    assert wins >= 9
+
+
+def test_a_stopped_search_goes_on(spark, tmp_path, monkeypatch):
+    df = inputs.scores(spark, MEDIUM).select("policy_id", "tenure_months", "claim_count_12m", "insured_age", LABEL)
+    names = ["tenure_months", "claim_count_12m", "insured_age"]
+    arguments = {"n_trials": 6, "k": 2, "space": SPACE, "at_once": 2}
+    whole = modeling.search_boosted(df, names, **arguments)
+    asked, real = [], modeling.fold_scores
+
+    def stopping(most):
+        def scores(spark, shared, jobs):
+            if len(asked) == most:
+                raise KeyboardInterrupt
+            asked.append([(trial, fold) for trial, fold, _ in jobs])
+            return real(spark, shared, jobs)
+        return scores
+    journal = str(tmp_path / "journal")
+    monkeypatch.setattr(modeling, "fold_scores", stopping(2))
+    with pytest.raises(KeyboardInterrupt):
+        modeling.search_boosted(df, names, journal=journal, **arguments)
+    assert asked == [[(0, 1), (0, 2), (1, 1), (1, 2)], [(2, 1), (2, 2), (3, 1), (3, 2)]]
+    monkeypatch.setattr(modeling, "fold_scores", stopping(9))
+    found = modeling.search_boosted(df, names, journal=journal, **arguments)
+    assert asked[2:] == [[(4, 1), (4, 2), (5, 1), (5, 2)]]
+    assert found.trials == whole.trials and found.params == whole.params
+    # Other rows are another search.
+    monkeypatch.setattr(modeling, "fold_scores", stopping(99))
+    modeling.search_boosted(df.where("policy_id != 'POL0000002'"), names, journal=journal, **{**arguments, "n_trials": 2})
+    assert asked[3] == [(0, 1), (0, 2), (1, 1), (1, 2)]
+
+
+def test_fold_scores_are_those_of_a_fit_on_the_blocks_before(spark):
+    df = inputs.scores(spark, MEDIUM).select("policy_id", "tenure_months", "claim_count_12m", LABEL)
+    names = ["tenure_months", "claim_count_12m"]
+    sample, _ = modeling.search_sample(df, names, 3, LABEL, None, 10 ** 6)
+    params = {"n_estimators": 4, "max_depth": 2, "seed": 1, "scale_pos_weight": 2.0}
+    from policylens.operators.ranking import time_blocks
+
+    blocks = time_blocks(df, None, 3, "_block")
+    for fold in (1, 3):
+        model = modeling.train_boosted(blocks.where(F.col("_block") < fold).drop("_block"), names, params)
+        expected = modeling.auc_of(model, blocks.where(F.col("_block") == fold).drop("_block"))
+        assert boosting.fold_auc(sample, params, fold) == pytest.approx(expected, abs=0.02)  # cuts are those of all rows
+    few, _ = modeling.search_sample(df, names, 3, LABEL, None, 300)
+    assert 200 < sum(b["n"] for b in few[2]) < 400 and sum(b["n"] for b in sample[2]) == df.count()

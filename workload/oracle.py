@@ -194,6 +194,44 @@ def _query(ctes, body):
     return f"WITH {ctes}\n{body}"
 
 
+def _first_tree(ctes):
+    """A tree of two levels over rows with probability one half: the best cut of every node among all cuts."""
+    features = [
+        "tenure_months", "claim_count_12m", "insured_age", "premium_change_pct", "last_contact_days", "policy_count_active"]
+    values = " UNION ALL ".join(
+        f"SELECT policy_id, {i} AS feature, CAST({name} AS DOUBLE) AS x FROM learnt" for i, name in enumerate(features))
+    score = "(greatest(abs({g}) - 3, 0) * greatest(abs({g}) - 3, 0) / ({h} + 2))"
+    weight = "(-sign({g}) * greatest(abs({g}) - 3, 0) / ({h} + 2) * CAST(0.3 AS DOUBLE))"
+
+    def level(n, nodes):
+        return f""",
+sums{n} AS (
+  SELECT node, feature, x, sum(g) AS g, sum(h) AS h FROM {nodes} JOIN long USING (policy_id) GROUP BY ALL),
+whole{n} AS (SELECT node, sum(g) AS g_all, sum(h) AS h_all FROM {nodes} GROUP BY node),
+cuts{n} AS (
+  SELECT w.node, c.feature, c.x AS cut, g_all, h_all, coalesce(sum(s.g), 0) AS gl, coalesce(sum(s.h), 0) AS hl
+  FROM whole{n} w CROSS JOIN cuts c LEFT JOIN sums{n} s ON s.node = w.node AND s.feature = c.feature AND s.x <= c.x GROUP BY ALL),
+gains{n} AS (
+  SELECT *, {score.format(g="gl", h="hl")} + {score.format(g="(g_all - gl)", h="(h_all - hl)")} - {score.format(g="g_all", h="h_all")} AS gain
+  FROM cuts{n} WHERE hl >= 5 AND h_all - hl >= 5),
+best{n} AS (
+  SELECT * FROM gains{n} WHERE gain > CAST(0.000001 AS DOUBLE)
+  QUALIFY row_number() OVER (PARTITION BY node ORDER BY gain DESC, feature, cut) = 1),
+at{n} AS (
+  SELECT r.policy_id, r.g, r.h,
+    CASE WHEN b.node IS NULL THEN r.node WHEN l.x <= b.cut THEN 2 * r.node ELSE 2 * r.node + 1 END AS node
+  FROM {nodes} r LEFT JOIN best{n} b ON r.node = b.node LEFT JOIN long l ON l.policy_id = r.policy_id AND l.feature = b.feature)"""
+
+    return _query(ctes + f""",
+long AS ({values}),
+cuts AS (SELECT DISTINCT feature, x FROM long l WHERE x < (SELECT max(x) FROM long m WHERE m.feature = l.feature)),
+at0 AS (
+  SELECT policy_id, 1 AS node, CASE WHEN churn_label = 1 THEN CAST(-1.5 AS DOUBLE) ELSE CAST(0.5 AS DOUBLE) END AS g,
+    CASE WHEN churn_label = 1 THEN CAST(0.75 AS DOUBLE) ELSE CAST(0.25 AS DOUBLE) END AS h FROM learnt)""" + level(1, "at0") + level(2, "at1") + """,
+leaves AS (SELECT node, sum(g) AS g, sum(h) AS h FROM at2 GROUP BY node)""", f"""
+SELECT policy_id, round({weight.format(g="l.g", h="l.h")}, 9) AS margin FROM at2 JOIN leaves l USING (node)""")
+
+
 def _r6(*names):
     return ", ".join(f"round({n}, 6) AS {n}" for n in names)
 
@@ -673,13 +711,31 @@ UNION ALL SELECT model, 'metric', 'avg_precision', CAST(round(avg_precision, 6)
     out["train_baseline"] = _query(POLICIES, """
 SELECT CAST(0 AS DOUBLE) AS gradient, CAST(floor(count(*) * CAST(0.8 AS DOUBLE)) AS BIGINT) AS n_train,
   count(*) - CAST(floor(count(*) * CAST(0.8 AS DOUBLE)) AS BIGINT) AS n_test, true AS are_probabilities FROM policies""")
-    out["calibrate_platt"] = _query(POLICIES + """,
-ordered AS (SELECT churn_label, row_number() OVER (ORDER BY length(policy_id), policy_id) AS rn, count(*) OVER () AS n FROM policies),
-classes AS (
-  SELECT CAST(sum(churn_label) AS DOUBLE) AS p, CAST(sum(1 - churn_label) AS DOUBLE) AS q
-  FROM ordered WHERE rn <= floor(n * CAST(0.8 AS DOUBLE))),
+    ordered = POLICIES + """,
+ordered AS (SELECT *, row_number() OVER (ORDER BY length(policy_id), policy_id) AS rn, count(*) OVER () AS n FROM policies),
+learnt AS (SELECT * FROM ordered WHERE rn <= floor(n * CAST(0.8 AS DOUBLE))),
+tested AS (SELECT * FROM ordered WHERE rn > floor(n * CAST(0.8 AS DOUBLE)))"""
+    out["calibrate_platt"] = _query(ordered + """,
+classes AS (SELECT CAST(sum(churn_label) AS DOUBLE) AS p, CAST(sum(1 - churn_label) AS DOUBLE) AS q FROM learnt),
 targets AS (SELECT round((p * (p + 1) / (p + 2) + q / (q + 2)) / (p + q), 5) AS mean_target FROM classes)""", """
-SELECT mean_target AS mean_calibrated, mean_target FROM targets""")
+SELECT mean_target AS mean_calibrated, mean_target, CAST(0 AS DOUBLE) AS slope_gap FROM targets""")
+    for name in ("train_gbt", "train_gbt_alt"):
+        out[name] = _query(ordered, "SELECT policy_id, churn_label, true AS is_probability FROM tested")
+    out["tree_contributions"] = _query(
+        ordered, "SELECT policy_id, CAST(34 AS BIGINT) AS n_features, true AS adds_up FROM tested")
+    out["gbt_first_tree"] = _first_tree(ordered)
+    names = [
+        "n_estimators", "max_depth", "learning_rate", "subsample", "colsample", "min_child_weight", "reg_alpha", "reg_lambda",
+        "scale_pos_weight", "cv_auc"]
+    out["search_gbt"] = f"""
+SELECT CAST(trial AS INTEGER) AS trial, unnest({names}) AS name, true AS in_range FROM range(50) AS t(trial)
+UNION ALL SELECT 50, 'best_cv_auc', true"""
+    ranked = ["auc_roc", "avg_precision", "brier_score"]
+    out["train_job"] = f"""
+SELECT 'logistic_baseline' AS run_name, unnest({ranked}) AS metric, true AS in_range
+UNION ALL SELECT 'boosted_search', unnest({ranked + ["cv_auc_best", "lift_at_15pct", "recall_at_15pct", "precision_at_15pct"]}), true"""
+    out["score_model"] = _query(POLICIES, "SELECT policy_id, true AS is_probability, true AS keeps_order FROM policies")
+    out["eval_job"] = "SELECT CAST(0.7 AS DOUBLE) AS min_auc, true AS is_auc, true AS gate_fits"
 
     # Attribution.
     explained = POLICIES + "," + _contributions("policies")

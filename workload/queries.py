@@ -1,12 +1,14 @@
 """One callable (spark, sf_dir) -> DataFrame per operator."""
 
+from pyspark.ml import PipelineModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from policylens.functions.tiers import retention_action, risk_tier
 from policylens.functions.value import lifetime_value
 from policylens.operators import attribution, drift, evaluation, features, modeling, profile, ranking, scoring
 from policylens.operators import translate as translation
-from policylens.operators import validate
+from policylens.operators import tree_attribution, validate
 from policylens.plans.batch_score import batch_score
 from policylens.plans.drift import drift_job
 from policylens.plans.evaluate import eval_job
@@ -612,67 +614,113 @@ def train_baseline(spark, sf_dir):
         F.lit(tested["low"] >= 0 and tested["high"] <= 1).alias("are_probabilities"))
 
 
+def _probabilities(scored):
+    """Facts of scored rows that SQL can state: each has a probability."""
+    return scored.select("policy_id", LABEL, F.coalesce(F.col(SCORE).between(0, 1), F.lit(False)).alias("is_probability"))
+
+
 def train_gbt(spark, sf_dir):
     train, test, names = _model_parts(spark, sf_dir)
     params = {**STATED_TREES, "subsample": 0.8, "colsample": 0.8, "scale_pos_weight": 3.0}
-    return _scored_test(modeling.train_boosted(train, names, params), test)
+    return _probabilities(_scored_test(modeling.train_boosted(train, names, params), test))
 
 
 def train_gbt_alt(spark, sf_dir):
     train, test, names = _model_parts(spark, sf_dir)
     params = {**modeling.ALTERNATIVE, "scale_pos_weight": "balanced"}
-    return _scored_test(modeling.train_boosted(train, names, params), test)
+    return _probabilities(_scored_test(modeling.train_boosted(train, names, params), test))
+
+
+# A first tree small enough to be grown in SQL as well.
+FIRST_TREE = {
+    "n_estimators": 1, "max_depth": 2, "learning_rate": 0.3, "reg_alpha": 3.0, "reg_lambda": 2.0, "min_child_weight": 5,
+    "scale_pos_weight": 3.0}
+FIRST_TREE_FEATURES = [
+    "tenure_months", "claim_count_12m", "insured_age", "premium_change_pct", "last_contact_days", "policy_count_active"]
+
+
+def gbt_first_tree(spark, sf_dir):
+    """The margin of every training row after one tree with leaf penalties."""
+    train, _, _ = _model_parts(spark, sf_dir)
+    model = modeling.train_boosted(train, FIRST_TREE_FEATURES, FIRST_TREE)
+    margin = vector_to_array("rawPrediction")[1]
+    return model.transform(train).select("policy_id", F.round(margin, 9).alias("margin"))
+
+
+def tree_contributions(spark, sf_dir):
+    """Contributions of the stated trees for every test row: one for each feature, and with the base they add up to the margin."""
+    train, test, names = _model_parts(spark, sf_dir)
+    model = modeling.train_boosted(train, names, {**STATED_TREES, "scale_pos_weight": 3.0})
+    ensemble = modeling.boosted_ensemble(model)
+    summed = tree_attribution.tree_contributions(test, ensemble).groupBy("policy_id").agg(
+        F.count(F.lit(1)).alias("n_features"), F.sum("contribution").alias("earned"))
+    margins = model.transform(test).select("policy_id", vector_to_array("rawPrediction")[1].alias("margin"))
+    gap = F.abs(F.col("earned") + F.lit(tree_attribution.base_value(ensemble)) - F.col("margin"))
+    return summed.join(margins, "policy_id").select("policy_id", "n_features", (gap < 1e-9).alias("adds_up"))
 
 
 def search_gbt(spark, sf_dir):
+    """Every parameter and score of every trial, and whether it lies in its range."""
     train, _, names = _model_parts(spark, sf_dir)
     found = modeling.search_boosted(train, names)
-    rows = [(i, k, float(v)) for i, trial in enumerate(found.trials) for k, v in trial.items() if v is not None]
-    return spark.createDataFrame(rows, "trial int, name string, value double")
+    limits = {name: (low, high) for name, (low, high, _) in modeling.SEARCH_SPACE.items()} | {"cv_auc": (0.0, 1.0)}
+    rows = [(i, name, value is not None and limits[name][0] <= value <= limits[name][1])
+            for i, trial in enumerate(found.trials) for name, value in trial.items()]
+    rows.append((len(found.trials), "best_cv_auc", found.cv_auc == max(t["cv_auc"] for t in found.trials)))
+    return spark.createDataFrame(rows, "trial int, name string, in_range boolean")
 
 
 def calibrate_platt(spark, sf_dir):
-    """Mean calibrated probability on the train rows beside the mean smoothed target: they agree."""
+    """Mean calibrated probability on the train rows beside the mean smoothed target, plain and weighted by the model's output:
+    both agree, as the intercept's and the slope's gradients are zero."""
     train, _, names = _model_parts(spark, sf_dir)
     model = modeling.calibrate(modeling.train_boosted(train, names, STATED_TREES), train)
-    scored = modeling.positive_probability(model, train, "calibrated")
-    p, n = F.col("p").cast("double"), F.col("n").cast("double")
+    scored = model.transform(train).select(
+        LABEL, vector_to_array("calibrated")[1].alias(SCORE), vector_to_array("probability")[1].alias("output"))
+    negatives, positives = modeling.class_counts(train)
+    target = F.when(F.col(LABEL) == 1, (positives + 1.0) / (positives + 2.0)).otherwise(1.0 / (negatives + 2.0))
     return scored.agg(
-        F.count_if(F.col(LABEL) == 1).alias("p"), F.count_if(F.col(LABEL) == 0).alias("n"),
-        F.avg(SCORE).alias("mean_calibrated"),
-    ).select(
-        F.round("mean_calibrated", 5).alias("mean_calibrated"),
-        F.round((p * (p + 1) / (p + 2) + n / (n + 2)) / (p + n), 5).alias("mean_target"))
+        F.round(F.avg(SCORE), 5).alias("mean_calibrated"), F.round(F.avg(target), 5).alias("mean_target"),
+        F.round(F.abs(F.avg(F.col("output") * (F.col(SCORE) - target))), 5).alias("slope_gap"))
+
+
+def train_metrics(spark, sf_dir):
+    """The training job: every metric of both runs, and whether it lies in its range."""
+    trained = train_job(inputs.policies(spark, sf_dir), new_path(spark, "model"))
+    most = F.when(F.col("metric") == "lift_at_15pct", 1 / 0.15 + 1e-9).otherwise(1.0)
+    return trained.metrics.select("run_name", "metric", F.col("value").between(0, most).alias("in_range"))
 
 
-def _trained(spark, sf_dir):
-    """A stored model of the training job, shared by the jobs that use one."""
+def _stored_model(spark, sf_dir):
+    """Folder of a stored model, medians and calibrated baseline, as the training job leaves them; one for all who score."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _models:
+        train, _, names = _model_parts(spark, sf_dir)
         out = new_path(spark, "model")
-        _models[key] = (out, train_job(inputs.policies(spark, sf_dir), out))
+        states.save_market_state(inputs.market_state(spark, sf_dir), f"{out}/market_state")
+        modeling.calibrate(modeling.train_baseline(train, names), train).write().overwrite().save(f"{out}/model")
+        _models[key] = out
     return _models[key]
 
 
 _models = {}
 
 
-def train_metrics(spark, sf_dir):
-    _models.pop((spark.sparkContext.applicationId, sf_dir), None)
-    _, trained = _trained(spark, sf_dir)
-    return trained.metrics
-
-
 def score_model(spark, sf_dir):
-    out, trained = _trained(spark, sf_dir)
-    state = states.load_market_state(spark, f"{out}/market_state")
+    """A stored model over requests: every row is scored, and the calibrated order is that of the model itself."""
+    out = _stored_model(spark, sf_dir)
+    model, state = PipelineModel.load(f"{out}/model"), states.load_market_state(spark, f"{out}/market_state")
     df = inputs.requests(spark, sf_dir)
-    return scoring.score(df, state, trained.model, "calibrated").select("policy_id", SCORE)
+    plain = scoring.score(df, state, model, "probability").select("policy_id", F.col(SCORE).alias("plain"))
+    scored = scoring.score(df, state, model, "calibrated").select("policy_id", SCORE).join(plain, "policy_id")
+    ends = sorted(scored.agg(F.min_by(SCORE, "plain"), F.max_by(SCORE, "plain")).first())
+    return scored.select(
+        "policy_id", F.col(SCORE).between(0, 1).alias("is_probability"), F.col(SCORE).between(*ends).alias("keeps_order"))
 
 
 def batch_score_job(spark, sf_dir):
     """The job over requests with missing cells: every row comes back, with the tier of its probability."""
-    out, _ = _trained(spark, sf_dir)
+    out = _stored_model(spark, sf_dir)
     sparse = inputs.sparse_requests(spark, sf_dir).drop("client_no")
     for column in ("annual_premium", "tenure_months", "insured_age"):
         sparse = sparse.withColumn(column, F.when(inputs.client_no() % 11 != 0, F.col(column)))
@@ -684,9 +732,13 @@ def batch_score_job(spark, sf_dir):
 
 
 def eval_gate(spark, sf_dir):
-    out, _ = _trained(spark, sf_dir)
+    """The evaluation job over a labelled table: its gate row, and whether it follows from the AUC."""
+    out = _stored_model(spark, sf_dir)
     source = policy_files.write_table(inputs.policies(spark, sf_dir), new_path(spark, "labelled"))
-    return eval_job(spark, source, out, new_path(spark, "report"))
+    gate = eval_job(spark, source, out, new_path(spark, "report"))
+    return gate.select(
+        "min_auc", F.col("auc_roc").between(0, 1).alias("is_auc"),
+        (F.col("passed") == (F.col("auc_roc") >= F.col("min_auc"))).alias("gate_fits"))
 
 
 def entry(spark, sf_dir):
@@ -812,6 +864,8 @@ QUERIES = {
     "train_baseline": train_baseline,
     "train_gbt": train_gbt,
     "train_gbt_alt": train_gbt_alt,
+    "gbt_first_tree": gbt_first_tree,
+    "tree_contributions": tree_contributions,
     "search_gbt": search_gbt,
     "calibrate_platt": calibrate_platt,
     "train_job": train_metrics,
