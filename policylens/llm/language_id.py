@@ -48,20 +48,28 @@ def normalised(rows):
     return x / np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
 
 
-def fit_kernel_ridge(rows, languages, landmarks=LANDMARKS, ridge=RIDGE):
-    """(classes, matrix from n-gram places to class scores, intercepts) from presence rows."""
+def unpacked(packed):
+    return normalised(np.unpackbits(packed, axis=1))
+
+
+def fit_kernel_ridge(rows, languages, landmarks=LANDMARKS, ridge=RIDGE, at_once=256):
+    """(classes, matrix from n-gram places to class scores, intercepts) from presence rows, plain or eight places to a byte.
+
+    Rows are unpacked some at a time; what stays of each is its kernels with the landmarks.
+    """
+    rows = np.packbits(rows, axis=1) if rows.dtype == bool else rows
     classes = sorted(set(languages))
-    x = normalised(rows)
-    chosen = x[np.linspace(0, len(x) - 1, min(landmarks, len(x))).astype(int)]
+    chosen = unpacked(rows[np.linspace(0, len(rows) - 1, min(landmarks, len(rows))).astype(int)])
     values, vectors = np.linalg.eigh((chosen @ chosen.T).astype(np.float64))
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 0) + SMOOTH * max(1.0, values.max()))) @ vectors.T
-    space = (x @ chosen.T).astype(np.float64) @ root
+    kernels = np.concatenate([unpacked(rows[at:at + at_once]) @ chosen.T for at in range(0, len(rows), at_once)])
+    space = kernels.astype(np.float64) @ root
     target = (np.array(languages)[:, None] == np.array(classes)[None, :]).astype(np.float64)
     mean, level = space.mean(axis=0), target.mean(axis=0)
     centred = space - mean
     weights = np.linalg.solve(
-        centred.T @ centred + ridge * len(x) / len(chosen) * np.eye(len(chosen)), centred.T @ (target - level))
-    return classes, (chosen.T.astype(np.float64) @ (root @ weights)).astype(np.float32), level - mean @ weights
+        centred.T @ centred + ridge * len(rows) / len(chosen) * np.eye(len(chosen)), centred.T @ (target - level))
+    return classes, (chosen.T @ (root @ weights).astype(np.float32)), level - mean @ weights
 
 
 def sample_rows(labelled, id_col, text_col, lang_col, rows=ROWS):
@@ -96,8 +104,8 @@ def fit_language_model(labelled, id_col="doc_id", text_col="text", lang_col="lan
         pack, "grams binary, lang string").collect()
     if not sample:
         return None
-    presence = np.stack([np.unpackbits(np.frombuffer(r["grams"], np.uint8)) for r in sample]).astype(bool)
-    return fit_kernel_ridge(presence, [r["lang"] for r in sample])
+    packed = np.stack([np.frombuffer(r["grams"], np.uint8) for r in sample])
+    return fit_kernel_ridge(packed, [r["lang"] for r in sample])
 
 
 def predict_language(docs, model, text_col="text", batch_rows=256):
