@@ -8,15 +8,16 @@ from policylens.functions.rounding import round_half_even
 
 
 class HashedNoise:
-    """Uniform and normal draws from a 64-bit hash of (key, seed, stream name)."""
+    """Uniform and normal draws from the first 13 digits of the MD5 of key/seed/stream, which other engines can repeat."""
 
     def __init__(self, seed=42):
         self.seed = seed
 
     def _unit(self, key, stream):
-        # 53 bits of the hash: every value is an exact double in (0, 1).
-        bits = F.shiftrightunsigned(F.xxhash64(key, F.lit(self.seed), F.lit(stream)), 11)
-        return (bits.cast("double") + 0.5) / float(2 ** 53)
+        # 52 bits of the hash: every value is an exact double in (0, 1).
+        spelled = F.concat_ws("/", key.cast("string"), F.lit(str(self.seed)), F.lit(stream))
+        bits = F.conv(F.substring(F.md5(spelled), 1, 13), 16, 10).cast("long")
+        return (bits.cast("double") + 0.5) / float(2 ** 52)
 
     def _uniform_int(self, key, stream, low, high):
         return (F.floor(self._unit(key, stream) * (high - low)) + low).cast("int")

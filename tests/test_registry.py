@@ -17,7 +17,7 @@ STATEMENTS = oracle.statements()
 def test_every_statement_has_a_query():
     assert set(STATEMENTS) <= set(entry_module.queries())
     assert set(entry_module.oracle_sql()) <= set(entry_module.queries())
-    assert set(queries.QUERIES) - set(STATEMENTS) == {"tr_premium_change"}
+    assert set(queries.QUERIES) == set(STATEMENTS)
 
 
 def test_entry(spark):

@@ -166,6 +166,30 @@ def dirty_requests(spark, sf_dir):
     return df.select(*[changed.get(c, F.col(c)) for c in df.columns])
 
 
+# Texts that come in place of a field, by customer number modulo 30: wrong types, fractions, and every bound from outside.
+TYPED_FAULTS = [
+    ("annual_premium", "abc"), ("annual_premium", "0"), ("tenure_months", "-1"), ("tenure_months", "12.5"), ("renewal_count", "x"),
+    ("renewal_count", "-2"), ("claim_count_12m", "-1"), ("claim_count_all", "-3"), ("claim_settled_pct", "1.01"),
+    ("claim_settled_pct", "-0.1"), ("days_to_settle_avg", "-5"), ("insured_age", "17"), ("insured_age", "101"),
+    ("policy_count_active", "0"), ("last_contact_days", "soon"), ("insured_age", "18.0"), ("premium_change_pct", "NaN"),
+    ("channel", "Phone"), ("lob", "MARINE"), ("claim_count_12m", "1e0"), ("policy_id", None), ("annual_premium", None),
+    ("tenure_months", "99999999999"), ("claim_settled_pct", "0.5.1"),
+]
+
+
+def texted_requests(spark, sf_dir):
+    """Requests whose fields all come as text, some of them wrong."""
+    df = requests(spark, sf_dir).withColumn("client_no", client_no())
+    changed = {}
+    for name in df.columns[:-1]:
+        value = F.col(name).cast("string")
+        for case, (field, text) in enumerate(TYPED_FAULTS):
+            if field == name:
+                value = F.when(F.col("client_no") % 30 == case, F.lit(text).cast("string")).otherwise(value)
+        changed[name] = value
+    return df.withColumns(changed)
+
+
 def sparse_requests(spark, sf_dir):
     """Requests without two optional columns and with missing cells in two others."""
     df = requests(spark, sf_dir).withColumn("client_no", client_no())

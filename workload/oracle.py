@@ -164,6 +164,29 @@ sparse AS (
     client_no
   FROM policies)"""
 
+# Every field as text, by the customer number's remainder some of them wrong.
+TEXTED_FIELDS = {
+    "policy_id": "WHEN 20 THEN NULL", "lob": "WHEN 18 THEN 'MARINE'", "annual_premium": "WHEN 0 THEN 'abc' WHEN 1 THEN '0' WHEN 21 THEN NULL",
+    "tenure_months": "WHEN 2 THEN '-1' WHEN 3 THEN '12.5' WHEN 22 THEN '99999999999'", "renewal_count": "WHEN 4 THEN 'x' WHEN 5 THEN '-2'",
+    "claim_count_12m": "WHEN 6 THEN '-1' WHEN 19 THEN '1e0'", "claim_count_all": "WHEN 7 THEN '-3'",
+    "claim_settled_pct": "WHEN 8 THEN '1.01' WHEN 9 THEN '-0.1' WHEN 23 THEN '0.5.1'", "days_to_settle_avg": "WHEN 10 THEN '-5'",
+    "insured_age": "WHEN 11 THEN '17' WHEN 12 THEN '101' WHEN 15 THEN '18.0'", "channel": "WHEN 17 THEN 'Phone'",
+    "policy_count_active": "WHEN 13 THEN '0'", "premium_change_pct": "WHEN 16 THEN 'NaN'", "last_contact_days": "WHEN 14 THEN 'soon'"}
+WHOLE_BOUNDS = {
+    "tenure_months": "0 AND 2147483647", "renewal_count": "0 AND 2147483647", "claim_count_12m": "0 AND 2147483647",
+    "claim_count_all": "0 AND 2147483647", "insured_age": "18 AND 100", "policy_count_active": "1 AND 2147483647",
+    "last_contact_days": "-2147483648 AND 2147483647"}
+PASSES = {
+    "policy_id": "policy_id IS NOT NULL", "lob": "lower(lob) IN ('auto', 'home', 'liability', 'health')",
+    "annual_premium": "TRY_CAST(annual_premium AS DOUBLE) > 0", "claim_settled_pct": "TRY_CAST(claim_settled_pct AS DOUBLE) BETWEEN 0 AND 1",
+    "days_to_settle_avg": "TRY_CAST(days_to_settle_avg AS DOUBLE) >= 0", "channel": "channel IN ('Direct', 'Broker', 'Online', 'Agent')",
+    "premium_change_pct": "NOT isnan(TRY_CAST(premium_change_pct AS DOUBLE))",
+    **{name: f"TRY_CAST({name} AS DOUBLE) = floor(TRY_CAST({name} AS DOUBLE)) AND TRY_CAST({name} AS DOUBLE) BETWEEN {ends}"
+       for name, ends in WHOLE_BOUNDS.items()}}
+TEXTED = POLICIES + """,
+texted AS (SELECT client_no, """ + ", ".join(
+    f"CASE client_no % 30 {cases} ELSE CAST({name} AS VARCHAR) END AS {name}" for name, cases in TEXTED_FIELDS.items()) + " FROM policies)"
+
 NUMERIC = [
     "annual_premium", "tenure_months", "renewal_count", "claim_count_12m", "claim_count_all",
     "claim_settled_pct", "days_to_settle_avg", "insured_age", "policy_count_active",
@@ -466,8 +489,32 @@ SELECT CASE WHEN client_no IN (SELECT client_no FROM faults) THEN 'rejected' ELS
   client_no, policy_id, lower(lob) AS lob,
   CASE WHEN NOT isnan(annual_premium) THEN annual_premium END AS annual_premium, insured_age, last_contact_days
 FROM dirty""")
+    whole = "CAST(CASE WHEN {0} THEN TRY_CAST({1} AS DOUBLE) END AS INTEGER) AS {1}"
+    parsed = ["tenure_months", "claim_count_12m", "insured_age"]
+    fits = "TRY_CAST({0} AS DOUBLE) = floor(TRY_CAST({0} AS DOUBLE)) AND abs(TRY_CAST({0} AS DOUBLE)) <= 2147483647"
+    out["validate_types"] = _query(TEXTED, "SELECT client_no, concat_ws(',', " + ", ".join(
+        f"CASE WHEN coalesce({PASSES[name]}, false) THEN NULL ELSE '{name}' END" for name in TEXTED_FIELDS) + ") AS reasons, "
+        + ", ".join(whole.format(fits.format(name), name) for name in parsed) + """,
+  CASE WHEN NOT isnan(TRY_CAST(premium_change_pct AS DOUBLE)) THEN TRY_CAST(premium_change_pct AS DOUBLE) END AS premium_change_pct
+FROM texted""")
+    out["validate_reject"] = _query(SPARSE, """
+SELECT client_no, concat_ws(',', CASE WHEN claim_settled_pct IS NULL THEN 'claim_settled_pct' END,
+    CASE WHEN policy_count_active IS NULL THEN 'policy_count_active' END) AS reasons,
+  CAST(0 AS INTEGER) AS renewal_count, policy_count_active
+FROM sparse""")
     out["reject_counts"] = _query(DIRTY, "SELECT rule, count(*) AS n_rejected FROM faults GROUP BY rule")
 
+    unit = "((CAST(CAST('0x' || substr(md5(client_no || '/42/' || '{0}'), 1, 13) AS BIGINT) AS DOUBLE) + CAST(0.5 AS DOUBLE)) / CAST(4503599627370496 AS DOUBLE))"
+    out["tr_premium_change"] = _query(RAW + f""",
+noisy AS (
+  SELECT client_no, greatest(1, MAANTHUI) * 6 + CAST(floor({unit.format("tenure")} * 6) AS INTEGER) AS t,
+    CAST(floor({unit.format("contact")} * 50) AS INTEGER) + 10 AS contact,
+    2 + 5 * sqrt(-2 * ln({unit.format("change-radius")})) * cos(2 * pi() * {unit.format("change-angle")}) AS change
+  FROM raw)""", """
+SELECT printf('POL%07d', client_no) AS policy_id, CAST(t AS INTEGER) AS tenure_months,
+  round_even(change, 1) AS premium_change_pct, CAST(t % 90 + contact AS INTEGER) AS last_contact_days
+FROM noisy""")
+
     # Fit and features.
     out["fit_market"] = out["market_medians"] = _query(STATE, "SELECT lob, market_median FROM state")
     groups = {

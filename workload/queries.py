@@ -148,6 +148,20 @@ def fill_last_contact(spark, sf_dir):
         "policy_id", "last_contact_days")
 
 
+def validate_types(spark, sf_dir):
+    """Fields that come as text: what does not parse, whole numbers with a fraction, and every bound."""
+    checked = validate.check(inputs.texted_requests(spark, sf_dir))
+    return checked.select(
+        "client_no", F.array_join("reasons", ",").alias("reasons"), "tenure_months", "claim_count_12m", "insured_age",
+        F.when(~F.isnan("premium_change_pct"), F.col("premium_change_pct")).alias("premium_change_pct"))
+
+
+def validate_reject(spark, sf_dir):
+    """Missing cells are refused instead of filled; absent columns still get their defaults."""
+    checked = validate.check(inputs.sparse_requests(spark, sf_dir), null_policy="reject")
+    return checked.select("client_no", F.array_join("reasons", ",").alias("reasons"), "renewal_count", "policy_count_active")
+
+
 def validate_split(spark, sf_dir):
     checked = _checked(spark, sf_dir)
     good = validate.valid_rows(checked).select(
@@ -780,6 +794,8 @@ QUERIES = {
     "normalize_lob": normalize_lob,
     "apply_defaults": apply_defaults,
     "fill_last_contact": fill_last_contact,
+    "validate_types": validate_types,
+    "validate_reject": validate_reject,
     "validate_split": validate_split,
     "reject_counts": reject_counts,
     "fit_market": fit_market,
