@@ -48,18 +48,27 @@ def prediction_rows(scored, model_name, stage):
     )
 
 
+def at_risk_by_policy(requests, position="pos"):
+    """(policy_id, rows at risk, premium of the first request by `position`) for each policy, in one aggregate."""
+    at_risk = risk_tier(F.col(SCORE), closed="left").isin(AT_RISK)
+    return requests.groupBy(POLICY_ID).agg(
+        F.sum(at_risk.cast("long")).alias("rows_at_risk"),
+        F.min_by("annual_premium", position).alias("first_premium"))
+
+
+def at_risk_total(per_policy):
+    """Rows at risk and their premiums over all policies, in one row."""
+    return per_policy.agg(
+        F.coalesce(F.sum("rows_at_risk"), F.lit(0)).alias("total_at_risk"),
+        round_half_even(F.coalesce(F.sum(F.col("rows_at_risk") * F.col("first_premium")), F.lit(0.0)), 2)
+        .alias("total_premium_at_risk"),
+    )
+
+
 def at_risk_summary(requests, position="pos"):
     """Rows at risk and their premiums, in one row.
 
     A repeated policy id always counts with the premium of its first request. One aggregate per id
     gives both the number of its rows at risk and that premium, so nothing is joined.
     """
-    at_risk = risk_tier(F.col(SCORE), closed="left").isin(AT_RISK)
-    per_policy = requests.groupBy(POLICY_ID).agg(
-        F.sum(at_risk.cast("long")).alias("_rows"),
-        F.min_by("annual_premium", position).alias("_premium"))
-    return per_policy.agg(
-        F.coalesce(F.sum("_rows"), F.lit(0)).alias("total_at_risk"),
-        round_half_even(F.coalesce(F.sum(F.col("_rows") * F.col("_premium")), F.lit(0.0)), 2)
-        .alias("total_premium_at_risk"),
-    )
+    return at_risk_total(at_risk_by_policy(requests, position))

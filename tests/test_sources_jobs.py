@@ -18,6 +18,7 @@ from policylens.plans.train import train_job
 from policylens.schema import LABEL, RAW_COLUMNS, RAW_TARGET
 from policylens.sources import contracts, reports, staging, state
 from policylens.sources.policies import read_policies, write_table
+from policylens.streaming.portfolio_stream import portfolio_stream, portfolio_total
 from policylens.streaming.score_stream import read_stream, score_stream
 from workload import inputs
 
@@ -285,3 +286,20 @@ def test_monitoring_job_writes_json(spark, tmp_path):
     stored = spark.read.json(str(tmp_path / "out" / "drift")).first()
     assert stored["timestamp"] == "t" and stored["share_drifted_features"] == report.first()["share_drifted_features"]
     assert drift_job(spark, *sides, str(tmp_path / "again"))[1] is None
+
+
+def test_portfolio_keeps_first_premiums_over_batches_and_restarts(spark, tmp_path):
+    source, entries, progress = (str(tmp_path / n) for n in ("in", "entries", "progress"))
+    policies = inputs.policies(spark, MEDIUM).drop(LABEL).where("policy_id < 'POL0000040'")
+
+    def total():
+        stream = read_stream(spark, f"{source}/*", files_per_batch=1)
+        portfolio_stream(stream, lambda df: df.withColumn("churn_probability", F.lit(0.9)), entries, progress).awaitTermination()
+        return tuple(portfolio_total(spark, entries).first())
+    first = policies.agg(F.count(F.lit(1)), F.sum("annual_premium")).first()
+    for number, factor in enumerate((1, 2, 5)):
+        later = policies.withColumn("annual_premium", F.col("annual_premium") * factor)
+        broken = later.limit(3).withColumn("insured_age", F.lit(3))
+        later.unionByName(broken).coalesce(1).write.parquet(f"{source}/{number}")
+        assert total() == (first[0] * (number + 1), pytest.approx(first[1] * (number + 1)))
+    assert total() == (first[0] * 3, pytest.approx(first[1] * 3))  # nothing new has arrived

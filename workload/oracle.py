@@ -617,6 +617,7 @@ asked AS (
 firsts AS (SELECT policy_id, arg_min(annual_premium, pos) AS premium FROM asked GROUP BY policy_id)""", """
 SELECT count(*) AS total_at_risk, round_even((coalesce(sum(premium), 0)) * 100, 0) / 100 AS total_premium_at_risk
 FROM asked JOIN firsts USING (policy_id) WHERE churn_probability >= CAST(0.45 AS DOUBLE)""")
+    out["stream_summary_total"] = out["at_risk_summary"]
     out["stream_score"] = _query(DIRTY + """,
 good AS (
   SELECT policy_id, round(CAST(1 AS DOUBLE) / (1 + exp(-(CAST(-2.5 AS DOUBLE)

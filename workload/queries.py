@@ -18,6 +18,7 @@ from policylens.plans.train import train_job
 from policylens.schema import LABEL, RAW_COLUMNS, RAW_TARGET, numeric_columns
 from policylens.sources import contracts, policies as policy_files, reports, state as states
 from policylens.sources.staging import new_path, stage
+from policylens.streaming.portfolio_stream import portfolio_stream, portfolio_total
 from policylens.streaming.score_stream import read_stream, score_stream
 from workload import inputs
 
@@ -412,6 +413,21 @@ def stream_summary(spark, sf_dir):
         F.sum("total_at_risk").alias("total_at_risk"), F.round(F.sum("total_premium_at_risk"), 2).alias("total_premium_at_risk"))
 
 
+def stream_summary_total(spark, sf_dir):
+    """The portfolio over three deliveries with repeated policies, the last of them after a restart."""
+    source, entries, progress = (new_path(spark, n) for n in ("requests", "entries", "progress"))
+    rows = inputs.repeated_requests(spark, sf_dir).drop(SCORE, LABEL)
+    again, number = F.col("pos") >= 1_000_000_000, inputs.client_no()
+    delivered = F.when(again, F.when(number % 100 == 0, 3).otherwise(2)).otherwise(1 + number % 2)
+    for number in (1, 2, 3):
+        delivery = rows.where(delivered == number).coalesce(1).sortWithinPartitions("pos").drop("pos")
+        delivery.write.parquet(f"{source}/delivery={number}")
+        if number > 1:  # the first run finds two deliveries, the second goes on with the third
+            stream = read_stream(spark, f"{source}/*", files_per_batch=1)
+            portfolio_stream(stream, inputs.scorecard, entries, progress).awaitTermination()
+    return portfolio_total(spark, entries)
+
+
 # ---- evaluation ----
 
 
@@ -845,6 +861,7 @@ QUERIES = {
     "stream_score": stream_scores,
     "stream_rejects": stream_rejects,
     "stream_summary": stream_summary,
+    "stream_summary_total": stream_summary_total,
     "topk_10": _topk(0.10),
     "topk_15": _topk(0.15),
     "topk_missing": topk_missing,
