@@ -303,3 +303,24 @@ def test_portfolio_keeps_first_premiums_over_batches_and_restarts(spark, tmp_pat
         later.unionByName(broken).coalesce(1).write.parquet(f"{source}/{number}")
         assert total() == (first[0] * (number + 1), pytest.approx(first[1] * (number + 1)))
     assert total() == (first[0] * 3, pytest.approx(first[1] * 3))  # nothing new has arrived
+
+
+def test_lines_are_numbered_by_file_number_without_a_copy(spark, tmp_path):
+    for number, lines in ((99999, 3), (100000, 400), (7, 0), (8, 2)):
+        (tmp_path / f"part-{number}.csv").write_text("".join(f"{number}\t{i}\n" for i in range(lines)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "900")  # several blocks of one file, several files in one task
+    try:
+        scan = spark.read.schema("part int, line int").option("sep", "\t").csv(str(tmp_path))
+        numbered = contracts.with_row_number(scan)
+        assert "lines-" not in numbered._jdf.queryExecution().toString()
+        got = [(r["part"], r["line"]) for r in sorted(numbered.collect(), key=lambda r: r["row_no"])]
+        assert [r["row_no"] for r in numbered.orderBy("row_no").collect()] == list(range(405))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == [(8, 0), (8, 1)] + [(99999, i) for i in range(3)] + [(100000, i) for i in range(400)]
+    with pytest.raises(Exception, match="not split as they were counted"):
+        numbered.sparkSession.conf.set("spark.sql.files.maxPartitionBytes", "300")
+        try:
+            numbered.select("row_no").distinct().collect()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
