@@ -3,9 +3,13 @@
 Method: bound-certified repacking. Pieces are dealt to partitions and each is packed by best-fit decreasing. Dual-feasible
 functions give a lower bound for the number of bins, of a partition and of all pieces together: what needs no more is
 certified. While the total exceeds the bound, partitions exchange documents: the pieces of all bins with room left are dealt
-anew, to partitions of up to twice the rows (16 times the first at most), and best-fit decreasing runs again. It ends when
-the total is certified, when one partition holds all that is left, or when rounds of the largest partitions save no bin. A partition that is certified by itself takes part as
-well, as its last bin has room. Full bins never move.
+anew, to partitions of up to twice the rows (16 times the first at most, what a task can hold), and best-fit decreasing runs
+again. It ends when the total is certified, when one partition holds all that is left, after `PATIENCE` rounds of the largest
+partitions that save no bin, or after `ROUNDS`; the round with the fewest bins counts. A partition that is certified by itself
+takes part as well, as its last bin has room. Full bins never move.
+
+Null and repeated ids are packed like any others: pieces are dealt by a number of their own, given when they are first
+stored, so that neither one id nor copies of one row fill a partition. Pieces of one length are taken by id, then piece.
 
 Texts are encoded word by word: the vocabulary drops white space and no token crosses it, so the tokens of a text are those
 of its words one behind the other, and a word is encoded once per worker. Whole texts count; null and empty ones have just
@@ -27,11 +31,12 @@ from policylens.llm.token_counts import byte_alphabet
 from policylens.sources.staging import stage
 
 VOCABULARY, CAPACITY, CLOSING, PARTITION_ROWS, KEEP = "word_bpe_49k.json", 2048, 0, 50_000, 700_000
+LARGEST, PATIENCE, ROUNDS = 4, 2, 32
 PIECE = T.StructType([
     T.StructField("key", T.LongType()), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()),
     T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())])
 PLACED = T.StructType([
-    *PIECE.fields, T.StructField("bin", T.LongType()), T.StructField("offset", T.LongType()),
+    *PIECE.fields, T.StructField("salt", T.LongType()), T.StructField("bin", T.LongType()), T.StructField("offset", T.LongType()),
     T.StructField("room", T.LongType()), T.StructField("bound", T.LongType()), T.StructField("bins", T.LongType()),
     T.StructField("part", T.LongType())])
 
@@ -192,7 +197,7 @@ def _pack(capacity):
         bound = lower_bound(*np.unique(lengths, return_counts=True), capacity)
         n = len(lengths)
         return pa.Table.from_arrays([
-            *[table[c].combine_chunks() for c in PIECE.names], pa.array(bins), pa.array(offsets), pa.array(room[bins]),
+            *[table[c].combine_chunks() for c in (*PIECE.names, "salt")], pa.array(bins), pa.array(offsets), pa.array(room[bins]),
             pa.array([bound] * n, pa.int64()), pa.array([number] * n, pa.int64()),
             pa.array([key[0].as_py()] * n, pa.int64())], schema=schema)
     return pack
@@ -204,29 +209,32 @@ def pack_pieces(pieces, capacity=CAPACITY, partition_rows=PARTITION_ROWS):
     A bin is named by (round, part, bin).
     """
     small_batches(pieces.sparkSession)
-    pieces = stage(pieces, "pieces")
+    pieces = stage(pieces.withColumn("salt", F.monotonically_increasing_id()), "pieces")
     histogram = pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).orderBy("length").collect()  # one row per length
     bound = lower_bound([r["length"] for r in histogram], [r["n"] for r in histogram], capacity)
     rows = sum(r["n"] for r in histogram)
     parts = max(1, math.ceil(rows / partition_rows))
-    settled, open_, bins, round_no, before = [], pieces, 0, 0, None
+    settled, open_, bins, round_no, stale, best = [], pieces, 0, 0, 0, None
     while True:
         dealt = open_.select(
-            *PIECE.names, F.pmod(F.xxhash64("key", "piece", "start", F.lit(round_no)), F.lit(parts)).cast("long").alias("p"))
+            *PIECE.names, "salt", F.pmod(F.xxhash64("salt", F.lit(round_no)), F.lit(parts)).cast("long").alias("p"))
         placed = stage(dealt.groupBy("p").applyInArrow(_pack(capacity), PLACED), "packed").withColumn(
             "round", F.lit(round_no).cast("long"))
         facts = placed.groupBy("part").agg(F.first("bins").alias("bins")).agg(F.sum("bins")).first()
         total = bins + (facts[0] or 0)
-        if parts == 1 or total <= bound or round_no >= 4 and total == before:
-            return _all([*settled, placed]), total, bound
-        before = total
+        if best is None or total < best[1]:
+            best, stale = ([*settled, placed], total), 0
+        elif round_no >= LARGEST:
+            stale += 1
+        if parts == 1 or total <= bound or stale == PATIENCE or round_no + 1 == ROUNDS:
+            return _all(best[0]), best[1], bound
         # With the total above the bound some room must be wasted: whatever still has room is dealt anew.
         full = placed.where("room = 0")
         settled.append(full)
         bins += full.groupBy("part", "bin").agg(F.lit(1)).count()
-        open_ = placed.where("room > 0").select(*PIECE.names)
+        open_ = placed.where("room > 0").select(*PIECE.names, "salt")
         round_no += 1
-        parts = max(1, math.ceil(open_.count() / (partition_rows << min(round_no, 4))))
+        parts = max(1, math.ceil(open_.count() / (partition_rows << min(round_no, LARGEST))))
 
 
 def _all(frames):
@@ -239,7 +247,7 @@ def _all(frames):
 def pack_documents(docs, id_col="doc_id", text_col="text", vocabulary=VOCABULARY, capacity=CAPACITY):
     """One row per piece: its document, place in it, length, checksum of its ids, sequence and place there."""
     placed, _, _ = pack_pieces(pieces_of(docs, id_col, text_col, vocabulary, capacity), capacity)
-    # Partitions are below 2^24 and rounds halve them, so the three numbers fit into one.
+    # Rounds are below 2^5, partitions below 2^24, and bins of one below 2^33: the three numbers fit into one.
     sequence = F.col("round") * (1 << 57) + F.col("part") * (1 << 33) + F.col("bin")
     return placed.select(
         F.col("key").alias(id_col), "piece", "start", "length", "ids_crc32", sequence.alias("sequence_id"), "offset")

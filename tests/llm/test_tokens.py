@@ -3,7 +3,7 @@
 import random
 import struct
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -170,3 +170,16 @@ def test_documents_that_are_longer_are_cut(spark):
     rows = as_dict(packing.pack_documents(documents(spark, ["a " * 5000])), "piece")
     assert [rows[i]["length"] for i in range(3)] == [2048, 2048, 905]
     assert [rows[i]["start"] for i in range(3)] == [0, 2048, 4096]
+
+
+def test_one_id_fills_no_partition(spark):
+    """Rows without an id, all alike, are dealt to many partitions; the best round is kept."""
+    rng = random.Random(8)
+    rows = [(None, 0, 0, 700, 5)] * 400 + [(i, 0, 0, rng.randrange(450, 900), 0) for i in range(800)]
+    pieces = spark.createDataFrame(rows, packing.PIECE)
+    placed, bins, bound = packing.pack_pieces(pieces, partition_rows=60)
+    kept = placed.collect()
+    assert len(kept) == len(rows) and len({(r["round"], r["part"], r["bin"]) for r in kept}) == bins >= bound
+    assert max(Counter((r["round"], r["part"]) for r in kept).values()) <= 2 * (60 << packing.LARGEST)
+    one = len(set(packing.best_fit_decreasing(np.array([r[3] for r in rows]), 2048)[0].tolist()))
+    assert bins <= one * 1.02
