@@ -6,6 +6,7 @@ from policylens.functions.significance import chi_square_p, kolmogorov_p
 from policylens.operators.profile import column_name, melt
 from policylens.operators.ranking import prefix_sums
 from policylens.schema import LABEL, numeric_columns
+from policylens.sources.staging import stage
 
 # Significance, alert thresholds, number of features on a card and the name of the method.
 P_DRIFT = 0.05
@@ -43,7 +44,7 @@ def ks_columns(reference, current, target=LABEL):
         return reference.sparkSession.createDataFrame([], TESTS)
     counts = _side_counts(reference, current, tested, "double")
     running = prefix_sums(
-        counts, ["value"], {"cum_ref": "n_ref", "cum_cur": "n_cur"}, ["column_index"],
+        stage(counts, "counts"), ["value"], {"cum_ref": "n_ref", "cum_cur": "n_cur"}, ["column_index"],
         {"size_ref": "cum_ref", "size_cur": "cum_cur"}, few_groups=True)
     gap = F.abs(
         F.try_divide(F.col("cum_ref"), F.col("size_ref").cast("double"))

@@ -13,7 +13,7 @@ from policylens.operators.ranking import (
     at_or_before, keys_at_ranks, parse_order, prefix_sums, same_key,
 )
 from policylens.schema import LABEL, POLICY_ID
-from policylens.sources.staging import settled
+from policylens.sources.staging import settled, stage
 
 SCORE = "churn_probability"
 REPORT_FRACTIONS = (0.10, 0.15)
@@ -26,7 +26,7 @@ def score_curve(df, label=LABEL, score=SCORE, by=()):
     """One row per distinct score: rows and positives there, from the top down to there, and in all."""
     distinct = df.groupBy(*by, score).agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("long")).alias("pos"))
-    return prefix_sums(distinct, [(score, "desc")], {"cum_n": "n", "cum_pos": "pos"}, by,
+    return prefix_sums(stage(distinct, "scores"), [(score, "desc")], {"cum_n": "n", "cum_pos": "pos"}, by,
                        {"all_n": "cum_n", "all_pos": "cum_pos"})
 
 

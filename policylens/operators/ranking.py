@@ -2,16 +2,18 @@
 
 An order is a list of column names or (name, "desc") pairs. Missing keys come last.
 
-Two ways are used. Where every row needs its rank or running sum, rows are range-partitioned on the
+Two ways are used. Where every row needs its rank or running sum, rows are cut into slices by ranges of the
 whole sort key (so that a score shared by a third of the rows is still split by the next key), each
-slice is numbered on its own, and the slices' totals, one row each, are added up and joined back. How
-many slices there are is left to the session's shuffle partitions and their merging at run time.
+slice is numbered on its own, and the slices' totals, one row each, are added up and joined back. Rows
+are shuffled once: to Spark's own ranges for a rank, and for a running sum to slices whose numbers are
+computed from sampled keys and are the partition numbers, so that the sum within a slice finds its rows in place.
 Where only a few positions are needed (a top-k cut, a train/test border), the keys at these positions
 are found by narrowing passes of counts, and no row is shuffled at all.
 """
 
 from dataclasses import dataclass, field
 from itertools import groupby
+from math import ceil
 
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -22,6 +24,7 @@ from policylens.sources.staging import settled, stage
 FAN_OUT = 64
 SAMPLE_PER_CUT = 32
 SETTLE_ROWS = 200_000
+SLICE_ROWS = 50_000
 HASH_RANGE = 1 << 40
 
 
@@ -92,6 +95,28 @@ def global_rank(df, order_by, rank_col="rn"):
     )
 
 
+def _slice_cuts(df, order):
+    """Keys that cut the order into slices of about equal rows.
+
+    There is a slice for each shuffle partition, or fewer where each would have less than `SLICE_ROWS` rows. The
+    sample of rows, `SAMPLE_PER_CUT` a slice in the mean, only chooses where to cut.
+    """
+    names = [name for name, _ in order]
+    total = df.count()
+    slices = min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), ceil(total / SLICE_ROWS))
+    if slices < 2:
+        return []
+    drawn = (
+        df.select(*names).where(F.rand(SLICE_ROWS) < slices * SAMPLE_PER_CUT / total)
+        .groupBy(*names).agg(F.count(F.lit(1)).alias("_n"))
+        .orderBy(*sort_columns(order))
+        .collect()
+    )
+    return _choose_cuts(
+        [(tuple(row[name] for name in names), row["_n"]) for row in drawn],
+        _Bracket(None, None, 0, total), slices)
+
+
 def prefix_sums(df, order_by, sums, by=(), totals=None, few_groups=False):
     """Inclusive running sums along an order, per group when `by` is given.
 
@@ -99,24 +124,28 @@ def prefix_sums(df, order_by, sums, by=(), totals=None, few_groups=False):
     running sums and adds their value at the end of the group. A group is cut into as many slices as
     its size asks for, since it is the first part of the range key and no partitioning key of its own.
 
+    `df` is read three times, to count, to sample and to lay out, and shuffled in the last of them only; an input
+    that is dear to derive should be stored first.
+
     The slice totals have at most one row per slice and one more per group. Without groups, or when
     the caller vouches by `few_groups` that they are as few as columns or models, that is small for
     certain; otherwise their number is checked.
     """
     order, by, totals = parse_order(order_by), list(by), totals or {}
-    range_key = [F.col(c).asc_nulls_last() for c in by] + sort_columns(order)
+    range_key = [(c, True) for c in by] + order
+    cuts = _slice_cuts(df, range_key)
     within = (
         Window.partitionBy("_slice", *by).orderBy(*sort_columns(order))
         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     laid = stage(
-        df.repartitionByRange(*range_key)
-        .withColumn("_slice", F.spark_partition_id())
+        df.withColumn("_slice", _cut_index(range_key, cuts))
+        .repartitionById(len(cuts) + 1, F.col("_slice"))
         .select("*", *[F.sum(c).over(within).alias(name) for name, c in sums.items()]),
         "running",
     )
+    slices = laid.groupBy("_slice", *by).agg(*[F.sum(c).alias(f"_{n}") for n, c in sums.items()])
     whole = Window.partitionBy(*by)
     earlier = whole.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    slices = laid.groupBy("_slice", *by).agg(*[F.sum(c).alias(f"_{n}") for n, c in sums.items()])
     starts = slices.select(
         F.col("_slice").alias("_s"), *[F.col(c).alias(f"_by_{c}") for c in by],
         *[F.coalesce(F.sum(f"_{n}").over(earlier), F.lit(0)).alias(f"_{n}") for n in sums],
@@ -139,7 +168,7 @@ def grouped_quantiles(df, by, value, probabilities, few_groups=False):
     Works on distinct values with their counts, so a group never has to fit in one task. A group of
     missing values only gets null quantiles.
     """
-    counts = df.groupBy(*by, value).agg(F.count(value).alias("_n"))
+    counts = stage(df.groupBy(*by, value).agg(F.count(value).alias("_n")), "counts")
     sized = prefix_sums(counts, [value], {"_upto": "_n"}, by, {"_size": "_upto"}, few_groups)
     picks = []
     for i, p in enumerate(probabilities):
@@ -231,12 +260,12 @@ def _sample_cuts(keyed, order, brackets):
         for i, bracket in enumerate(brackets)]
 
 
-def _choose_cuts(drawn, bracket):
-    """Ascending cuts of about equal weight, on as few leading key columns as will do.
+def _choose_cuts(drawn, bracket, parts=FAN_OUT):
+    """Ascending cuts into about `parts` of equal weight, on as few leading key columns as will do.
 
     A leading value heavier than one step is cut off on both sides and divided by the next column.
     """
-    step = max(1, sum(n for _, n in drawn) // FAN_OUT)
+    step = max(1, sum(n for _, n in drawn) // parts)
     cuts = []
 
     def walk(keys, depth):

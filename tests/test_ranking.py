@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from policylens.operators import ranking as rk
+from policylens.sources.staging import stage
 
 ORDER = [("p", "desc"), "id"]
 
@@ -12,7 +13,9 @@ ORDER = [("p", "desc"), "id"]
 def several_slices(spark):
     """Without this the small tables would be merged into one slice."""
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    yield
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(rk, "SLICE_ROWS", 1000)
+        yield
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
@@ -57,6 +60,30 @@ def test_hot_group_is_spread_over_slices(skewed):
     assert sums.join(expected, "id").where("upto <> want").count() == 0
 
 
+def test_running_sum_shuffles_rows_once(skewed, monkeypatch):
+    """The plan that is written has one exchange, and no slice holds a third of the rows."""
+    written = []
+    monkeypatch.setattr(rk, "stage", lambda df, label: written.append(df) or stage(df, label))
+    out = rk.prefix_sums(skewed.repartition(5).cache(), ORDER, {"upto": "y"}, by=["g"])
+    plan = written[0]._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("InMemoryRelation")[0].count("Exchange") == 1 and "shufflepartitionidpassthrough" in plan
+    assert out.count() == 30000
+    sizes = [r["count"] for r in written[0].groupBy("_slice").count().collect()]
+    assert len(sizes) >= 4 and sum(sizes) == 30000 and max(sizes) < 10000
+
+
+def test_running_sum_with_missing_and_equal_keys(spark):
+    """Rows of one key share a slice, missing keys come last, and an empty table has no sums."""
+    df = spark.range(12_000).select(
+        F.when(F.col("id") % 3 == 0, None).otherwise(F.col("id") % 5).alias("v"),
+        F.when(F.col("id") % 2 == 0, "a").alias("g"), F.lit(1).alias("one"))
+    last = rk.prefix_sums(df, ["v"], {"upto": "one"}, by=["g"], totals={"n": "upto"}).groupBy("g", "v").agg(
+        F.max("upto").alias("last"), F.max("n").alias("n"))
+    got = {(r["g"], r["v"]): (r["last"], r["n"]) for r in last.collect()}
+    assert got == {(g, v): (800 * (v + 1) if v is not None else 6000, 6000) for g in ("a", None) for v in (0, 1, 2, 3, 4, None)}
+    assert rk.prefix_sums(df.limit(0), ["v"], {"upto": "one"}).collect() == []
+
+
 def test_prefix_totals(skewed):
     sums = rk.prefix_sums(skewed, ORDER, {"upto": "y"}, by=["g"], totals={"whole": "upto"})
     want = {r["g"]: r["w"] for r in skewed.groupBy("g").agg(F.sum("y").alias("w")).collect()}
