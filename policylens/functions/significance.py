@@ -3,13 +3,12 @@
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 SERIES_TERMS = 100
 SERIES_START = 0.2
 QUADRATURE_FROM = 100
+NODES = 40
 
 
 def kolmogorov_p(z):
@@ -26,55 +25,59 @@ def kolmogorov_p(z):
     )
 
 
-def chi_square_p(x, dof):
-    """P(chi-square with `dof` degrees > x); for one row per tested column.
+def _integral(density, low, high):
+    """Gauss-Legendre sum of `density`, a function of a column, from `low` to `high`."""
+    nodes = F.array(*[
+        F.struct(F.lit(float(x)).alias("x"), F.lit(float(w)).alias("w")) for x, w in zip(*np.polynomial.legendre.leggauss(NODES))])
+    half = (high - low) / 2.0
+    return half * F.aggregate(
+        nodes, F.lit(0.0), lambda total, node: total + node["w"] * density(low + half * (node["x"] + 1.0)))
+
+
+def _few_degrees(dof, z):
+    """The tail as a sum of floor(dof / 2) terms, to which an odd number of degrees adds that of the normal distribution.
 
-    This is the upper regularised gamma function at (dof / 2, x / 2): by its power series or continued fraction
-    for small shapes, which end after some hundred terms, and by quadrature around the peak of the integrand for
-    large ones, so the work does not follow the degrees. The function is nested so that workers get it by value.
+    Terms are carried as logarithms, so that a statistic far out gives 0.
     """
-    nodes, weights = (v.tolist() for v in np.polynomial.legendre.leggauss(40))
-    large = QUADRATURE_FROM
+    root, odd = F.sqrt(z), dof % 2 == 1
+    terms = F.least(F.floor(dof / 2), F.lit(QUADRATURE_FROM)).cast("int")
+    shift = F.when(odd, 0.5).otherwise(0.0)
+    first = F.when(odd, F.log(root) - F.lit(math.log(math.sqrt(math.pi) / 2))).otherwise(0.0) - z
+    summed = F.aggregate(
+        F.sequence(F.lit(1), F.greatest(terms, F.lit(1))),
+        F.struct(first.alias("term"), F.lit(0.0).alias("total")),
+        lambda sofar, i: F.struct(
+            (sofar["term"] + F.log(z) - F.log(i + shift)).alias("term"),
+            (sofar["total"] + F.when(i <= terms, F.exp(sofar["term"])).otherwise(0.0)).alias("total")),
+        lambda sofar: sofar["total"])
+    normal = F.lit(2 / math.sqrt(math.pi)) * F.exp(-z) * _integral(
+        lambda t: F.exp(-t * (t + 2.0 * root)), F.lit(0.0), F.least(F.lit(6.0), 20.0 / root))
+    return summed + F.when(odd, normal).otherwise(0.0)
 
-    def tail(value, degrees):
-        if value != value or degrees != degrees or degrees < 1:
-            return None
-        if value <= 0:
-            return 1.0
-        a, z = degrees / 2.0, value / 2.0
-        if a >= large:
-            peak, root = a - 1.0, math.sqrt(a - 1.0)
-            up = z > peak
-            end = max(peak + 11.5 * root, z + 6.0 * root) if up else max(0.0, min(peak - 7.5 * root, z - 5.0 * root))
-            total = 0.0
-            for node, weight in zip(nodes, weights):
-                t = z + (end - z) * (node + 1.0) / 2.0
-                total += weight / 2.0 * math.exp(-(t - peak) + peak * (math.log(t) - math.log(peak)))
-            total *= (end - z) * math.exp(peak * (math.log(peak) - 1.0) - math.lgamma(a))
-            return min(1.0, max(0.0, total if up else 1.0 + total))
-        front = math.exp(a * math.log(z) - z - math.lgamma(a))
-        if z < a + 1.0:
-            term = total = 1.0 / a
-            n = a
-            while term > total * 1e-16:
-                n += 1.0
-                term *= z / n
-                total += term
-            return min(1.0, max(0.0, 1.0 - total * front))
-        b, c = z + 1.0 - a, 1e300
-        d = 1.0 / b
-        h = d
-        for i in range(1, 1000):
-            step = -i * (i - a)
-            b += 2.0
-            d = 1.0 / (step * d + b)
-            c = b + step / c
-            h *= d * c
-            if abs(d * c - 1.0) < 1e-15:
-                break
-        return min(1.0, max(0.0, front * h))
 
-    def tails(values: pd.Series, degrees: pd.Series) -> pd.Series:
-        return pd.Series([tail(v, d) for v, d in zip(values, degrees)], dtype="float64")
+def _many_degrees(dof, z):
+    """The tail by quadrature around the peak of the integrand, so the work does not follow the degrees."""
+    peak = dof / 2.0 - 1.0
+    root = F.sqrt(peak)
+    above = z > peak
+    end = F.when(above, F.greatest(peak + 11.5 * root, z + 6.0 * root)).otherwise(
+        F.greatest(F.lit(0.0), F.least(peak - 7.5 * root, z - 5.0 * root)))
+    mass = _integral(lambda t: F.exp(peak * F.log1p((t - peak) / peak) - (t - peak)), z, end)
+    # Stirling's series of the gamma function, at 100 and above.
+    scale = F.exp(-0.5 * F.log(2 * math.pi * peak) - 1.0 / (12.0 * peak) + 1.0 / (360.0 * peak * peak * peak))
+    return F.when(above, mass * scale).otherwise(1.0 + mass * scale)
 
-    return F.pandas_udf(tails, T.DoubleType())(x, dof)
+
+def chi_square_p(x, dof):
+    """P(chi-square with `dof` degrees > x), the upper regularised gamma function at (dof / 2, x / 2).
+
+    Null where `x` is missing or `dof` is below 1, and 1 where `x` is not above 0.
+    """
+    x, dof = (F.col(c) if isinstance(c, str) else c for c in (x, dof))
+    z = x / 2.0
+    tail = F.when(dof / 2.0 >= QUADRATURE_FROM, _many_degrees(dof, z)).otherwise(_few_degrees(dof, z))
+    return (
+        F.when(x.isNull() | F.isnan(x) | dof.isNull() | (dof < 1), None)
+        .when(x <= 0, 1.0)
+        .otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), tail)))
+    )

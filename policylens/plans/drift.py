@@ -3,8 +3,8 @@
 from policylens.operators.drift import auc_drift, drift_report
 from policylens.operators.evaluation import curve_metrics, score_curve
 from policylens.sources.policies import read_policies
-from policylens.sources.reports import write_report
-from policylens.sources.staging import stage
+from policylens.sources.reports import read_report, write_report
+from policylens.sources.staging import scratch
 
 
 def drift_job(spark, reference_path, current_path, out_path, scorer=None, timestamp=None):
@@ -13,12 +13,14 @@ def drift_job(spark, reference_path, current_path, out_path, scorer=None, timest
     `scorer` adds `churn_probability`. The performance part needs labels on both sides.
     """
     sides = [read_policies(spark, path) for path in (reference_path, current_path)]
-    report = stage(drift_report(*sides, timestamp=timestamp), "drift")
-    write_report(report, f"{out_path}/drift")
-    if scorer is None:
-        return report, None
-    baseline, current = (
-        curve_metrics(score_curve(scorer(side))).first()["auc"] for side in sides)
+    with scratch(spark):
+        report = drift_report(*sides, timestamp=timestamp)
+        write_report(report, f"{out_path}/drift")
+        report = read_report(spark, f"{out_path}/drift", report.schema)
+        if scorer is None:
+            return report, None
+        baseline, current = (
+            curve_metrics(score_curve(scorer(side))).first()["auc"] for side in sides)
     compared = auc_drift(spark.createDataFrame(
         [(baseline, current)], "baseline_auc double, current_auc double"))
     write_report(compared, f"{out_path}/auc")

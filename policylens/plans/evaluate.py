@@ -7,8 +7,8 @@ from policylens.operators.evaluation import MIN_AUC, evaluation_report, quality_
 from policylens.operators.scoring import score
 from policylens.schema import LABEL, POLICY_ID
 from policylens.sources.policies import read_policies
-from policylens.sources.reports import write_report
-from policylens.sources.staging import stage
+from policylens.sources.reports import read_report, write_report
+from policylens.sources.staging import scratch, stage
 from policylens.sources.state import load_market_state
 
 
@@ -17,9 +17,10 @@ def eval_job(spark, policies_path, model_dir, report_path, min_auc=MIN_AUC):
     model = PipelineModel.load(f"{model_dir}/model")
     state = load_market_state(spark, f"{model_dir}/market_state")
     policies = read_policies(spark, policies_path)
-    scored = stage(
-        score(policies, state, model, "calibrated").select(POLICY_ID, LABEL, F.col("churn_probability")),
-        "scored")
-    report = stage(evaluation_report(scored), "report")
-    write_report(report, report_path)
-    return quality_gate(report, min_auc)
+    with scratch(spark):
+        scored = stage(
+            score(policies, state, model, "calibrated").select(POLICY_ID, LABEL, F.col("churn_probability")),
+            "scored")
+        report = evaluation_report(scored)
+        write_report(report, report_path)
+    return quality_gate(read_report(spark, report_path, report.schema), min_auc)

@@ -2,6 +2,10 @@
 
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
+
+_scratch = ContextVar("scratch", default=None)
 
 
 def shared_folder(spark):
@@ -24,13 +28,32 @@ def _own_folder(spark):
 
 
 def new_path(spark, label):
-    return f"{_own_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    return f"{_scratch.get() or _own_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def _delete(spark, folder):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def remove_intermediate(spark):
     """Delete this application's intermediate tables, once no result that reads them is needed."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, _own_folder(spark))
+
+
+@contextmanager
+def scratch(spark):
+    """Intermediate tables written inside are deleted at the end, also after an error.
+
+    For jobs: what they return must be read from where they store it, not from these tables.
+    """
+    folder = new_path(spark, "scratch")
+    token = _scratch.set(folder)
+    try:
+        yield folder
+    finally:
+        _scratch.reset(token)
+        _delete(spark, folder)
 
 
 def stage(df, label, partition_by=()):

@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -31,6 +33,16 @@ def test_chi_square_tail_of_many_degrees(spark):
             assert value == pytest.approx(closed, rel=1e-6, abs=1e-9)
 
 
+def test_chi_square_tail_stays_in_the_jvm_and_ends_far_out(spark):
+    df = spark.createDataFrame([(9.0, 1), (2.0, 3), (1400.0, 1), (90_000.0, 150), (90_000.0, 3000), (1e-9, 7), (1e-9, 900)], "x double, k int")
+    out = df.select(chi_square_p("x", "k").alias("p"))
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+    one, three, *far = [r["p"] for r in out.collect()]
+    assert one == pytest.approx(math.erfc(math.sqrt(4.5)), rel=1e-12)
+    assert three == pytest.approx(math.erfc(1.0) + 2 / math.sqrt(math.pi) * math.exp(-1.0), rel=1e-12)
+    assert far == pytest.approx([0, 0, 0, 1, 1], abs=1e-12)
+
+
 def test_drift_in_the_twenty_fifth_column(spark):
     df = spark.range(400).select(
         "id", *[(F.col("id") % 17).alias(f"c{i}") for i in range(30)])

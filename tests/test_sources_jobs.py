@@ -10,6 +10,7 @@ from tables import MEDIUM, rows
 from policylens.operators import modeling as md
 from policylens.operators import scoring
 from policylens.operators.scoring import batch_result
+from policylens.plans import train as train_plan
 from policylens.plans.batch_score import batch_score
 from policylens.plans.drift import drift_job
 from policylens.plans.evaluate import eval_job
@@ -145,6 +146,41 @@ def test_intermediate_tables_can_be_removed(spark, tmp_path, monkeypatch):
     assert not os.listdir(tmp_path / "policylens")
 
 
+def test_jobs_leave_no_intermediate_tables(spark, tmp_path, monkeypatch):
+    sides = [write_table(inputs.policies(spark, MEDIUM).where(inputs.client_no() % 2 == i), str(tmp_path / f"side{i}"))
+             for i in (0, 1)]
+    monkeypatch.setattr(staging, "shared_folder", lambda _: str(tmp_path / "shared"))
+    report, aucs = drift_job(spark, *sides, str(tmp_path / "out"), scorer=inputs.scorecard, timestamp="now")
+    own = next((tmp_path / "shared" / "policylens").iterdir())
+    assert not list(own.iterdir())
+    assert report.first()["n_reference"] + report.first()["n_current"] == inputs.policies(spark, MEDIUM).count()
+    assert aucs.count() == 1
+    with pytest.raises(ValueError), staging.scratch(spark) as outer:
+        with staging.scratch(spark) as inner:
+            assert inner.startswith(outer) and staging.stage(spark.range(2), "x").count() == 2
+        assert not os.path.exists(inner)
+        staging.stage(spark.range(2), "y")
+        raise ValueError
+    assert not list(own.iterdir())
+
+
+def test_fitted_models_are_compared(spark, tmp_path, monkeypatch):
+    parts = train_plan.split_ordered(inputs.policies(spark, MEDIUM))
+    train, test = (parts.where(F.col("part") == p).drop("part") for p in ("train", "test"))
+    monkeypatch.setattr(train_plan, "ALTERNATIVE", {"n_estimators": 3, "max_depth": 2})
+    scores, compared = train_plan.compare_models(
+        train, test, ["tenure_months", "claim_count_12m"], {"n_estimators": 4, "max_depth": 2}, str(tmp_path))
+    found = {r["model"]: r for r in compared.collect()}
+    assert set(found) == {"baseline", "boosted", "alternative"}
+    frame = scores.toPandas()
+    assert frame["policy_id"].value_counts().eq(3).all() and len(frame) == 3 * test.count()
+    for name, mine in frame.groupby("model"):
+        y, p = mine["churn_label"].to_numpy(), mine["churn_probability"].to_numpy()
+        above = p[y == 1][:, None] - p[y == 0][None, :]
+        assert found[name]["auc"] == pytest.approx(((above > 0) + 0.5 * (above == 0)).mean())
+        assert found[name]["brier"] == pytest.approx(((p - y) ** 2).mean())
+
+
 @pytest.fixture(scope="module")
 def trained(spark, tmp_path_factory):
     out = str(tmp_path_factory.mktemp("model"))

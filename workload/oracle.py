@@ -769,6 +769,9 @@ targets AS (SELECT round((p * (p + 1) / (p + 2) + q / (q + 2)) / (p + q), 5) AS
 SELECT mean_target AS mean_calibrated, mean_target, CAST(0 AS DOUBLE) AS slope_gap FROM targets""")
     for name in ("train_gbt", "train_gbt_alt"):
         out[name] = _query(ordered, "SELECT policy_id, churn_label, true AS is_probability FROM tested")
+    out["compare_models"] = _query(ordered, """
+SELECT m.model, count(*) AS n_test, CAST(sum(churn_label) AS BIGINT) AS n_churned, true AS in_range, true AS brier_fits
+FROM tested, (VALUES ('baseline'), ('boosted'), ('alternative')) AS m(model) GROUP BY m.model""")
     out["tree_contributions"] = _query(
         ordered, "SELECT policy_id, CAST(34 AS BIGINT) AS n_features, true AS adds_up FROM tested")
     out["gbt_first_tree"] = _first_tree(ordered)

@@ -14,6 +14,7 @@ from policylens.plans.drift import drift_job
 from policylens.plans.evaluate import eval_job
 from policylens.plans.features import build_training_features
 from policylens.plans.ingest import ingest
+from policylens.plans.train import compare_models as compare_fitted
 from policylens.plans.train import train_job
 from policylens.schema import LABEL, RAW_COLUMNS, RAW_TARGET, numeric_columns
 from policylens.sources import contracts, policies as policy_files, reports, state as states
@@ -547,7 +548,9 @@ def drift_job_report(spark, sf_dir):
     report = spark.read.json(f"{out}/drift").select(
         "share_drifted_features", "dataset_drift_detected", F.col("alert").alias("data_alert"), "n_reference", "n_current")
     performance = spark.read.json(f"{out}/auc").select("baseline_auc", "current_auc", "alert", "recommendation")
-    return _r_floats(report.crossJoin(performance))
+    # Two reports of one row each, side by side.
+    both = report.unionByName(performance, allowMissingColumns=True)
+    return _r_floats(both.agg(*[F.max(c).alias(c) for c in both.columns]))
 
 
 def auc_drift(spark, sf_dir):
@@ -661,6 +664,19 @@ def train_gbt_alt(spark, sf_dir):
     return _probabilities(_scored_test(modeling.train_boosted(train, names, params), test))
 
 
+def compare_models(spark, sf_dir):
+    """Three fitted models side by side on the test rows, and whether the mean squared error of a model's stored scores is
+    the Brier score stated for it."""
+    train, test, names = _model_parts(spark, sf_dir)
+    scores, compared = compare_fitted(train, test, names, {**STATED_TREES, "scale_pos_weight": 3.0}, new_path(spark, "compared"))
+    error = F.col(SCORE) - F.col(LABEL)
+    counted = scores.groupBy("model").agg(
+        F.count(F.lit(1)).alias("n_test"), F.sum(F.col(LABEL).cast("long")).alias("n_churned"), F.avg(error * error).alias("error"))
+    ranges = F.col("auc").between(0, 1) & F.col("avg_precision").between(0, 1)
+    return counted.join(compared, "model").select(
+        "model", "n_test", "n_churned", ranges.alias("in_range"), (F.abs(F.col("error") - F.col("brier")) < 1e-9).alias("brier_fits"))
+
+
 # A first tree small enough to be grown in SQL as well.
 FIRST_TREE = {
     "n_estimators": 1, "max_depth": 2, "learning_rate": 0.3, "reg_alpha": 3.0, "reg_lambda": 2.0, "min_child_weight": 5,
@@ -897,6 +913,7 @@ QUERIES = {
     "train_baseline": train_baseline,
     "train_gbt": train_gbt,
     "train_gbt_alt": train_gbt_alt,
+    "compare_models": compare_models,
     "gbt_first_tree": gbt_first_tree,
     "tree_contributions": tree_contributions,
     "search_gbt": search_gbt,
