@@ -9,15 +9,15 @@ The likeness of two fingerprints is the share of equal coordinates among those t
 are. A text of less than k code points is one k-mer; null and empty texts have only empty coordinates.
 
 The edited text of a document takes the next document's, by descending id, so texts are dealt by ranges of ids and read in
-order; the first row of the next range is sent along with each range. Rows of one id follow each other by text; a null id
-comes after all others.
+order; the first row of the next range is sent along with each range. Rows of one id follow each other by a hash of their text,
+then by text, and ranges are of both, so that one id or its absence on many rows is divided like any others; a null id comes
+after all others. Only rows equal in id and text stay in one range, where they are streamed.
 """
 
 import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -25,7 +25,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from policylens.llm.chunks import small_batches, without
 from policylens.llm.rolling import OVER_FIRST, mix
 
-SKETCHES, KMER, PICKED, SLICE_BYTES, MOST_SLICES = 32, 5, 2, 32 << 20, 20_000
+SKETCHES, KMER, PICKED, SLICE_BYTES, SAMPLE_PER_CUT = 32, 5, 2, 32 << 20, 32
 NO_ID = -(1 << 63)
 
 
@@ -91,24 +91,36 @@ def fingerprints(docs, text_col="text", name="fingerprint", sketches=SKETCHES):
     return docs.mapInArrow(add, schema)
 
 
+def _number(cuts):
+    """How many of the ascending (back, hash) `cuts` are at or before a row, by halving steps over two constant arrays."""
+    backs, hashes = (
+        F.split(F.lit(",".join(str(c[i]) for c in cuts)), ",").cast("array<bigint>") for i in (0, 1))
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(cuts).bit_length()))])
+
+    def step(passed, width):
+        to = passed + width
+        back, hash_ = F.get(backs, to - 1), F.get(hashes, to - 1)  # null beyond the last cut
+        return F.when((back < F.col("back")) | ((back == F.col("back")) & (hash_ <= F.col("hash"))), to).otherwise(passed)
+    return F.aggregate(steps, F.lit(0), step)
+
+
 def _slices(keyed, slice_bytes):
-    """Rows with the number of their range of `key`, and for each range the one whose rows it follows.
+    """Rows with the number of their range, and for each range (its first row's back and hash, the range before it).
 
-    Ranges are cut at quantiles of the ids, at most 20,000; rows of a range are streamed, so its size is no bound.
+    There is a range for each shuffle partition, or fewer where it would hold less than `slice_bytes`. Cuts come from a sample
+    of rows. Rows of a range are streamed, so its size is no bound.
     """
-    facts = keyed.agg(F.count(F.lit(1)), F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 64)).first()
-    n = int(min(MOST_SLICES, 1 + (facts[1] or 0) // slice_bytes))
-    place = keyed.select("key", F.col("key").cast("double").alias("place"))
-    cuts = [] if n == 1 else place.agg(F.percentile_approx("place", [i / n for i in range(1, n)], 10 * n)).first()[0]
-    bucketizer = Bucketizer(
-        splits=[-float("inf"), *sorted(set(cuts or [])), float("inf")], inputCol="place", outputCol="slice")
-    if len(bucketizer.getSplits()) < 3:
-        bucketizer.setSplits([-float("inf"), 0.0, float("inf")])
-    heads = bucketizer.transform(place).groupBy("slice").agg(F.max("key").alias("head")).collect()
-    slices = sorted((r["slice"], r["head"]) for r in heads)
-    # Descending ids: the first row of a range follows the last of the range above; that of the highest follows the lowest.
-    follows = [(head, slices[(i + 1) % len(slices)][0]) for i, (_, head) in enumerate(slices)]
-    return bucketizer.transform(keyed.withColumn("place", F.col("key").cast("double"))).drop("place"), follows, len(slices)
+    rows, size = keyed.agg(F.count(F.lit(1)), F.sum(F.octet_length("text").cast("long") + 64)).first()
+    most = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n, cuts = max(1, min(most, 1 + (size or 0) // slice_bytes)), []
+    if n > 1:
+        drawn = sorted(tuple(r) for r in keyed.where(F.rand(SAMPLE_PER_CUT) < n * SAMPLE_PER_CUT / rows).select("back", "hash").collect())
+        cuts = sorted({drawn[len(drawn) * i // n] for i in range(1, n)}) if drawn else []
+    sliced = keyed.withColumn("slice", _number(cuts) if cuts else F.lit(0))
+    heads = sorted(sliced.groupBy("slice").agg(F.min(F.struct("back", "hash")).alias("head")).collect())
+    # The first row of a range follows the last of the range before; that of the first range follows the last of all.
+    follows = [(*r["head"], heads[i - 1]["slice"]) for i, r in enumerate(heads)]
+    return sliced, follows, len(cuts) + 1
 
 
 def neighbours(docs, each, schema, id_col="doc_id", text_col="text", slice_bytes=SLICE_BYTES):
@@ -119,17 +131,19 @@ def neighbours(docs, each, schema, id_col="doc_id", text_col="text", slice_bytes
     spark = docs.sparkSession
     small_batches(spark)
     keyed = docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("key"), F.col(id_col).cast("long").alias("id"),
+        F.bitwise_not(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))).alias("back"),  # ascends as ids descend
+        F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("hash"), F.col(id_col).cast("long").alias("id"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     sliced, follows, n = _slices(keyed, slice_bytes)
     arrow_schema = to_arrow_schema(schema)
     if follows:
-        heads = F.broadcast(spark.createDataFrame(follows, "head long, target double"))  # at most MOST_SLICES rows
+        heads = F.broadcast(spark.createDataFrame(follows, "head long, head_hash long, target int"))  # a row per range
         targets = F.array_compact(F.array(
             F.struct(F.col("slice").alias("slice"), F.lit(False).alias("guest")),
             F.when(F.col("target").isNotNull(), F.struct(F.col("target").alias("slice"), F.lit(True).alias("guest")))))
-        sliced = sliced.join(heads, sliced["key"] == heads["head"], "left").select(
-            F.explode(targets).alias("t"), "key", "id", "text").select("t.slice", "t.guest", "key", "id", "text")
+        is_head = (F.col("back") == F.col("head")) & (F.col("hash") == F.col("head_hash"))
+        sliced = sliced.join(heads, is_head, "left").select(
+            F.explode(targets).alias("t"), "back", "hash", "id", "text").select("t.slice", "t.guest", "back", "hash", "id", "text")
     else:
         sliced = sliced.withColumn("guest", F.lit(False))
 
@@ -153,8 +167,8 @@ def neighbours(docs, each, schema, id_col="doc_id", text_col="text", slice_bytes
         yield table()
 
     return (
-        sliced.repartition(max(1, n), "slice")
-        .sortWithinPartitions("slice", "guest", F.desc("key"), "text").select("slice", "guest", "id", "text")
+        sliced.repartitionById(n, F.col("slice"))
+        .sortWithinPartitions("slice", "guest", "back", "hash", "text").select("slice", "guest", "id", "text")
         .mapInArrow(run, schema))
 
 

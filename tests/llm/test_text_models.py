@@ -11,6 +11,7 @@ import pyarrow as pa
 import pytest
 from helpers import as_dict, documents, odd_texts, words
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from policylens.llm import decontamination, language_id, order_minhash, toxicity, url_filter
 from policylens.llm.rolling import Texts
@@ -82,6 +83,27 @@ def test_neighbours_of_odd_ids(spark, strange):
     assert order_minhash.fingerprints(strange.withColumn("fingerprint", F.lit(1))).count() == strange.count()
 
 
+def test_a_hot_id_is_divided_and_no_two_ranges_share_a_task(spark):
+    rng = random.Random(8)
+    texts = [words(rng, 12) for _ in range(300)]
+    ids = [None if i % 3 == 0 else 7 if i % 3 == 1 else 1000 + i for i in range(300)]
+    docs = documents(spark, texts, ids=ids)
+    keyed = docs.select(
+        F.bitwise_not(F.coalesce("doc_id", F.lit(order_minhash.NO_ID))).alias("back"), F.xxhash64("text").alias("hash"), "text")
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(order_minhash, "SAMPLE_PER_CUT", 300)  # every row
+        sliced, follows, n = order_minhash._slices(keyed, 3000)
+        assert n == len(follows) == int(spark.conf.get("spark.sql.shuffle.partitions")) > 2
+        dealt = sliced.repartitionById(n, F.col("slice")).withColumn("task", F.spark_partition_id())
+        sizes = {(r["slice"], r["task"]): r["count"] for r in dealt.groupBy("slice", "task").count().collect()}
+        assert {a for a, _ in sizes} == {b for _, b in sizes} == set(range(n)) and max(sizes.values()) <= 300 // n + 1
+        patch.setattr(order_minhash.neighbours, "__defaults__", ("doc_id", "text", 3000))
+        got = order_minhash.neighbours(docs, lambda i, a, b: (i, a, b), T.StructType.fromDDL("id long, own string, next string")).collect()
+    place = {r["text"]: (r["back"], r["hash"]) for r in keyed.collect()}
+    order = sorted(texts, key=place.get)
+    assert {r["own"]: r["next"] for r in got} == {t: order[(i + 1) % 300] for i, t in enumerate(order)} and len(got) == 300
+
+
 def test_rules_and_parts(spark):
     urls = [
         "http://A.Example.NET/en/x?q#f", "https://example.net/de/", "http://notexample.net/en/", "example.net/en/", None, "",
