@@ -50,12 +50,21 @@ def _compare(name, ascending, value):
     return F.coalesce(column < bound if ascending else column > bound, no), F.coalesce(column == bound, no)
 
 
+def _reaches(name, ascending, value):
+    """Whether a row's key is before or at a value: one comparison, never null."""
+    if value is None:
+        return F.lit(True)
+    column, bound = F.col(name), F.lit(value)
+    return F.coalesce(column <= bound if ascending else column >= bound, F.lit(False))
+
+
 def at_or_before(order, key):
     """Whether a row stands at or before `key`. A shorter key stands for the last row that begins with it."""
-    reached = None
-    for (name, ascending), value in reversed(list(zip(order, key))):
+    *leading, ((name, ascending), value) = zip(order, key)
+    reached = _reaches(name, ascending, value)
+    for (name, ascending), value in reversed(leading):
         before, at = _compare(name, ascending, value)
-        reached = before | at if reached is None else before | (at & reached)
+        reached = before | (at & reached)
     return reached
 
 
