@@ -106,6 +106,46 @@ def test_any_partitioning_gives_the_same_trees(spark):
     assert len({tuple(np.unique(t.feature[t.feature >= 0])) for t in fits[0].trees}) > 3  # columns are drawn for each tree
 
 
+def test_columns_that_follow_from_others_are_summed_as_one():
+    rng = np.random.default_rng(4)
+    codes = rng.integers(1, 200, (3000, 2)).astype(np.uint8)
+    derived = [codes[:, 0] // 3 + 1, (codes[:, 0] > 90) + 1, codes[:, 1] // 9 + 1, codes[:, 0]]
+    codes = np.ascontiguousarray(np.column_stack([codes, *derived]).astype(np.uint8))
+    codes[rng.random(codes.shape) < 0.0005] = 0  # some values missing: not quite a function any more
+    rows = boosting.Rows(codes, *[np.ones(3000)] * 4)
+    assert len(rows.groups) < codes.shape[1] and sorted(f for group in rows.groups for f in group[0]) == list(range(6))
+    bins = boosting.Bins([str(i) for i in range(6)], [np.arange(int(codes[:, i].max())) for i in range(6)])
+    growing = boosting.Growing(bins, boosting.completed({"colsample": 0.7}), 0)
+    growing.lists["feature"] += [-1, -1]
+    growing.wanted = [1, 2]
+    at, g, h = rng.integers(0, 3, 3000), np.rint(rng.normal(0, 1e9, 3000)), np.rint(rng.random(3000) * 1e9)
+    for used in (None, rng.random(3000) < 0.5):
+        got = rows.sums(growing, rows.spread_by(growing), g, h, at, used)
+        expected = np.zeros_like(got)
+        for i, f in enumerate(growing.chosen):
+            for node in (1, 2):
+                own = (at == node) & (used if used is not None else True)
+                for side, part in enumerate((g, h)):
+                    np.add.at(expected[side, node - 1], growing.starts[i] + codes[own, f].astype(int), part[own].astype(np.int64))
+        assert np.array_equal(got, expected)
+
+
+def test_a_level_over_spread_rows_is_one_stage(spark):
+    x, y = sample(400)
+    df, names = as_frame(spark, x, y)
+    context = spark.sparkContext
+    context.setJobGroup("spread", "trees over spread rows")
+    try:
+        trees = boosting.fit_trees(df, names, {"n_estimators": 10, "max_depth": 3}, LABEL, "policy_id", local_rows=0).trees
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    levels = sum(t.depth() + 1 for t in trees)
+    tracker = context.statusTracker()
+    jobs = [tracker.getJobInfo(i) for i in tracker.getJobIdsForGroup("spread")]
+    # Besides one a level: cuts, packing and the renewed margins.
+    assert levels >= 30 and len(jobs) <= levels + 20 and sum(len(j.stageIds) for j in jobs) <= 2 * levels + 20
+
+
 def test_models_are_stored_and_score_missing_cells(spark, tmp_path):
     x, y = sample()
     df, names = as_frame(spark, x, y)
