@@ -11,9 +11,10 @@ takes part as well, as its last bin has room. Full bins never move.
 Null and repeated ids are packed like any others: pieces are dealt by a number of their own, given when they are first
 stored, so that neither one id nor copies of one row fill a partition. Pieces of one length are taken by id, then piece.
 
-Texts are encoded word by word: the vocabulary drops white space and no token crosses it, so the tokens of a text are those
-of its words one behind the other, and a word is encoded once per worker. Whole texts count; null and empty ones have just
-the closing id. Only documents longer than a sequence are cut.
+Texts are encoded part by part: the vocabulary splits a text into runs of letters, digits, other characters and contractions
+and drops white space, no token crosses these borders, so the tokens of a text are those of its parts one behind the other,
+and a part is encoded once per worker. Whole texts count; null and empty ones have just the closing id. Only documents longer
+than a sequence are cut.
 """
 
 import math
@@ -41,62 +42,78 @@ PLACED = T.StructType([
     T.StructField("part", T.LongType())])
 
 
-# Words of visible ASCII and small or capital Latin-1 letters: composed, and lower-cased alike everywhere. The library's
-# splitting pattern, fixed by the vocabulary file, reads on them as below once they are lower-cased.
-PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
-PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+# Texts of visible ASCII, small or capital Latin-1 letters and ASCII white space: composed, and lower-cased alike everywhere.
+# The library's splitting pattern, fixed by the vocabulary file, reads on them as below once they are lower-cased.
+PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ\t-\r ]*")
+PARTS = re.compile(r"[a-zß-öø-ÿ]+|'(?:[stmd]|re|ve|ll)|[0-9]|[^a-z0-9ß-öø-ÿ\t-\r ]+")
+
+
+class Numbers(dict):
+    """Numbers of keys, given in the order of their first use, when `learn` is called with the key."""
+
+    def __init__(self, learn):
+        super().__init__()
+        self.learn = learn
+
+    def __missing__(self, key):
+        self.learn(key)
+        number = self[key] = len(self)
+        return number
 
 
 class Words:
-    """Ids of words, each encoded once; a word is a run of bytes without ASCII white space."""
+    """Ids of texts from those of their parts, each encoded once: the parts of the splitting pattern where a text is plain,
+    else words as a whole. A word is a run of bytes without ASCII white space; its key begins with a blank, as no part does."""
 
     def __init__(self, path, keep=KEEP):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.keep = Tokenizer.from_file(path), keep
         self.model = self.tokenizer.model
-        special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(special)).search if special else None
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.spelling = {b: c for c, b in byte_alphabet().items()}
         self._clear()
 
     def _clear(self):
-        self.number, self.parts = {}, {}
+        self.number, self.flat, self.counts = Numbers(self._learn), [], []
         self.ids, self.begin = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
-    def _learn(self, words):
+    def _learn(self, key):
         """Whatever is not plain goes through the whole library."""
-        if len(self.parts) > self.keep // 4:
-            self.parts.clear()
-        known, tokenize, plain, special, flat, counts = self.parts, self.model.tokenize, PLAIN.fullmatch, self.special, [], []
-        for word in words:
-            text = word.decode("utf-8")
-            if not plain(text) or special and special(text):
-                ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-            else:
-                ids = []
-                for part in PARTS.findall(text.lower()):
-                    found = known.get(part)
-                    if found is None:
-                        spelled = part if part.isascii() else "".join(map(self.spelling.__getitem__, part.encode("utf-8")))
-                        found = known[part] = [t.id for t in tokenize(spelled)]
-                    ids += found
-            flat += ids
-            counts.append(len(ids))
-        self.number.update(zip(words, range(len(self.number), len(self.number) + len(words))))
-        self.ids = np.concatenate([self.ids, np.array(flat, np.uint32)])
-        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(counts)])
+        if key[0] == " ":
+            ids = self.tokenizer.encode(key[1:], add_special_tokens=False).ids
+        else:
+            spelled = key if key.isascii() else "".join(map(self.spelling.__getitem__, key.encode("utf-8")))
+            ids = [t.id for t in self.model.tokenize(spelled)]
+        self.flat += ids
+        self.counts.append(len(ids))
+
+    def _plain(self, text):
+        return PLAIN.fullmatch(text) and not any(special in text for special in self.special)
+
+    def _keys(self, text):
+        if self._plain(text):
+            return PARTS.findall(text.lower())
+        keys = []
+        for word in text.encode("utf-8").split():
+            word = word.decode("utf-8")
+            keys += PARTS.findall(word.lower()) if self._plain(word) else [" " + word]
+        return keys
+
+    def _numbers(self, text):
+        keys = self._keys(text)
+        return np.fromiter(map(self.number.__getitem__, keys), np.int64, len(keys))
 
     def encode(self, texts):
         """Ids of each text."""
-        split = [t.encode("utf-8").split() for t in texts]
         if len(self.number) > self.keep:
             self._clear()
-        missing = {w for words in split for w in words}.difference(self.number)
-        if missing:
-            self._learn(list(missing))
-        for words in split:
-            number = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        numbers = [self._numbers(t) for t in texts]
+        if self.counts:
+            self.ids = np.concatenate([self.ids, np.array(self.flat, np.uint32)])
+            self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(self.counts)])
+            self.flat, self.counts = [], []
+        for number in numbers:
             begin = self.begin[number]
             counts = self.begin[number + 1] - begin
             ends = np.cumsum(counts)

@@ -85,6 +85,15 @@ def test_ids_equal_the_library():
     assert ours == theirs
 
 
+def test_parts_are_encoded_once_whatever_word_they_stand_in():
+    words = packing.Words(public_tokenizers.path(packing.VOCABULARY))
+    texts = ["Alpha, alpha. (ALPHA)", "alpha's\talpha-alpha;\nÉté été", "ＡLPHA alpha, <|endoftext|>alpha café", "x\u00a0y alpha\x0b'll"]
+    theirs = [e.ids for e in library(packing.VOCABULARY).encode_batch(texts, add_special_tokens=False)]
+    assert [ids.tolist() for ids in words.encode(texts)] == theirs
+    assert set(words.number) == {
+        "alpha", ",", ".", "(", ")", "'s", "-", ";", "été", "'ll", "café", " ＡLPHA", " <|endoftext|>alpha", " x\u00a0y"}
+
+
 def check_packing(rows, capacity):
     bins = defaultdict(list)
     for r in rows:
