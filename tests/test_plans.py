@@ -51,3 +51,23 @@ def test_translation_and_features_do_not_shuffle(spark):
 def test_cut_needs_no_sort_of_the_rows(spark):
     text = plan(QUERIES["topk_15"](spark, SMALL))
     assert "Sort" not in text.replace("SortAggregate", "") and "hashpartitioning" not in text
+
+
+def test_lines_no_count_can_take_are_left_out_before_the_parts(spark, tmp_path):
+    def write(name, rows, schema):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+
+    write("part", [(1, "ECONOMY"), (1, "ECONOMY"), (2, "STANDARD"), (None, "LARGE")], "p_partkey long, p_type string")
+    write("customer", [(c, 3, "BUILDING") for c in (1, 2, 3)], "c_custkey long, c_nationkey int, c_mktsegment string")
+    write("orders", [(10, 1, "1-URGENT"), (11, 1, "5-LOW"), (12, 2, "2-HIGH"), (12, 2, "2-HIGH"), (None, 3, "2-HIGH")],
+          "o_orderkey long, o_custkey long, o_orderpriority string")
+    write("lineitem", [
+        (10, 1, 30.0, 0.0, 0.0, "N"), (10, 1, 29.0, 0.0, 0.0, "N"), (11, 2, 40.0, 0.1, 0.08, "R"), (11, 9, 40.0, 0.1, 0.08, "R"),
+        (12, 2, None, 0.1, None, "R"), (12, 1, None, 0.1, 0.08, None), (12, None, 50.0, 0.1, 0.08, "R"),
+        (None, 1, 50.0, 0.1, 0.08, "R")],
+        "l_orderkey long, l_partkey long, l_quantity double, l_discount double, l_tax double, l_returnflag string")
+    raw = inputs.build_raw_contracts(spark, str(tmp_path))
+    found = {r["client_no"]: (r["PPERSAUT"], r["PBRAND"], r["AWAPART"], r["APERSAUT"], r["MAANTHUI"]) for r in raw.collect()}
+    assert found == {1: (2, 0, 1, 1, 1), 2: (0, 0, 2, 0, 2), 3: (0, 0, 0, 0, 1)}
+    filters = re.findall(r"Condition : .*", plan(raw))
+    assert any("l_partkey" in f and "l_quantity" in f and "l_tax" in f for f in filters)
