@@ -184,31 +184,39 @@ def _edges(frame, distance, references):
     return pa.RecordBatch.from_arrays([pa.array(ends.min(axis=1)), pa.array(ends.max(axis=1))], names=["a", "b"])
 
 
-def _labelled(docs, id_col, text_col, distance, shingle):
-    """(id, text_hash, row_hash, fp) of each row, the first row of each fingerprint's component, and that of each component."""
+def _prints(docs, id_col, text_col, shingle):
+    """(id, text_hash, row_hash, fp) of each row."""
     source = docs.select(
         F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"),
         F.xxhash64(id_col, text_col).alias("row_hash"))
-    prints = stage(with_fingerprints(source, "text", "fp", shingle).drop("text"), "fingerprints")
+    return with_fingerprints(source, "text", "fp", shingle).drop("text")
+
+
+def _labelled(prints, distance):
+    """(fingerprint, component, first row of the component) for each fingerprint, and the first row of each component.
+
+    What is stored is one row per fingerprint, made in one pass over `prints`.
+    """
     order = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("text_hash"), F.col("row_hash"))
-    distinct = prints.groupBy("fp").agg(F.min(order).alias("first"))
+    distinct = stage(prints.groupBy("fp").agg(F.min(order).alias("first")), "distinct")
     members = connected(stage(links(distinct.select("fp"), distance), "links"))
     of_print = distinct.join(members, distinct.fp == members.node, "left").select(
         "fp", "first", F.coalesce("component", "fp").alias("component"))
     firsts = of_print.groupBy("component").agg(F.min("first").alias("first"))
-    return prints, of_print.select("fp", "component").join(firsts, "component"), firsts
+    return of_print.select("fp", "component").join(firsts, "component"), firsts
 
 
 def near_duplicates(docs, id_col="doc_id", text_col="text", distance=4, shingle=4):
     """(id, fp, component_id) for each row: the smallest id whose fingerprint is reached by links, null if there is none."""
-    prints, labels, _ = _labelled(docs, id_col, text_col, distance, shingle)
+    prints = stage(_prints(docs, id_col, text_col, shingle), "fingerprints")
+    labels, _ = _labelled(prints, distance)
     return prints.join(labels, "fp").select(
         F.col("id").alias(id_col), "fp", F.col("first.id").alias("component_id"))
 
 
 def keep_one(docs, id_col="doc_id", text_col="text", distance=4, shingle=4):
     """One row of each group of linked texts: that of the smallest id, and among rows of one id of the smallest text hash."""
-    _, _, firsts = _labelled(docs, id_col, text_col, distance, shingle)
+    _, firsts = _labelled(_prints(docs, id_col, text_col, shingle), distance)
     of_text = free_name(docs.columns, "_text_hash")
     of_row = free_name(docs.columns, "_row_hash")
     kept = firsts.select(F.col("first.text_hash").alias(of_text), F.col("first.row_hash").alias(of_row))

@@ -7,8 +7,10 @@ import numpy as np
 import pytest
 import xxhash
 from helpers import as_dict, documents, odd_texts
+from pyspark.sql import functions as F
 
 from policylens.llm import chunks, components, rolling, simhash_dedup, substring_dedup, suffix_dedup
+from policylens.sources.staging import stage
 
 
 def slow_substrings(texts, window=13):
@@ -149,6 +151,22 @@ def test_simhash_of_odd_tables(strange, empty):
     assert Counter(r["component_id"] for r in got) == Counter(expected)
 
 
+def test_keeping_one_stores_a_row_per_fingerprint(spark, odd, monkeypatch):
+    stored = {}
+
+    def counted(df, label):
+        table = stage(df, label)
+        stored[label] = table.count()
+        return table
+
+    monkeypatch.setattr(simhash_dedup, "stage", counted)
+    docs = odd.unionByName(odd.withColumn("doc_id", F.col("doc_id") + 1000))
+    prints = [slow_print(t) for t in odd_texts()]
+    kept = simhash_dedup.keep_one(docs).collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted(set(slow_components(prints, range(len(prints)))))
+    assert stored and max(stored.values()) <= len(set(prints)) < docs.count()
+
+
 @pytest.mark.parametrize("parts,limit", [(5, 1000), (6, 1000), (8, 1000), (6, 3)])
 def test_links_keep_every_component(spark, parts, limit):
     rng = np.random.default_rng(1)
